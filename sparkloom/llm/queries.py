@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, quality_rules
+from . import byte_bpe, exact_dedup, ngram_join, packing, quality_rules, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,26 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
+    digests = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
+    decoded = byte_bpe.decode_ids(digests, ranks)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, room=4096)
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, length(t) AS n_chars,
@@ -72,7 +89,14 @@ FROM documents
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_token_shards": op9_token_shards,
+        "op10_best_fit_packing": op10_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict:
