@@ -113,6 +113,12 @@ def apply_policy(entries: DataFrame, policy: tuple[str, int] = ("web", 2), name:
     return entries.withColumn(name, F.col("failures").bitwiseAND(F.lit(mask_of(policy))) == 0)
 
 
+def keep_passing(docs: DataFrame, policy: tuple[str, int] = ("web", 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass the policy; all columns unchanged, no shuffle (the row travels with its measurements)."""
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    return apply_policy(ledger(whole, "_row", "_text"), policy, "_kept").filter("_kept").select("_row.*")
+
+
 def ablations(entries: DataFrame, policy: tuple[str, int] = ("web", 2)) -> DataFrame:
     """For each rule of the policy: documents that fail it, that only it rejects, and kept without it.
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, ngram_join, packing, quality_rules, wavelet
+from . import byte_bpe, exact_dedup, langid, licenses, ngram_join, packing, quality_rules, toxicity, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,24 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def held_out(fold: int, held: int) -> Column:
+    """Documents that nothing is learned from: crc32 of the id as text, by remainder."""
+    return F.crc32(F.col("doc_id").cast("string")) % fold == held
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(3, 1)))
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_matches")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out(4, 2)))
+    return langid.identify(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -32,6 +50,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.responses_of_pages(table(spark, sf_dir, "pages"))
+    return warc.derivatives(responses).select("page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest", "source_digest", "n_bytes", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -92,7 +119,11 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_toxicity": op3_toxicity,
+        "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_license_scan": op6_license_scan,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_shards": op9_token_shards,
         "op10_best_fit_packing": op10_best_fit_packing,
