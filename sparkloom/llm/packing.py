@@ -27,8 +27,8 @@ from .common import cut
 from .tokens import encoded_slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
-#: Pieces that a (length, bucket) group has at most, about; a group is ranked in one task.
-GROUP = 50_000
+#: Pieces that a (length, bucket) group has at most, about; a group is ranked in one task. And least buckets.
+GROUP, LEAST = 50_000, 64
 
 
 def cut_documents(tokenizer: str, end_id: int, room: int):
@@ -207,7 +207,7 @@ def make_plan(histogram: dict[int, int], room: int, bins: int = 64, most_docs: i
 def ranked(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     """pieces with `rank`: 0.. within each length, by counts of (length, bucket) and a row number inside."""
     total = pieces.count()
-    buckets = max(1, -(-total // group))
+    buckets = max(LEAST, -(-total // group))
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
