@@ -7,6 +7,9 @@
    (merges by rank, each pre-token separately), and joins the ids back to the asking blocks.
 3. Each block meets the ids of its words and puts them together by position.
 
+The first exchange carries words and blocks on one key, and both later steps read
+it, so the positions are shuffled once. A block that misses words is an error.
+
 Decoding joins every id with the table of token bytes, which has one row for each
 rank (a fixed size) and therefore sits in every task.
 """
@@ -28,8 +31,9 @@ from .common import n_shuffle, text_slices
 from .tokens import cut_pieces, spread
 
 #: Bytes of text in a block; a block is put together in one task.
-BLOCK_BYTES = 24 << 20
-SENT = "bucket int, kind int, block bigint, blob binary"
+BLOCK_BYTES = 10 << 20
+SENT = "route bigint, block bigint, blob binary"
+BACK = "route bigint, bucket int, blob binary"
 ENCODED = "doc_id bigint, ids array<int>"
 
 
@@ -109,12 +113,12 @@ class Block:
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(raw))
         known = np.array([x is not None for x in self.ids], np.uint8)
         docs = packed(np.array([x or 0 for x in self.ids], np.int64).tobytes(), known.tobytes(), np.concatenate(self.sizes).astype(np.int64).tobytes(), planes(counts), planes(rank[codes]))
-        out = [(block % buckets, 0, block, docs)]
+        out = [(buckets + block, block, docs)]
         ordered = to[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else []
         for a, b in zip(starts, [*starts[1:], len(order)]):
             mine = [raw[i] for i in order[a:b]]
-            out.append((int(ordered[a]), 1, block, packed(np.array([len(w) for w in mine], np.uint32).tobytes(), press(b"".join(mine)))))
+            out.append((int(ordered[a]), block, packed(np.array([len(w) for w in mine], np.uint32).tobytes(), press(b"".join(mine)))))
         return out
 
 
@@ -127,7 +131,7 @@ def explode_words(pattern: str, buckets: int):
 
         def sent(block: Block) -> pa.RecordBatch:
             rows = block.rows((task << 24) | number, buckets)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "kind", "block", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["route", "block", "blob"])
 
         block = Block(compiled)
         for batch in text_slices(batches):
@@ -154,16 +158,16 @@ def token_bytes(ranks_path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encode_words(ranks_path: str, pattern: str):
+def encode_words(ranks_path: str, pattern: str, buckets: int):
     """One word range: each distinct word is encoded once, its ids go to every block that has it."""
 
     def run(table: pa.Table) -> pa.Table:
-        encoding = rank_encoding(ranks_path, pattern)
-        known: dict[bytes, list[int]] = {}
-        bucket = table.column("bucket")[0].as_py()
-        kinds, blocks, blobs = [], [], []
-        for kind, block, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "blob"))):
-            if kind:
+        bucket = table.column("route")[0].as_py()
+        routes, blobs = [], []
+        if bucket < buckets:
+            encoding = rank_encoding(ranks_path, pattern)
+            known: dict[bytes, list[int]] = {}
+            for block, blob in zip(*(table.column(c).to_pylist() for c in ("block", "blob"))):
                 sizes, joined = unpacked(blob)
                 words, at = plain(joined), 0
                 found = []
@@ -176,37 +180,34 @@ def encode_words(ranks_path: str, pattern: str):
                     found.append(ids)
                 lengths = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-                blob = packed(np.int64(bucket).tobytes(), planes(lengths), planes(flat))
-            kinds.append(kind)
-            blocks.append(block)
-            blobs.append(blob)
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(blocks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+                routes.append(buckets + block)
+                blobs.append(packed(planes(lengths), planes(flat)))
+        return pa.table({"route": pa.array(routes, pa.int64()), "bucket": pa.array([bucket] * len(routes), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def reassemble(table: pa.Table) -> pa.Table:
-    """One block: ids of every document, by position."""
-    top, parts = None, []
-    for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-        if kind:
-            name, lengths, flat = unpacked(blob)
-            parts.append((int(np.frombuffer(name, np.int64)[0]), from_planes(lengths), from_planes(flat)))
-        else:
-            top = unpacked(blob)
-    parts.sort(key=lambda x: x[0])
+def reassemble(blocks: pa.Table, back: pa.Table) -> pa.Table:
+    """One block and the ids of its words: ids of every document, by position. Other routes give nothing."""
     none = np.zeros(0, np.uint32)
-    lengths = np.concatenate([none, *(x[1] for x in parts)]).astype(np.int64)
-    flat = np.concatenate([none, *(x[2] for x in parts)])
-    doc_ids, known, sizes, counts, ranks = top
-    sizes = np.frombuffer(sizes, np.int64)
-    order = np.argsort(-from_planes(counts).astype(np.int64), kind="stable")
-    codes = order[from_planes(ranks)]
-    size = lengths[codes]
-    ids = flat[spread(size, (np.cumsum(lengths) - lengths)[codes])].astype(np.int32)
-    ends, sums = np.cumsum(sizes), np.r_[0, np.cumsum(size)]
-    offsets = np.r_[0, sums[ends]].astype(np.int32)
-    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+    parts = sorted((b, *map(from_planes, unpacked(x))) for b, x in zip(back.column("bucket").to_pylist(), back.column("blob").to_pylist())) if back.num_rows else []
+    offsets, ids, doc_ids, known = np.zeros(1, np.int32), none, b"", b""
+    blob = blocks.column("blob")[0].as_py() if blocks.num_rows else b""
+    top = unpacked(blob) if blob else []
+    if len(top) == 5:
+        doc_ids, known, sizes, counts, ranks = top
+        lengths = np.concatenate([none, *(x[1] for x in parts)]).astype(np.int64)
+        flat = np.concatenate([none, *(x[2] for x in parts)])
+        counts, sizes = from_planes(counts), np.frombuffer(sizes, np.int64)
+        if len(counts) != len(lengths):
+            raise RuntimeError(f"a block has {len(counts)} words and got the ids of {len(lengths)}")
+        order = np.argsort(-counts.astype(np.int64), kind="stable").astype(np.int32)
+        codes = order[from_planes(ranks)]
+        size = lengths[codes]
+        ends, sums = np.cumsum(sizes), np.r_[0, np.cumsum(size)]
+        ids = flat[spread(size, (np.cumsum(lengths) - lengths)[codes])]
+        offsets = np.r_[0, sums[ends]].astype(np.int32)
+    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
     return pa.table({"doc_id": pa.array(np.frombuffer(doc_ids, np.int64), pa.int64(), mask=np.frombuffer(known, np.uint8) == 0), "ids": values})
 
 
@@ -218,9 +219,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
     buckets = max(16, n_shuffle(docs.sparkSession))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = rows.mapInArrow(explode_words(pattern, buckets), SENT)
-    back = words.groupBy("bucket").applyInArrow(encode_words(ranks_path, pattern), "kind int, block bigint, blob binary")
-    return back.groupBy("block").applyInArrow(reassemble, ENCODED).select(F.col("doc_id").alias(id_col), "ids")
+    sent = rows.mapInArrow(explode_words(pattern, buckets), SENT).repartition(n_shuffle(docs.sparkSession), "route")
+    back = sent.groupBy("route").applyInArrow(encode_words(ranks_path, pattern, buckets), BACK)
+    return sent.groupBy("route").cogroup(back.groupBy("route")).applyInArrow(reassemble, ENCODED).select(F.col("doc_id").alias(id_col), "ids")
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
