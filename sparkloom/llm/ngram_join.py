@@ -393,7 +393,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, lower: bool = Tru
         linked = big.select("node", "shared", "p_shared", "n_shingles", "p_n").mapInArrow(with_pivot(percent), "node bigint, linked boolean")
         chunks = F.ceil(2 * F.col("postings") / unit_postings).cast("int")
         big = big.join(linked, "node").withColumn("k", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        big = big.withColumn("merged", F.when("linked", F.col("pivot"))).select("node", "component", "n_shingles", "shared", "linked", "merged", "k", "chunk", "pivot")
+        big = big.withColumn("merged", F.when(F.col("linked"), F.col("pivot"))).select("node", "component", "n_shingles", "shared", "linked", "merged", "k", "chunk", "pivot")
         big = cut(big, "large")
         asked = big.filter("NOT linked").groupBy("component", "chunk").agg(F.count(F.lit(1)).alias("n_asking")).select("component", F.col("chunk").alias("i"))
         unit = lambda i, j: F.concat_ws(":", F.lit("l"), "component", i, j)
