@@ -21,17 +21,35 @@ def split_valid(df: DataFrame, codes: str = "issues") -> tuple[DataFrame, DataFr
 
 
 # Reason codes by disposition.
-DIAGNOSTIC = ("ABSTENTION", "ADJUDICATOR_OMITTED", "CHALLENGER_REJECT")
-REPAIR = ("CHALLENGER_REVISE", "SCHEMA_REPAIRABLE")
-REJECT = ("BELOW_MIN_CONFIDENCE", "DUPLICATE", "PRIVATE_LEAK", "REFERENCE_MISSING")
-HUMAN = ("SEMANTIC_VERIFIER_AMBIGUOUS", "CONFLICT")
-
-
-def disposition(code: Column) -> Column:
-    """disposition and output channel of a reason code; the first list that has it decides, unknown codes go to people."""
-    kind = F.when(code.isNull(), "ACCEPT").when(code.isin(*REPAIR), "REPAIR").when(code.isin(*DIAGNOSTIC, *REJECT), "REJECT").otherwise("HUMAN_REVIEW")
-    channel = F.when(code.isNull(), "accepted").when(code.isin(*DIAGNOSTIC, *REPAIR), "diagnostics").when(code.isin(*REJECT), "rejected").otherwise("queue")
-    return F.struct(kind.alias("disposition"), channel.alias("channel"))
+REPAIR = ("CHALLENGER_REVISE",)
+REJECT = (
+    "EVIDENCE_BELOW_MIN_CONFIDENCE", "EVIDENCE_VALIDATION_FAILED", "BELOW_MIN_CONFIDENCE", "COMMERCE_CUE_BELOW_MIN_CONFIDENCE", "COMMERCIAL_RELATION_BELOW_MIN_CONFIDENCE",
+    "COMMERCE_CUE_VALIDATION_FAILED", "COMMERCIAL_RELATION_VALIDATION_FAILED", "PROPOSAL_GRAPH_VALIDATION_FAILED", "VALIDATION_FAILED", "SEMANTIC_DUPLICATE", "CONFLICTING_VALUE",
+    "CHALLENGER_REJECT", "CHALLENGER_REJECTED_OR_HUMAN_REVIEW", "SEMANTIC_VERIFIER_REJECT", "CHALLENGER_REPAIR_EXHAUSTED",
+)
+HUMAN = ("CHALLENGER_HUMAN_REVIEW", "SEMANTIC_VERIFIER_AMBIGUOUS", "MULTIPLE_PLAUSIBLE_ANSWERS")
+ABSTAINED = ("ABSTENTION", "NO_COMMERCIAL_RECORD")
+OMITTED = ("ADJUDICATOR_OMITTED", "ADJUDICATOR_UNKNOWN_SOURCE")
+
+
+def disposition(code: Column, item_type: Column | None = None, stage: Column | None = None) -> Column:
+    """disposition and output channel of a record: the first matching rule decides, unknown codes go to people,
+    a null code is accepted. Engineering and schema failures never become human work."""
+    kind, where = F.lower(F.coalesce(item_type, F.lit(""))) if item_type is not None else F.lit(""), F.lower(F.coalesce(stage, F.lit(""))) if stage is not None else F.lit("")
+    failed = code.contains("PARSE_ERROR") | (kind == "stage_failure")
+    rules = [
+        (code.isNull(), "ACCEPT", "accepted"),
+        (failed | (kind == "abstention") | code.isin(*ABSTAINED), "REJECT", "diagnostics"),
+        (code.isin(*REPAIR), "REPAIR", "diagnostics"),
+        (code.isin(*REJECT) | code.endswith("_VALIDATION_FAILED"), "REJECT", "rejected"),
+        (code.isin(*HUMAN) | ((where == "adjudication") & ~code.isin(*OMITTED)), "HUMAN_REVIEW", "queue"),
+        (code.startswith("ADJUDICATOR_"), "REJECT", "diagnostics"),
+    ]
+    out = None
+    for when, result, channel in rules:
+        value = F.struct(F.lit(result).alias("disposition"), F.lit(channel).alias("channel"))
+        out = F.when(when, value) if out is None else out.when(when, value)
+    return out.otherwise(F.struct(F.lit("HUMAN_REVIEW").alias("disposition"), F.lit("queue").alias("channel")))
 
 
 def enum_or(c: Column, domain: tuple[str, ...], other: str) -> Column:
