@@ -52,13 +52,16 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
         bits = bits or max(1, int(ids.max()).bit_length() if len(ids) else 1)
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        spare = np.empty_like(now)
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            bit = (now >> b) & 1 == 1
+            bit = (now & now.dtype.type(1 << b)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            ones = now[bit]
-            now = np.concatenate([now[~bit], ones])
-            zeros.append(len(now) - len(ones))
+            n = len(now) - int(np.count_nonzero(bit))
+            np.compress(bit, now, out=spare[n:])
+            np.compress(np.logical_not(bit, out=bit), now, out=spare[:n])
+            now, spare = spare, now
+            zeros.append(n)
         return cls(len(ids), planes, zeros)
 
     def rank1(self, plane: int, i: int) -> int:
@@ -119,14 +122,15 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """The whole sequence: planes are undone from the last to the first."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for p in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
-            before = np.empty(self.n, np.uint32)
-            before[~bit] = now[: self.zeros[p]]
-            before[bit] = now[self.zeros[p] :] | np.uint32(1 << (len(self.planes) - 1 - p))
+            before = np.empty(self.n, kind)
+            before[bit] = now[self.zeros[p] :] | kind(1 << (len(self.planes) - 1 - p))
+            before[np.logical_not(bit, out=bit)] = now[: self.zeros[p]]
             now = before
-        return now
+        return now.astype(np.uint32)
 
     def to_bytes(self, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
         """magic, head length, head (counts, sizes of the parts), then the compressed parts."""
