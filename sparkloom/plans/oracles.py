@@ -14,6 +14,15 @@ def bare(c: str) -> str:
     return BARE.format(c)
 
 
+def bigrams(c: str) -> str:
+    return f"CASE WHEN {c} = '' THEN [] WHEN length({c}) <= 2 THEN [{c}] ELSE list_distinct([substring({c}, i, 2) FOR i IN generate_series(1, length({c}) - 1)]) END"
+
+
+def index_of(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 0.0 ELSE round({both} / (len({a}) + len({b}) - {both}), 6) END"
+
+
 SCORE_BLOCK = """count(*) FILTER (WHERE {j} AND {s} IS NOT NULL) AS count, count(*) FILTER (WHERE NOT ({j} AND {s} IS NOT NULL)) AS failed,
   round(avg(CASE WHEN {j} AND {s} IS NOT NULL THEN CAST({s} = 1.0 AS INTEGER) END), 6) AS strict,
   round(avg(CASE WHEN {j} AND {s} IS NOT NULL THEN {s} END), 6) AS relaxed"""
@@ -145,6 +154,35 @@ WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority,
 b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r2 FROM a WHERE r <= 1),
 c AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r3 FROM b WHERE r2 <= 2)
 SELECT o_orderkey, o_custkey FROM c WHERE r3 <= 4""",
+    "candidate_scores": r"""
+WITH t AS (SELECT conv_id, turn, lower(text) AS a, len(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?')) AS w FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, round(round((conv_id % 10) / 10.0 * 50, 6) + least(18, turn % 4 * 3 + conv_id % 3 * 8) + CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 10 END + CASE WHEN conv_id % 4 = 0 THEN 8 ELSE 0 END + turn % 5 * 2
+  - CASE WHEN regexp_matches(a, 'flips through|turns the pages|holds up|points to|shows the product|rotates the product') THEN 45 ELSE 0 END - greatest(0, w - 30) * 0.5, 6) AS score FROM t""",
+    "question_checks": r"""
+WITH t AS (SELECT conv_id, turn, trim(text) AS q, string_split(text, ' ')[1] AS a FROM conversations WHERE role = 'user'),
+s AS (SELECT *, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS qs, trim(regexp_replace(lower(a), '[^a-z0-9]+', ' ', 'g')) AS sa, len(regexp_extract_all(q, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?')) AS w FROM t)
+SELECT conv_id, turn, coalesce(array_to_string(list_filter([CASE WHEN q <> '' AND NOT ends_with(q, '?') THEN 'MISSING_QUESTION_MARK' END, CASE WHEN w < 5 OR w > 45 THEN 'QUESTION_LENGTH_OUT_OF_RANGE' END,
+  CASE WHEN length(trim(a)) > 3 AND sa <> '' AND contains(qs, sa) THEN 'ANSWER_LEAKAGE' END], lambda x: x IS NOT NULL), ','), '') AS codes FROM s""",
+    "cohort_selection": """
+WITH h AS (SELECT doc_id, lang, source, doc_id IN (5, 17) AS anchor, sha256('42|' || doc_id) AS h FROM documents),
+p AS (SELECT *, CASE WHEN anchor THEN 0 WHEN row_number() OVER (PARTITION BY source ORDER BY anchor DESC, h) = 1 THEN 1 ELSE 2 END AS pass FROM h),
+s AS (SELECT *, row_number() OVER (PARTITION BY pass, lang ORDER BY h) AS sweep FROM p),
+r AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY pass, sweep, lang, h) AS INTEGER) AS turn FROM s) SELECT * FROM r WHERE turn <= 60""",
+    "translation_jobs": r"""
+WITH j AS (SELECT 'turn' AS object_type, conv_id || ':' || turn AS object_id, 'text' AS source_field, text AS s FROM conversations UNION ALL SELECT 'turn', conv_id || ':' || turn, 'role', role FROM conversations UNION ALL SELECT 'item', CAST(item_id AS VARCHAR), 'text', text FROM benchmark),
+d AS (SELECT DISTINCT object_type, object_id, source_field, sha256(s) AS source_sha256 FROM j WHERE trim(s) <> '')
+SELECT *, 'tr_' || substring(sha256('{"digest":"' || source_sha256 || '","field":"' || source_field || '","key":"' || object_id || '","kind":"' || object_type || '","version":"v1"}'), 1, 16) AS translation_id FROM d""",
+    "token_costs": """
+SELECT doc_id, round((n_chars * CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 2.0 END + n_chars % 100 * CASE WHEN lang = 'de' THEN 4.0::DOUBLE ELSE 8.0 END) / 1000000, 6) AS cost_usd FROM documents""",
+    "language_flags": """
+SELECT doc_id, CAST(regexp_matches(string_split(text, chr(10))[1], '下单|去拍|拍下|购买|入手|冲|囤|抢|带回家|点链接|别错过') AS INTEGER) AS title_has_cta, CAST(regexp_matches(text, '放心|官方|正品|包邮|安全|无添加|不伤|保障|售后|退') AS INTEGER) AS text_has_risk_reduction,
+  len(regexp_extract_all(string_split(text, chr(10))[1], '[?？]')) AS title_question_count, len(regexp_extract_all(text, '[!！]')) AS text_exclamation_count FROM documents""",
+    "cross_modal": f"""
+WITH d AS (SELECT doc_id, {bare('substring(string_split(text, chr(10))[1], 1, 80)')} AS t, {bare('substring(text, 1, 200)')} AS b, {bare('source')} AS p, {bare('lang')} AS l FROM documents),
+g AS (SELECT *, {bigrams('t')} AS gt, {bigrams('b')} AS gb, {bigrams('p')} AS gp FROM d),
+j AS (SELECT doc_id, {index_of('gt', 'gb')} AS title_text_jaccard, {index_of('gt', 'gp')} AS title_product_jaccard, {index_of('gb', 'gp')} AS text_product_jaccard,
+  CAST(contains(t, l) OR contains(t, p) AS INTEGER) AS category_in_title, CAST(contains(b, l) OR contains(b, p) AS INTEGER) AS category_in_text FROM g)
+SELECT *, round((title_text_jaccard + title_product_jaccard + text_product_jaccard + category_in_title + category_in_text) / 5, 6) AS consistency_score FROM j""",
     "top_orders": """SELECT o_orderkey, o_orderpriority, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 10""",
     "validated_lines": """
 WITH v AS (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_discount > 0.09 THEN 'CHALLENGER_REVISE' END, CASE WHEN l_quantity < 2 THEN 'BELOW_MIN_CONFIDENCE' END, CASE WHEN l_tax > l_discount + 0.07 THEN 'CONFLICT' END], lambda x: x IS NOT NULL) AS c FROM lineitem)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import nested, numbers, text
 from ..operators import aggregates, joins, rules, windows
 from ..sources import scans
+from . import evidence, pipelines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -309,7 +310,56 @@ def model_replies(spark, d):
     return windows.model_calls(t, client, "conv_id bigint, turn bigint, n_input bigint, success boolean")
 
 
+def candidate_scores(spark, d):
+    """Assistant turns scored as candidates: role of the turn as task, text as answer."""
+    t = table(spark, d, "conversations").filter("role = 'assistant'")
+    score = evidence.candidate_score((F.pmod("conv_id", F.lit(10)) / 10), F.pmod("turn", F.lit(4)), F.pmod("conv_id", F.lit(3)), F.when(F.col("conv_id") % 2 == 0, "BP").otherwise("CM"), F.when(F.col("conv_id") % 4 == 0, "USAGE_SCENARIO").otherwise("OTHER"), F.col("text"), F.pmod("turn", F.lit(5)))
+    return t.select("conv_id", "turn", score.alias("score"))
+
+
+def question_checks(spark, d):
+    """Issue codes of user turns as questions, with the first word as answer."""
+    t = table(spark, d, "conversations").filter("role = 'user'").withColumn("answer", F.get(F.split("text", " "), F.lit(0)))
+    codes = evidence.question_issues(F.lit("CM"), F.col("text"), F.col("answer"))
+    kept = F.filter(codes, lambda c: c.isin("MISSING_QUESTION_MARK", "QUESTION_LENGTH_OUT_OF_RANGE", "ANSWER_LEAKAGE"))
+    return t.select("conv_id", "turn", F.array_join(kept, ",").alias("codes"))
+
+
+def cohort_selection(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return pipelines.cohort(docs, "doc_id", ["lang"], "source", ["5", "17"], 60).select("doc_id", "turn")
+
+
+def translation_jobs(spark, d):
+    conv = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text", "role")
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    jobs = pipelines.translation_jobs([(conv, "turn", "id", ["text", "role"]), (items, "item", "id", ["text"])], "v1")
+    return jobs.select("object_type", "object_id", "source_field", "source_sha256", "translation_id")
+
+
+def token_costs(spark, d):
+    prices = spark.createDataFrame([("en", 2.0, 8.0), ("de", 1.0, 4.0)], "model string, input_price double, output_price double")
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("model"), F.col("n_chars").alias("input_tokens"), (F.col("n_chars") % 100).alias("output_tokens"))
+    return pipelines.token_cost(docs, prices, "en").select("doc_id", "cost_usd")
+
+
+def language_flags(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), "text")
+    return pipelines.language_features(docs, "doc_id", "title", "text").select("doc_id", "title_has_cta", "text_has_risk_reduction", "title_question_count", "text_exclamation_count")
+
+
+def cross_modal(spark, d):
+    """Bigram agreement of a document's first line, its next 200 characters and its source."""
+    docs = table(spark, d, "documents").select("doc_id", F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80).alias("title"), F.substring("text", 1, 200).alias("body"), "source", F.concat_ws("/", "lang", "source").alias("category"))
+    return pipelines.cross_modal_features(docs, "doc_id", "title", "body", "source", "category")
+
+
+def table_fingerprint(spark, d):
+    return pipelines.stage_fingerprint(table(spark, d, "orders"), "o_orderkey", "upstream")
+
+
 ALL = (
+    candidate_scores, question_checks, cohort_selection, translation_jobs, token_costs, language_flags, cross_modal, table_fingerprint,
     rank_quality_report, text_features, ngram_jaccard, question_stems, tagged_answers, parsed_numbers, order_dates, number_expressions, quartile_segments, judge_scores, frame_grid,
     content_ids, event_json, public_documents, scored_labels, score_blocks, line_closure, ordered_lines, nearest_events, cache_status, spearman_grid, interaction_strata, roc_auc_by_lang,
     label_agreement, bootstrap_means, duplicate_conflicts, first_documents, hash_sample, round_robin, group_split, quota_selection, similar_turns, top_orders, validated_lines,
