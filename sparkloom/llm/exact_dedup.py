@@ -57,8 +57,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", how: str = "none", runs:
 
     keep: largest or smallest id of each group. Null texts count as empty texts and
     are equal to them. Repeated rows (same id and text) are all returned and all
-    counted; a null id never wins over another. An empty table gives no rows. Other
-    columns of docs, whatever their names, are ignored.
+    counted; those with the winning id are all kept. A null id never wins over another, and
+    its rows are kept, since nothing names them. An empty table gives no rows. Other columns of docs,
+    whatever their names, are ignored.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError(keep)
@@ -82,7 +83,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", how: str = "none", runs:
         F.col("_id").alias(id_col),
         keep_id.alias("keep_id"),
         size.alias("group_size"),
-        F.coalesce(F.col("_id") == keep_id, F.lit(False) | ((size == 1) & F.col("_id").isNull())).alias("kept"),
+        (F.col("_id").isNull() | F.coalesce(F.col("_id") == keep_id, F.lit(False))).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     )
 
@@ -90,4 +91,4 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", how: str = "none", runs:
 def drop_copies(docs: DataFrame, keep: str = "largest", how: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id stays; all columns unchanged."""
     gone = exact_dedup(docs, keep, how, id_col=id_col, text_col=text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

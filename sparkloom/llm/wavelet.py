@@ -133,31 +133,36 @@ class WaveletMatrix:
         return now.astype(np.uint32)
 
     def to_bytes(self, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-        """magic, head length, head (counts, sizes of the parts), then the compressed parts."""
+        """magic, head length, head (counts, sizes of the parts), then the compressed parts.
+
+        The directory holds ids, whether each is known (a null id is stored as 0, unknown), and lengths.
+        """
         press = zstandard.ZstdCompressor(level=1)
-        parts = [press.compress(x.astype("<i8").tobytes()) for x in (doc_ids, lengths)]
+        known = np.array([x is not None for x in doc_ids], np.uint8)
+        names = np.array([x or 0 for x in doc_ids], "<i8")
+        parts = [press.compress(names.tobytes()), press.compress(known.tobytes()), press.compress(lengths.astype("<i8").tobytes())]
         for plane, ranks in zip(self.planes, self.ranks):
             parts += [press.compress(plane.tobytes()), press.compress(ranks.astype("<u4").tobytes())]
         head = struct.pack(f"<QQB{len(self.zeros)}Q{len(parts)}Q", self.n, len(doc_ids), len(self.planes), *self.zeros, *map(len, parts))
         return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
     @classmethod
-    def from_bytes(cls, file: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
-        """The matrix, and the ids and lengths of its documents."""
+    def from_bytes(cls, file: bytes) -> tuple[WaveletMatrix, pa.Array, np.ndarray]:
+        """The matrix, and the ids (nulls where unknown) and lengths of its documents."""
         if file[:8] != MAGIC:
             raise ValueError("not a wavelet shard")
         (size,) = struct.unpack_from("<I", file, 8)
         n, _, bits = struct.unpack_from("<QQB", file, 12)
-        numbers = struct.unpack_from(f"<{3 * bits + 2}Q", file, 12 + 17)
+        numbers = struct.unpack_from(f"<{3 * bits + 3}Q", file, 12 + 17)
         zeros, sizes = list(numbers[:bits]), numbers[bits:]
         parts, at, plain = [], 12 + size, zstandard.ZstdDecompressor()
         for length in sizes:
             parts.append(plain.decompress(file[at : at + length]))
             at += length
-        doc_ids, lengths = (np.frombuffer(x, "<i8") for x in parts[:2])
-        planes = [np.frombuffer(x, np.uint8) for x in parts[2::2]]
-        ranks = [np.frombuffer(x, "<u4") for x in parts[3::2]]
-        return cls(n, planes, zeros, ranks), doc_ids, lengths
+        doc_ids = pa.array(np.frombuffer(parts[0], "<i8"), pa.int64(), mask=np.frombuffer(parts[1], np.uint8) == 0)
+        planes = [np.frombuffer(x, np.uint8) for x in parts[3::2]]
+        ranks = [np.frombuffer(x, "<u4") for x in parts[4::2]]
+        return cls(n, planes, zeros, ranks), doc_ids, np.frombuffer(parts[2], "<i8")
 
 
 def write_slices(tokenizer: str, end_id: int, shard_tokens: int, bits: int) -> Callable:
@@ -166,9 +171,9 @@ def write_slices(tokenizer: str, end_id: int, shard_tokens: int, bits: int) -> C
 
         def shard() -> pa.RecordBatch:
             nonlocal seq, waiting
-            ids, lengths, names = np.concatenate(held), np.concatenate(sizes), np.concatenate(docs)
+            ids, lengths, names = np.concatenate(held), np.concatenate(sizes), list(docs)
             file = WaveletMatrix.build(ids, bits).to_bytes(names, lengths)
-            row = (part, seq, len(ids), len(names), int(names[0]), int(names[-1]), file)
+            row = (part, seq, len(ids), len(names), names[0], names[-1], file)
             for x in (docs, sizes, held):
                 x.clear()
             seq, waiting = seq + 1, 0
@@ -182,7 +187,7 @@ def write_slices(tokenizer: str, end_id: int, shard_tokens: int, bits: int) -> C
             inside = np.ones(len(out), bool)
             inside[ends - 1] = False
             out[inside] = ids
-            docs.append(batch.column("doc_id").to_numpy())
+            docs += batch.column("doc_id").to_pylist()
             sizes.append(counts + 1)
             held.append(out)
             waiting += len(out)
@@ -197,12 +202,12 @@ def write_slices(tokenizer: str, end_id: int, shard_tokens: int, bits: int) -> C
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write one file per shard below path, documents in ascending id order, end_id after each.
 
-    A null text counts as empty (its only id is end_id). Rows with a null id are
-    refused, since they have no place in the order. A document is never cut: a shard ends with the document
-    slice that fills it. bits must hold the largest id.
+    A null text counts as empty (its only id is end_id). Rows with a null id come first, in any order;
+    repeated ids lie next to each other. A document is never cut: a shard ends with the slice of
+    documents that fills it. bits must hold the largest id. An empty table writes no shards.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.when(F.col(id_col).isNull(), F.raise_error(F.lit("null document id"))).otherwise(F.col(id_col)).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     placed = rows.repartitionByRange(n_shuffle(spark), "doc_id").sortWithinPartitions("doc_id").select("doc_id", "text", F.spark_partition_id().alias("part"))
     shards = placed.mapInArrow(write_slices(tokenizer, end_id, shard_tokens, bits), SHARDS)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)

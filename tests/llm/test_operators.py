@@ -218,9 +218,9 @@ def test_wavelet_matrix():
     rng = np.random.default_rng(2)
     for n, top in ((1, 5), (5000, 50_000), (12_345, 3)):
         ids = rng.integers(0, top, n)
-        file = wavelet.WaveletMatrix.build(ids, 16).to_bytes(np.array([3, 4]), np.array([1, n - 1]))
+        file = wavelet.WaveletMatrix.build(ids, 16).to_bytes([3, None], np.array([1, n - 1]))
         matrix, names, lengths = wavelet.WaveletMatrix.from_bytes(file)
-        assert (matrix.ids() == ids).all() and names.tolist() == [3, 4] and lengths.tolist() == [1, n - 1]
+        assert (matrix.ids() == ids).all() and names.to_pylist() == [3, None] and lengths.tolist() == [1, n - 1]
         for i in {0, n - 1, n // 2, min(4096, n - 1)}:
             t = int(ids[i])
             places = np.flatnonzero(ids == t)
@@ -351,3 +351,40 @@ def test_extra_columns_with_clashing_names(docs_of):
     assert quality_rules.ledger(docs).count() == 2
     assert quality_rules.keep_passing(docs, ("web", 1)).columns == docs.columns
     assert byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 2
+
+
+def test_null_ids_repeated_rows_and_ties(spark, docs_of):
+    """Each operator returns a defined row for null ids, null texts and repeated rows."""
+    rows = [(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")]
+    docs = docs_of(rows)
+    json, ranks = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+    shards = wavelet.round_trip(docs, json, 2).orderBy("start").collect()
+    assert [r["doc_id"] for r in shards] == [None, None, 1, 1, 2, 3] and shards[-1]["n_tokens"] == 1
+    packed = packing.pack_documents(docs, P.path("word_bpe_49k.json"), 1, 64).collect()
+    assert sum(r["doc_id"] is None for r in packed) == 2 and len(packed) == 6
+    check_packing(packed, 64)
+    assert byte_bpe.encode_documents(docs, ranks, P.PATTERN).filter("doc_id IS NULL").count() == 2
+    dedup = exact_dedup.exact_dedup(docs).collect()
+    assert len(dedup) == 6 and all(r["kept"] for r in dedup if r["doc_id"] is None) and {r["keep_id"] for r in dedup} == {1, 3}
+    assert exact_dedup.drop_copies(docs).count() == 5
+    joined = ngram_join.ngram_join(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in joined if r["doc_id"]) == [(1, 1), (1, 1), (2, 2), (3, 3)] and len(joined) == 6
+    assert quality_rules.ledger(docs).count() == 6
+    assert licenses.scan(docs_of([(None, licenses.TEMPLATES["MIT line"])])).first()["doc_id"] is None
+    model = langid.fit(docs_of([(1, "some words"), (None, "other"), (2, None)]))
+    assert langid.identify(docs, model).count() == 6
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id bigint, toxic int"))
+    assert toxicity.score(docs, lexicon).count() == 6 and toxicity.reject(docs, lexicon).count() == 6
+
+
+def test_very_long_text(docs_of):
+    """One text of half a million words goes through every operator whole."""
+    text = " ".join(f"w{i % 9973}" for i in range(500_000))
+    docs = docs_of([text, "short one"])
+    sizes = {r["doc_id"]: r["n_shingles"] for r in ngram_join.ngram_join(docs).collect()}
+    assert sizes == {0: 9973, 1: 1}
+    encoded = byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    decoded = {r["doc_id"]: bytes(r["decoded"]).decode() for r in byte_bpe.decode_ids(encoded, P.path("byte_bpe_50k.tiktoken")).collect()}
+    assert decoded == {0: text, 1: "short one"}
+    rows = packing.pack_documents(docs, P.path("word_bpe_49k.json"), 1).collect()
+    assert check_packing(rows, 4096) == -(-sum(r["length"] for r in rows) // 4096)
