@@ -39,6 +39,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser board")
 #: Bounds of the sample that a lexicon is fitted on, and of the lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_ENTRIES = 4000, 8000, 2000
 STEMS = (4, 5, 6, 7, 8, 9)
+#: Contexts that a task gathers before it sends them, which bounds its memory.
+CONTEXT_BLOCK = 50_000
 #: A longer entry replaces a shorter one that it explains to this share.
 EXPLAINED = 0.8
 
@@ -133,16 +135,24 @@ def measure(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tup
 
 
 def word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, toxic and a hash of (word before, word, word after), each distinct one of the task once."""
+    """word, toxic and a hash of (word before, word, word after); repeats within a block of words once."""
     import xxhash
 
+    def sent(seen: set[tuple[str, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.string(), pa.int32(), pa.int64()))], ["word", "toxic", "context"])
+
+    seen: set[tuple[str, int, int]] = set()
     for batch in text_slices(batches):
-        seen: set[tuple[str, int, int]] = set()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = ["", *fold(text), ""]
-            seen.update((b, toxic, xxhash.xxh64_intdigest(f"{a} {b} {c}") >> 1) for a, b, c in zip(words, words[1:], words[2:]))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.string(), pa.int32(), pa.int64()))], ["word", "toxic", "context"])
+            for at in range(0, len(words) - 2, CONTEXT_BLOCK):
+                part = words[at : at + CONTEXT_BLOCK + 2]
+                seen.update((b, toxic, xxhash.xxh64_intdigest(f"{a} {b} {c}") >> 1) for a, b, c in zip(part, part[1:], part[2:]))
+                if len(seen) >= CONTEXT_BLOCK:
+                    yield sent(seen)
+                    seen.clear()
+    if seen:
+        yield sent(seen)
 
 
 def bounded(labels: DataFrame, most: tuple[int, int]) -> DataFrame:
