@@ -38,10 +38,16 @@ def bare(c: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 2) -> Column:
-    """Distinct character n-grams of the bare text; at most n characters give one gram, none give none."""
-    t = bare(c)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= n, F.array(t)).otherwise(many)
+    """Distinct character n-grams of the bare text; at most n characters give one gram, none give none.
+
+    The characters are split off once and bound to a lambda variable, so the cost is linear in the text.
+    """
+
+    def grams(chars: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
+        return F.when(F.size(chars) == 0, F.array().cast("array<string>")).when(F.size(chars) <= n, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(many))
+
+    return F.element_at(F.transform(F.array(F.filter(F.split(bare(c), ""), lambda x: x != "")), grams), 1)
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import graph_oracles
+
 CLEAN = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
 BARE = r"lower(regexp_replace(coalesce({0}, ''), '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9]+', '', 'g'))"
 
@@ -58,7 +60,7 @@ SELECT doc_id, length({clean('text')}) AS n_clean, length(regexp_replace({clean(
   (length({bare('text')}) - length(replace({bare('text')}, 'the', ''))) // 3 + (length({bare('text')}) - length(replace({bare('text')}, 'ing', ''))) // 3 AS n_keywords
 FROM documents""",
     "ngram_jaccard": f"""
-WITH t AS (SELECT conv_id, turn, substring(text, 1, 120) AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, text FROM conversations),
 p AS (SELECT conv_id, turn, {bare('text')} AS x, {bare('nxt')} AS y FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM t) WHERE nxt IS NOT NULL),
 g AS (SELECT conv_id, turn, CASE WHEN x = '' THEN [] WHEN length(x) <= 2 THEN [x] ELSE list_distinct([substring(x, i, 2) FOR i IN generate_series(1, length(x) - 1)]) END AS a,
   CASE WHEN y = '' THEN [] WHEN length(y) <= 2 THEN [y] ELSE list_distinct([substring(y, i, 2) FOR i IN generate_series(1, length(y) - 1)]) END AS b FROM p)
@@ -69,7 +71,7 @@ c AS (SELECT stem, count(*) AS size FROM s GROUP BY 1)
 SELECT stem, size, size > 1 AS duplicate, round(size / (SELECT count(*) FROM s), 6) AS share FROM c""",
     "tagged_answers": f"""
 SELECT conv_id, turn, md5({clean('text')}) AS inside, md5({clean('text')}) AS whole,
-  CASE WHEN regexp_replace(substring(text, 1, 20), '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]', '', 'g') = '' THEN 'unknown' ELSE regexp_replace(substring(text, 1, 20), '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]', '', 'g') END AS segment,
+  md5(coalesce(nullif(regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]', '', 'g'), ''), 'unknown')) AS segment,
   concat_ws('_', conv_id, turn) AS slug FROM conversations WHERE role = 'assistant'""",
     "parsed_numbers": f"""
 WITH p AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, p_size AS n, p_retailprice FROM part)
@@ -178,7 +180,7 @@ SELECT doc_id, round((n_chars * CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 2.0
 SELECT doc_id, CAST(regexp_matches(string_split(text, chr(10))[1], '下单|去拍|拍下|购买|入手|冲|囤|抢|带回家|点链接|别错过') AS INTEGER) AS title_has_cta, CAST(regexp_matches(text, '放心|官方|正品|包邮|安全|无添加|不伤|保障|售后|退') AS INTEGER) AS text_has_risk_reduction,
   len(regexp_extract_all(string_split(text, chr(10))[1], '[?？]')) AS title_question_count, len(regexp_extract_all(text, '[!！]')) AS text_exclamation_count FROM documents""",
     "cross_modal": f"""
-WITH d AS (SELECT doc_id, {bare('substring(string_split(text, chr(10))[1], 1, 80)')} AS t, {bare('substring(text, 1, 200)')} AS b, {bare('source')} AS p, {bare('lang')} AS l FROM documents),
+WITH d AS (SELECT doc_id, {bare('string_split(text, chr(10))[1]')} AS t, {bare('text')} AS b, {bare('source')} AS p, {bare('lang')} AS l FROM documents),
 g AS (SELECT *, {bigrams('t')} AS gt, {bigrams('b')} AS gb, {bigrams('p')} AS gp FROM d),
 j AS (SELECT doc_id, {index_of('gt', 'gb')} AS title_text_jaccard, {index_of('gt', 'gp')} AS title_product_jaccard, {index_of('gb', 'gp')} AS text_product_jaccard,
   CAST(contains(t, l) OR contains(t, p) AS INTEGER) AS category_in_title, CAST(contains(b, l) OR contains(b, p) AS INTEGER) AS category_in_text FROM g)
@@ -212,4 +214,4 @@ SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'money' WHE
 
 
 def oracle_sql() -> dict:
-    return {k: v.strip() for k, v in ORACLES.items()}
+    return {k: v.strip() for k, v in (ORACLES | graph_oracles.ORACLES).items()}

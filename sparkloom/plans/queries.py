@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import nested, numbers, text
 from ..operators import aggregates, joins, rules, windows
 from ..sources import scans
-from . import evidence, pipelines
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+from ..sources.scans import table
+from . import evidence, graph_queries, pipelines
 
 
 def rank_quality_report(spark, d):
@@ -35,7 +32,7 @@ def text_features(spark, d):
 
 def ngram_jaccard(spark, d):
     """Bigram Jaccard index of each conversation turn with the next."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 120).alias("text"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
     nxt = Window.partitionBy("conv_id").orderBy("turn")
     pairs = turns.withColumn("next_text", F.lead("text").over(nxt)).filter("next_text IS NOT NULL")
     grams = pairs.select("conv_id", "turn", text.char_ngrams(F.col("text")).alias("a"), text.char_ngrams(F.col("next_text")).alias("b"))
@@ -53,7 +50,7 @@ def question_stems(spark, d):
 def tagged_answers(spark, d):
     t = table(spark, d, "conversations").filter("role = 'assistant'")
     made = t.select("conv_id", "turn", F.concat(F.lit("x <Answer>"), F.col("text"), F.lit("</ANSWER> y")).alias("reply"), "text")
-    return made.select("conv_id", "turn", F.md5(text.tagged_answer(F.col("reply"))).alias("inside"), F.md5(text.tagged_answer(F.col("text"))).alias("whole"), text.safe_segment(F.substring("text", 1, 20)).alias("segment"), text.slug(F.concat_ws("/", "conv_id", "turn")).alias("slug"))
+    return made.select("conv_id", "turn", F.md5(text.tagged_answer(F.col("reply"))).alias("inside"), F.md5(text.tagged_answer(F.col("text"))).alias("whole"), F.md5(text.safe_segment(F.col("text"))).alias("segment"), text.slug(F.concat_ws("/", "conv_id", "turn")).alias("slug"))
 
 
 def parsed_numbers(spark, d):
@@ -349,8 +346,8 @@ def language_flags(spark, d):
 
 
 def cross_modal(spark, d):
-    """Bigram agreement of a document's first line, its next 200 characters and its source."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80).alias("title"), F.substring("text", 1, 200).alias("body"), "source", F.concat_ws("/", "lang", "source").alias("category"))
+    """Bigram agreement of a document's first line, its whole text and its source."""
+    docs = table(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("body"), "source", F.concat_ws("/", "lang", "source").alias("category"))
     return pipelines.cross_modal_features(docs, "doc_id", "title", "body", "source", "category")
 
 
@@ -368,4 +365,4 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL + graph_queries.ALL}

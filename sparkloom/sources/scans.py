@@ -165,3 +165,8 @@ def grouped_assets(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     named = files.select(F.col(path).alias("path"), numeric_stem(F.col(path)).alias("entity_id"))
     found = named.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(F.array_sort(F.collect_list("path")).alias("paths")).withColumn("n_paths", F.size("paths"))
     return found, named.filter("entity_id IS NULL").select("path")
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder of tables."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
