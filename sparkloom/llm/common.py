@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,8 +57,16 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and idle ones would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each has about `most` bytes of text, or one row."""
+    """Cut record batches so that each has about `most` bytes of text, or one row; at the end, memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -66,6 +75,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+    batch = None
+    give_back()
 
 
 def plain(column: pa.Array) -> pa.Array:

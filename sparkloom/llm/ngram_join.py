@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_shuffle, shingle_hashes, text_slices, word_hashes, words_of
+from .common import cut, give_back, n_shuffle, shingle_hashes, text_slices, word_hashes, words_of
 from .components import connected_components
 
 LOW = np.uint64((1 << 48) - 1)
@@ -117,6 +117,7 @@ def post(n: int, lower: bool, buckets: int):
 
 def count_lists(table: pa.Table) -> pa.Table:
     """One hash range: postings of lists with two documents or more, with the list's length, by batch."""
+    give_back()  # what the previous range used
     kinds, names, blobs = (table.column(c).to_pylist() for c in ("kind", "batch", "blob"))
     out = [(b, 0, x) for k, b, x in zip(kinds, names, blobs) if k == 0]
     lists = [(b, unpack(x, 1)) for k, b, x in zip(kinds, names, blobs) if k == 1]
@@ -148,6 +149,7 @@ def gather_sets(percent: int):
     """One batch: a row per document; those that can still be linked carry their shared hashes, rarest first."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         kinds, blobs = (table.column(c).to_pylist() for c in ("kind", "blob"))
         top = next(x for k, x in zip(kinds, blobs) if k == 0)
         n = int(np.frombuffer(top, np.uint32, 1)[0])
@@ -291,6 +293,7 @@ def prefix_postings(buckets: int):
 
 def prefix_edges(table: pa.Table) -> pa.Table:
     """One hash range: an edge from each group on a list to the first of the list."""
+    give_back()
     a, b = [], []
     hs, rs = [], []
     for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
@@ -318,6 +321,7 @@ def join_unit(percent: int):
     """One unit of blocks: every document with the smallest document of its group, as an edge."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         node = table.column("node").to_numpy()
         sizes = table.column("n_shingles").to_numpy()
         held = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]

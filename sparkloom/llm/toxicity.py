@@ -39,6 +39,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser board")
 #: Bounds of the sample that a lexicon is fitted on, and of the lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_ENTRIES = 4000, 8000, 2000
 STEMS = (4, 5, 6, 7, 8, 9)
+#: Words are Python objects here, so slices are small.
+WORD_SLICE = 1 << 20
 #: Contexts that a task gathers before it sends them, which bounds its memory.
 CONTEXT_BLOCK = 50_000
 #: A longer entry replaces a shorter one that it explains to this share.
@@ -126,7 +128,7 @@ def measure(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tup
     """Slices with the weight, matched words and words of each text."""
     matcher = lexicon.automaton()
     found = bool(lexicon.entries)
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, most=WORD_SLICE):
         rows = []
         for text in batch.column("text").to_pylist():
             words = fold(text)
@@ -142,7 +144,7 @@ def word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen), (pa.string(), pa.int32(), pa.int64()))], ["word", "toxic", "context"])
 
     seen: set[tuple[str, int, int]] = set()
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, most=WORD_SLICE):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = ["", *fold(text), ""]
             for at in range(0, len(words) - 2, CONTEXT_BLOCK):
