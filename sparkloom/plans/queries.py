@@ -286,14 +286,23 @@ def classified_events(spark, d):
 
 
 def benchmark_leaks(spark, d):
-    """Benchmark items whose whole text occurs in a document: an anchored search by the item's first five words."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    """Benchmark items whose whole text occurs in a document.
+
+    The first and the last blank-separated piece of an item can be part of a longer word of the document, the pieces between them cannot:
+    items are found by the first five of these, and items with fewer are looked for in every document. Both are checked as whole texts.
+    """
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", r"\s+").alias("w"))
     key = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(5)), " "))
-    heads = items.withColumn("w", F.split(F.trim("item"), r"\s+")).select("item_id", "item", key(F.col("w"), F.lit(1)).alias("k"))
+    long, short = items.filter(F.size("w") >= 7), items.filter(F.size("w") < 7).select("item_id", "item")
+    heads = long.select("item_id", key(F.col("w"), F.lit(2)).alias("k"))
     docs = table(spark, d, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
     grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: key(F.col("w"), i)))).alias("k"))
-    hits = grams.join(heads.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    checked = hits.join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id").filter(F.col("text").contains(F.col("item")))
+    hits = grams.join(heads, "k").select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).distinct()
+    texts = docs.select("doc_id", "text")
+    anchored = hits.join(texts, F.col("_doc").eqNullSafe(F.col("doc_id"))).join(long.select("item_id", "item"), F.col("_item").eqNullSafe(F.col("item_id"))).filter(F.col("text").contains(F.col("item")))
+    # without an equality Spark broadcasts few short items, and deals many in blocks (a Cartesian product)
+    searched = texts.join(short, F.col("text").contains(F.col("item")))
+    checked = anchored.select("item_id", "doc_id").unionByName(searched.select("item_id", "doc_id"))
     return checked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

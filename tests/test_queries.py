@@ -33,3 +33,12 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_benchmark_leaks_next_to_punctuation_and_short_items(spark, tmp_path):
+    whole = "The cat sat on the mat today."
+    items = [(0, whole), (1, "one two three four five"), (2, "word"), (3, "two words"), (4, " led by a blank, and ended by one "), (5, "never to be seen in any of the texts"), (6, None), (7, "six of them in a row"), (8, "")]
+    texts = [f'He said: "{whole}"', f"({whole})", f"dash\u2014{whole}x", whole, "one two three four five, six", "zone two three four fives", "sword words", "is led by a blank, and ended by one too", "(six of them in a row)", "The cat sat  on the mat today.", "", None, whole]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None if i == 12 else i // 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(queries.benchmark_leaks(spark, str(tmp_path)), tables(str(tmp_path)), SQL["benchmark_leaks"])
