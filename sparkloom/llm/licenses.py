@@ -11,7 +11,9 @@ a banded alignment around it counts the template words that are matched in order
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,13 +74,15 @@ def fingerprints(hashes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.nda
     return h[at], at
 
 
-def align(words: list[str], template: list[str], centre: int, band: int) -> tuple[int, int, int]:
+def align(words: list[str], template: list[str], centre: int, band: int, begin: int = 0, end: int | None = None) -> tuple[int, int, int]:
     """Longest common subsequence of template and text within |text place - template place - centre| <= band.
 
-    Returns matched words and the first and last matched place in the text (-1 without a match).
+    Only the text's places from begin to before end are used. Returns matched words and the first
+    and last matched place in the text (-1 without a match).
     """
     width = 2 * band + 1
     none = (0, -1, -1)
+    end = len(words) if end is None else min(end, len(words))
     last = [none] * (width + 1)
     for i, word in enumerate(template):
         now = [none] * (width + 1)
@@ -87,7 +91,7 @@ def align(words: list[str], template: list[str], centre: int, band: int) -> tupl
             left = now[d - 1] if d else none
             up = last[d + 1] if d + 1 < width else none
             best = left if left[0] >= up[0] else up
-            if 0 <= j < len(words) and words[j] == word:
+            if begin <= j < end and words[j] == word:
                 n, first, _ = last[d]
                 if n + 1 > best[0]:
                     best = (n + 1, first if n else j, j)
@@ -98,6 +102,49 @@ def align(words: list[str], template: list[str], centre: int, band: int) -> tupl
     return max(last, key=lambda x: x[0])
 
 
+def matches(words: list[str], template: list[str], offsets: list[int], settings: Settings) -> list[tuple[int, int, int]]:
+    """Every match of one template, from left to right: matched words, first and last place.
+
+    offsets are the diagonals found, in order. Beyond a match the same band is searched again, then
+    the diagonals that a later copy can have. A match that runs into a second copy is parted if both parts are matches.
+    """
+    known, band, m = set(template), settings.band, len(template)
+    need = max(1, math.ceil(settings.least * m - 1e-9))
+    held = [0]
+    for word in words:
+        held.append(held[-1] + (word in known))
+
+    def best(centre: int, begin: int, end: int) -> tuple[int, int, int]:
+        a, b = max(begin, centre - band), min(end, centre + band + m)
+        if b <= a or held[b] - held[a] < need:  # no more words can match than the band holds of the template's
+            return 0, -1, -1
+        found = align(words, template, centre, band, begin, end)
+        return found if found[0] >= need else (0, -1, -1)
+
+    out: list[tuple[int, int, int]] = []
+    at, begin = 0, 0
+    while at < len(offsets):
+        centre = offsets[at]
+        found = best(centre, begin, len(words))
+        while found[0]:
+            n, first, last = found
+            if last - first >= m:
+                for cut in offsets[bisect_right(offsets, first) : bisect_right(offsets, last)]:
+                    part = best(centre, begin, cut)
+                    if part[0] and best(cut, cut, len(words))[0]:
+                        found = n, first, last = part
+                        break
+            out.append(found)
+            begin = last + 1
+            # a later copy lacks at most m - need words, so its diagonals are not before this
+            later = bisect_left(offsets, begin - (m - need), at)
+            if later < len(offsets) and offsets[later] <= centre + band:
+                centre = offsets[later]
+            found = best(centre, begin, len(words))
+        at = max(bisect_right(offsets, centre + band), bisect_left(offsets, begin - (m - need)))
+    return out
+
+
 def scanner(templates: dict[str, str], settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -156,23 +203,8 @@ def spans(text: str, found: list[tuple[int, int]], index: dict, named: list, set
     out = []
     for t, offsets in sorted(diagonals.items()):
         name, template = named[t]
-        ends_before = -1
-        for centre in centres(sorted(offsets), settings.band):
-            n, first, last = align(words, template, centre, settings.band)
-            if n >= settings.least * len(template) and first > ends_before:
-                out.append((name, n / len(template), n, len(template), int(places[first][0]), int(places[last][1])))
-                ends_before = last
-    return out
-
-
-def centres(offsets: list[int], band: int) -> list[int]:
-    """One centre for each run of diagonals that a band covers."""
-    out: list[int] = []
-    start = None
-    for x in offsets:
-        if start is None or x - start > band:
-            out.append(x)
-            start = x
+        for n, first, last in matches(words, template, sorted(offsets), settings):
+            out.append((name, n / len(template), n, len(template), int(places[first][0]), int(places[last][1])))
     return out
 
 

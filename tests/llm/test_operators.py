@@ -322,6 +322,15 @@ def test_license_alignment_against_full_table():
         assert licenses.align(words, template, 0, 13)[0] == best[-1][-1]
 
 
+def test_license_lines_repeated_back_to_back(docs_of):
+    lines = {k: v for k, v in licenses.TEMPLATES.items() if len(v.split()) <= 16}
+    docs = docs_of([" ".join([v] * n) for v in lines.values() for n in (1, 2, 5, 40)])
+    got = Counter((r["doc_id"], r["license"]) for r in licenses.scan(docs).collect())
+    assert {(i, k): got[i, k] for i, k in enumerate(k for k in lines for _ in range(4))} == {(i * 4 + j, k): n for i, k in enumerate(lines) for j, n in enumerate((1, 2, 5, 40))}
+    damaged = "Released under the MIT notice. Released under the MIT License. Released, as it was told, under the MIT License."
+    assert licenses.scan(docs_of([damaged])).filter("license = 'MIT line'").count() == 3
+
+
 def test_warc_derivatives(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.b/", "<html lang='en'><head><title>T &amp; t</title><style>p{}</style></head><body><p>One<br>two &lt;3</p><script>x()</script><a href='/q'>l</a></body></html>"), (2, None, None), (3, "u", "<p>open <b>bold")], "page_id bigint, url string, html string")
     records = warc.derivatives(warc.responses_of_pages(pages))
