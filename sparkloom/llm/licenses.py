@@ -30,14 +30,27 @@ TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT line": "Released under the MIT License.",
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "CC-BY-NC-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    # the conditions also occur without the disclaimer that follows them
+    "BSD-3-Clause conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
 }
+TEMPLATES["BSD-3-Clause"] = (
+    TEMPLATES["BSD-3-Clause conditions"]
+    + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+)
+# Words that tell a license from its neighbours: the first of each in the template has to match.
+REQUIRED = {"2", "3", "4", "apache", "mit", "nc", "noncommercial", "noderivatives", "sharealike"}
 
 _WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id bigint, license string, coverage double, n_matched bigint, n_template bigint, start_char bigint, end_char bigint"
@@ -74,32 +87,34 @@ def fingerprints(hashes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.nda
     return h[at], at
 
 
-def align(words: list[str], template: list[str], centre: int, band: int, begin: int = 0, end: int | None = None) -> tuple[int, int, int]:
+def align(words: list[str], template: list[str], centre: int, band: int, begin: int = 0, end: int | None = None, needed: frozenset[int] = frozenset()) -> tuple[int, int, int]:
     """Longest common subsequence of template and text within |text place - template place - centre| <= band.
 
-    Only the text's places from begin to before end are used. Returns matched words and the first
+    Only the text's places from begin to before end are used, and template places in needed have to match. Returns matched words and the first
     and last matched place in the text (-1 without a match).
     """
     width = 2 * band + 1
-    none = (0, -1, -1)
+    none, lost = (0, -1, -1), (-len(template) - 1, -1, -1)
     end = len(words) if end is None else min(end, len(words))
     last = [none] * (width + 1)
     for i, word in enumerate(template):
-        now = [none] * (width + 1)
+        must = i in needed
+        outside = lost if must or last[width] is lost else none
+        now = [outside] * (width + 1)
         for d in range(width):
             j = i + centre + d - band
-            left = now[d - 1] if d else none
-            up = last[d + 1] if d + 1 < width else none
+            left = now[d - 1] if d else outside
+            up = lost if must else last[d + 1]
             best = left if left[0] >= up[0] else up
             if begin <= j < end and words[j] == word:
                 n, first, _ = last[d]
-                if n + 1 > best[0]:
+                if n >= 0 and n + 1 > best[0]:
                     best = (n + 1, first if n else j, j)
-            elif last[d][0] > best[0]:
+            elif not must and last[d][0] > best[0]:
                 best = last[d]
             now[d] = best
         last = now
-    return max(last, key=lambda x: x[0])
+    return max([none, *last], key=lambda x: x[0])
 
 
 def matches(words: list[str], template: list[str], offsets: list[int], settings: Settings) -> list[tuple[int, int, int]]:
@@ -109,6 +124,7 @@ def matches(words: list[str], template: list[str], offsets: list[int], settings:
     the diagonals that a later copy can have. A match that runs into a second copy is parted if both parts are matches.
     """
     known, band, m = set(template), settings.band, len(template)
+    needed = frozenset(template.index(w) for w in REQUIRED & known)
     need = max(1, math.ceil(settings.least * m - 1e-9))
     held = [0]
     for word in words:
@@ -118,7 +134,7 @@ def matches(words: list[str], template: list[str], offsets: list[int], settings:
         a, b = max(begin, centre - band), min(end, centre + band + m)
         if b <= a or held[b] - held[a] < need:  # no more words can match than the band holds of the template's
             return 0, -1, -1
-        found = align(words, template, centre, band, begin, end)
+        found = align(words, template, centre, band, begin, end, needed)
         return found if found[0] >= need else (0, -1, -1)
 
     out: list[tuple[int, int, int]] = []
@@ -200,11 +216,30 @@ def spans(text: str, found: list[tuple[int, int]], index: dict, named: list, set
     for at, x in found:
         for t, place in index[x]:
             diagonals[t].add(at - place)
+    found = [(t, *x) for t, offsets in diagonals.items() for x in matches(words, named[t][1], sorted(offsets), settings)]
     out = []
-    for t, offsets in sorted(diagonals.items()):
-        name, template = named[t]
-        for n, first, last in matches(words, template, sorted(offsets), settings):
-            out.append((name, n / len(template), n, len(template), int(places[first][0]), int(places[last][1])))
+    for t, n, first, last in sorted(best_covering(found, named)):
+        name, m = named[t][0], len(named[t][1])
+        out.append((name, n / m, n, m, int(places[first][0]), int(places[last][1])))
+    return out
+
+
+def best_covering(found: list[tuple[int, int, int, int]], named: list) -> list[tuple[int, int, int, int]]:
+    """Of matches that share half of the shorter one's words, the one with most words matched less words missing."""
+    by_place = sorted(found, key=lambda x: (x[2], x[3]))
+    out: list[tuple[int, int, int, int]] = []
+    a = 0
+    while a < len(by_place):
+        b, reach = a + 1, by_place[a][3]
+        while b < len(by_place) and by_place[b][2] <= reach:
+            reach = max(reach, by_place[b][3])
+            b += 1
+        kept: list[tuple[int, int, int, int]] = []
+        for x in sorted(by_place[a:b], key=lambda x: (len(named[x[0]][1]) - 2 * x[1], x)):
+            if not any(2 * (min(x[3], y[3]) - max(x[2], y[2]) + 1) >= min(x[3] - x[2], y[3] - y[2]) + 1 for y in kept):
+                kept.append(x)
+        out += kept
+        a = b
     return out
 
 
@@ -212,7 +247,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, settings: Set
     """A row per match: doc_id, license, coverage of the template, words matched, span in characters.
 
     Texts without a match, null and empty texts give no rows. Repeated rows are scanned
-    each; a null id is carried along. Overlapping templates are all reported, equal spans of one template once.
+    each; a null id is carried along. Of overlapping templates the best-covering one is reported.
     An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -331,6 +331,17 @@ def test_license_lines_repeated_back_to_back(docs_of):
     assert licenses.scan(docs_of([damaged])).filter("license = 'MIT line'").count() == 3
 
 
+def test_whole_notices_and_their_neighbours(docs_of):
+    names = list(licenses.TEMPLATES)
+    rows = licenses.scan(docs_of([f"x {licenses.TEMPLATES[k]} y" for k in names])).collect()
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in rows) == [(i, k, 1.0) for i, k in enumerate(names)]
+    mit, bsd = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-3-Clause"]
+    assert mit.endswith("OTHER DEALINGS IN THE SOFTWARE.") and bsd.endswith("POSSIBILITY OF SUCH DAMAGE.")
+    assert licenses.scan(docs_of([licenses.TEMPLATES["GPL-3.0 line"].replace("3", "9"), licenses.TEMPLATES["CC-BY-4.0"].replace("4", "2")])).count() == 0
+    edited = licenses.TEMPLATES["Apache-2.0 notice"].replace("agreed to in writing", "agreed")
+    assert [r["license"] for r in licenses.scan(docs_of([edited])).collect()] == ["Apache-2.0 notice"]
+
+
 def test_warc_derivatives(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.b/", "<html lang='en'><head><title>T &amp; t</title><style>p{}</style></head><body><p>One<br>two &lt;3</p><script>x()</script><a href='/q'>l</a></body></html>"), (2, None, None), (3, "u", "<p>open <b>bold")], "page_id bigint, url string, html string")
     records = warc.derivatives(warc.responses_of_pages(pages))
