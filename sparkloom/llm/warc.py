@@ -16,6 +16,7 @@ import hashlib
 import html
 import re
 import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,6 +32,9 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 HIDDEN = {"script", "style", "noscript", "template", "svg", "head"}
 # Elements that begin a line of their own.
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "header", "footer", "aside", "main", "pre", "blockquote", "form", "title"}
+HEAD_PARTS = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template", "noframes"}
+VOID = {"area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)")
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -39,12 +43,38 @@ def digest(data: bytes) -> str:
 
 
 class PageText(HTMLParser):
-    """Visible text, a line for each block element, and the facts of a page."""
+    """Visible text, a line for each block element, and the facts of a page.
 
-    def __init__(self) -> None:
+    A head ends at the first tag or text that cannot stand in one. Other hidden elements end with their parent, and an svg
+    at a block element; what neither its own end tag nor that of a parent closes hides nothing.
+    """
+
+    def __init__(self, payload: str) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = [""]
         self.title, self.lang, self.links, self.hidden, self.in_title = "", "", 0, 0, False
+        self.open: list[tuple[str, bool]] = []  # elements, and whether they hide
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.left = Counter(x.lower() for x in _END_TAG.findall(payload))  # end tags to come
+        self.past_head = False
+
+    def close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            tag, hides = self.open.pop()
+            self.places[tag].pop()
+            self.hidden -= hides
+
+    def last_place(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places[tag] else -1
+
+    def is_closed(self, tag: str) -> bool:
+        """Script, style and head end by rules of their own, others by an end tag of theirs or of a parent in the body."""
+        return tag in ("script", "style", "head") or self.left[tag] > 0 or any(n > 0 and self.places[x] for x, n in self.left.items() if x not in ("html", "body"))
+
+    def leave_head(self) -> None:
+        self.past_head = True
+        if self.places["head"]:
+            self.close_from(self.places["head"][0])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -52,26 +82,48 @@ class PageText(HTMLParser):
         if tag == "a" and dict(attrs).get("href"):
             self.links += 1
         if tag == "body":
-            self.hidden = 0  # an unclosed head ends here
+            self.close_from(0)  # an unclosed head ends here
+        if tag not in HEAD_PARTS and self.hidden <= len(self.places["head"]):
+            self.leave_head()
+        if tag in BLOCKS and tag != "title" and self.last_place("svg") > max(self.last_place("foreignobject"), self.last_place("template"), self.last_place("noscript")):
+            self.close_from(self.last_place("svg"))
+        if tag == "noscript" and self.places["noscript"]:
+            self.close_from(self.last_place("noscript"))
         if tag == "title":
             self.in_title = True
-        if tag in HIDDEN:
-            self.hidden += 1
-        elif tag in BLOCKS:
+        if tag not in VOID and not (tag == "head" and self.past_head):
+            hides = tag in HIDDEN and self.is_closed(tag)
+            self.places[tag].append(len(self.open))
+            self.open.append((tag, hides))
+            self.hidden += hides
+        if tag not in HIDDEN and tag in BLOCKS:
             self.lines.append("")
 
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        self.left[tag] += 1  # not among the end tags counted
+        self.handle_endtag(tag)
+
     def handle_endtag(self, tag: str) -> None:
+        self.left[tag] -= 1
         if tag == "title":
             self.in_title = False
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BLOCKS:
+        if tag == "head":
+            self.leave_head()
+        place = self.last_place(tag)
+        # a template that its own end tag closes keeps stray end tags to itself
+        if place >= 0 and not (self.last_place("template") > place and self.left["template"] > 0):
+            self.close_from(place)
+        if tag not in HIDDEN and tag in BLOCKS:
             self.lines.append("")
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
-        elif not self.hidden:
+            return
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.leave_head()
+        if not self.hidden:
             self.lines[-1] += data
 
     def text(self) -> str:
@@ -80,12 +132,12 @@ class PageText(HTMLParser):
 
 def page_text(payload: str) -> PageText:
     """Markup that the parser refuses counts as text."""
-    page = PageText()
+    page = PageText(payload)
     try:
         page.feed(payload)
         page.close()
     except (AssertionError, ValueError):
-        page = PageText()
+        page = PageText("")
         page.lines = [html.unescape(re.sub(r"<[^>]*>", " ", payload))]
     return page
 

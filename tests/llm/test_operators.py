@@ -364,6 +364,24 @@ def test_warc_derivatives(spark, tmp_path):
     assert uuid.UUID(rows[1, "metadata"]["record_id"][10:-1])
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<head><meta charset='u'><title>T</title><h1>One</h1><p>Two", "One\nTwo"),
+        ("<html><head><title>T</title>Bare text<p>Two", "Bare text\nTwo"),
+        ("<head><noscript><img src='x'>no</noscript><style>p{}</style></head><p>One", "One"),
+        ("<body><p>One</p><noscript>two<p>three", "One\ntwo\nthree"),
+        ("<body><div>One<noscript>no</div><p>Two</p>", "One\nTwo"),
+        ("<body><template><p>no</div></template><p>One", "One"),
+        ("<body><div><template>no</div><p>One", "One"),
+        ("<body><svg><path d=''><p>One</p><div>Two</div>", "One\nTwo"),
+        ("<body><svg><text>no</text></svg>One<svg/><br>Two<script>no</script>", "One\nTwo"),
+    ],
+)
+def test_text_of_pages_with_omitted_tags(page, text):
+    assert warc.page_text(page).text() == text
+
+
 def test_extra_columns_with_clashing_names(docs_of):
     docs = docs_of(["a b c d e f", "a b c d e f"]).withColumn("keep_id", F.lit("x")).withColumn("_run", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("failures", F.lit(3)).withColumn("_kept", F.lit(True)).withColumn("ids", F.lit("z"))
     assert exact_dedup.drop_copies(docs).columns == docs.columns
