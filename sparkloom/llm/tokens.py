@@ -131,7 +131,7 @@ def tokenizers_encoder(path: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the plain library call: the strings of added tokens in a text are those tokens, and no cut of a piece lies inside one
         _encoders[path] = PieceEncoder(lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)])
     return _encoders[path]
 

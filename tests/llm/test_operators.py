@@ -131,10 +131,17 @@ def test_exact_dedup(docs_of):
     for i, t in rows:
         texts[t or ""].append(i)
     assert got == sorted((i, max(texts[t or ""]), len(texts[t or ""]), i == max(texts[t or ""])) for i, t in rows)
+    docs = docs_of(rows)
+    level = exact_dedup.merge_level(exact_dedup.sorted_runs(exact_dedup.digest_runs(docs), 8, "largest"), 4, "largest")
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [_range" in plan and "Window" in plan and plan.index("Window") < plan.index("Sort [_range") < plan.index("REPARTITION_BY_NUM")
+    assert exact_dedup.sorted_runs(exact_dedup.digest_runs(docs), 8, "largest")._jdf.queryExecution().executedPlan().toString().count("Sort [_range") == 1
     small = exact_dedup.exact_dedup(docs_of(rows), keep="smallest", how="words", runs=3, fan_in=2)
     assert {r["doc_id"]: r["keep_id"] for r in small.collect()}[7] == 6
     assert exact_dedup.exact_dedup(docs_of([])).count() == 0
     assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs_of([(1, "a"), (2, "a"), (3, None)])).collect()) == [2, 3]
+    two = exact_dedup.drop_copies(docs_of([(5, "A"), (5, "B"), (9, "B"), (None, "B")]))
+    assert sorted(((r["doc_id"], r["text"]) for r in two.collect()), key=str) == [(5, "A"), (9, "B"), (None, "B")]
 
 
 def test_toxicity_learns_folded_words_and_stems(spark, docs_of):
@@ -178,7 +185,7 @@ def test_language_id_edges(spark, docs_of):
     assert langid.identify(docs_of(["abc"]), empty).first()["lang_pred"] == "und"
 
 
-ALPHABET = list("ab Z9.,'\n\t  -_é×÷ñÜß  　́中ΣİſK😀\x85\x1c#$<|>") + ["'s", " the", "\n\n", ". ", " ,", "<|endoftext|>"]
+ALPHABET = list("ab Z9.,'\n\t  -_é×÷ñÜß  　́中ΣİſK😀\x85\x1c#$<|>") + ["'s", " the", "\n\n", ". ", " ,", "<|endoftext|>", "<|startoftext|>", " <|endoftext|>", "<|endoftext|> "]
 
 
 def odd_texts(n):
@@ -190,7 +197,6 @@ def test_piece_encoder_equals_the_library(name):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(P.path(name))
-    model.encode_special_tokens = True
     texts = odd_texts(1500)
     ids, counts = tokens.tokenizers_encoder(P.path(name))(pa.array(texts, pa.string()))
     at = np.r_[0, np.cumsum(counts)]
@@ -234,7 +240,6 @@ def test_token_shards_round_trip(spark, docs_of, tmp_path):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     rows = [(int(i), t) for i, t in zip(RND.sample(range(10_000), 304), odd_texts(300))]
     path = str(tmp_path / "shards")
     wavelet.write_shards(docs_of(rows), P.path("byte_bpe_50k.json"), path, end_id=2, shard_tokens=500)
@@ -278,7 +283,7 @@ def test_packed_documents_hold_their_ids(docs_of):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    texts = [None, "", "hello world", "a b c " * 40, "x " * 300]
+    texts = [None, "", "hello world", "a b c " * 40, "x " * 300, "a <|endoftext|> b", "<|startoftext|>x<|endoftext|>. y " * 40]
     docs = docs_of(texts)
     packed = packing.pack_documents(docs, P.path("word_bpe_49k.json"), end_id=1, room=64)
     rows = packed.collect()
