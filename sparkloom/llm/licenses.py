@@ -1,12 +1,13 @@
 """License scan: winnowed fingerprints pick candidates, banded alignment measures them.
 
-Texts and templates are sequences of lower-case words. Fingerprints are hashes of
-k-word windows, of which winnowing keeps the smallest of every w in a row, so any
-shared passage of k + w - 1 words shares a kept fingerprint. The kept fingerprints of all
-templates form an inverted index (fixed size: it holds templates, not documents).
-A document's kept fingerprints that are in the index give diagonals (place in
-the text minus place in the template); close diagonals make one candidate span, and
-a banded alignment around it counts the template words that are matched in order.
+Texts and templates are sequences of lower-case words. A template's fingerprints are hashes of
+its k-word windows, of which winnowing keeps the smallest of every w in a row; short
+templates keep all of them and their telling words as well. The kept fingerprints of all
+templates form an inverted index (fixed size: it holds templates, not documents). Every window of a
+document is looked up in it, so a document's result does not depend on its neighbours. Hits give diagonals (place in
+the text minus place in the template); around each diagonal whose band holds enough of the template's words
+a banded alignment counts the template words that are matched in order. The band grows with the
+template, so the parts of a notice that inserted words push apart are aligned as one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,83 +60,109 @@ FOUND = "doc_id bigint, license string, coverage double, n_matched bigint, n_tem
 
 @dataclass(frozen=True)
 class Settings:
-    """k words a fingerprint, winnowing window w, half width of the band, least coverage reported."""
+    """k words a fingerprint, winnowing window w, least half width of the band, least coverage reported.
+
+    Templates of at most `short` words are not winnowed and are also indexed by their telling words alone.
+    """
 
     k: int = 2
     w: int = 3
     band: int = 8
     least: float = 0.75
+    short: int = 16
 
-
-def words_with_places(text: str) -> tuple[list[str], np.ndarray]:
-    found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    return [w.lower() for w, _, _ in found], np.array([(a, b) for _, a, b in found], np.int64).reshape(-1, 2)
+    def band_of(self, words: int) -> int:
+        return max(self.band, words // 5)
 
 
-def fingerprints(hashes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Kept fingerprints and their places; ties go to the rightmost. Short sequences keep their smallest."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-word windows of a sequence of word hashes."""
+    if k == 1:
+        return hashes
+    n = max(0, len(hashes) - k + 1)
     h = np.zeros(n, np.uint64)
     for j in range(k):
         h = mix64(h * np.uint64(3) + hashes[j : j + n])
-    if n <= w:
-        at = np.array([n - 1 - int(np.argmin(h[::-1]))])
+    return h
+
+
+def fingerprints(hashes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kept fingerprints of a template and their places; ties go to the rightmost. Short sequences keep their smallest."""
+    h = window_hashes(hashes, k)
+    if len(h) <= w:
+        at = np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.zeros(0, np.int64)
         return h[at], at
     windows = np.lib.stride_tricks.sliding_window_view(h, w)
     at = np.unique(np.arange(len(windows)) + (w - 1 - windows[:, ::-1].argmin(1)))
     return h[at], at
 
 
-def align(words: list[str], template: list[str], centre: int, band: int, begin: int = 0, end: int | None = None, needed: frozenset[int] = frozenset()) -> tuple[int, int, int]:
+def align(words: np.ndarray, template: np.ndarray, centre: int, band: int, begin: int = 0, end: int | None = None, needed: frozenset[int] = frozenset()) -> tuple[int, int, int]:
     """Longest common subsequence of template and text within |text place - template place - centre| <= band.
 
     Only the text's places from begin to before end are used, and template places in needed have to match. Returns matched words and the first
-    and last matched place in the text (-1 without a match).
+    and last matched place in the text (-1 without a match). Of equal results the match that ends first and then begins last is taken.
     """
-    width = 2 * band + 1
-    none, lost = (0, -1, -1), (-len(template) - 1, -1, -1)
-    end = len(words) if end is None else min(end, len(words))
-    last = [none] * (width + 1)
-    for i, word in enumerate(template):
-        must = i in needed
-        outside = lost if must or last[width] is lost else none
-        now = [outside] * (width + 1)
-        for d in range(width):
-            j = i + centre + d - band
-            left = now[d - 1] if d else outside
-            up = lost if must else last[d + 1]
-            best = left if left[0] >= up[0] else up
-            if begin <= j < end and words[j] == word:
-                n, first, _ = last[d]
-                if n >= 0 and n + 1 > best[0]:
-                    best = (n + 1, first if n else j, j)
-            elif not must and last[d][0] > best[0]:
-                best = last[d]
-            now[d] = best
-        last = now
-    return max([none, *last], key=lambda x: x[0])
-
-
-def matches(words: list[str], template: list[str], offsets: list[int], settings: Settings) -> list[tuple[int, int, int]]:
+    m = len(template)
+    a = max(begin, centre - band)
+    b = min(len(words) if end is None else end, centre + band + m)
+    if b <= a or not m:
+        return 0, -1, -1
+    here = words[a:b]
+    n, lost = len(here), -m - 1
+    table = np.zeros((m + 1, n + 1), np.int32)
+    for i in range(m):
+        same = here == template[i]
+        low, high = i + centre - band - a, i + centre + band + 1 - a  # the band in this row
+        if low > 0:
+            same[:low] = False
+        if high < n:
+            same[max(high, 0) :] = False
+        up = table[i]
+        row = np.full(n + 1, lost, np.int32) if i in needed else up.copy()
+        row[1:][same] = np.maximum(row[1:][same], up[:-1][same] + 1)
+        table[i + 1] = np.maximum.accumulate(row)
+    best = int(table[m].max())
+    if best <= 0:
+        return 0, -1, -1
+    j = last = int(np.flatnonzero(table[m] == best)[0])
+    first, i = last, m
+    while i and table[i, j] > 0:
+        match = j and here[j - 1] == template[i - 1] and abs(a + j - i - centre) <= band
+        if match and table[i, j] == table[i - 1, j - 1] + 1:
+            first, i, j = j, i - 1, j - 1
+        elif i - 1 not in needed and table[i, j] == table[i - 1, j]:
+            i -= 1
+        else:
+            j -= 1
+    return best, a + first - 1, a + last - 1
+
+
+@dataclass(frozen=True)
+class Template:
+    """A template's word numbers, the places that have to match, and its least number of matched words."""
+
+    name: str
+    words: np.ndarray
+    needed: frozenset[int]
+    need: int
+    band: int
+
+
+def matches(words: np.ndarray, held: np.ndarray, template: Template, offsets: list[int]) -> list[tuple[int, int, int]]:
     """Every match of one template, from left to right: matched words, first and last place.
 
-    offsets are the diagonals found, in order. Beyond a match the same band is searched again, then
-    the diagonals that a later copy can have. A match that runs into a second copy is parted if both parts are matches.
+    held counts the text's words of the template before each place; offsets are the diagonals found, in order. Beyond a match
+    the same band is searched again, then the diagonals that a later copy can have. A match that runs into a second copy is
+    parted if both parts are matches.
     """
-    known, band, m = set(template), settings.band, len(template)
-    needed = frozenset(template.index(w) for w in REQUIRED & known)
-    need = max(1, math.ceil(settings.least * m - 1e-9))
-    held = [0]
-    for word in words:
-        held.append(held[-1] + (word in known))
+    band, m, need = template.band, len(template.words), template.need
 
     def best(centre: int, begin: int, end: int) -> tuple[int, int, int]:
         a, b = max(begin, centre - band), min(end, centre + band + m)
         if b <= a or held[b] - held[a] < need:  # no more words can match than the band holds of the template's
             return 0, -1, -1
-        found = align(words, template, centre, band, begin, end, needed)
+        found = align(words, template.words, centre, band, begin, end, template.needed)
         return found if found[0] >= need else (0, -1, -1)
 
     out: list[tuple[int, int, int]] = []
@@ -150,47 +178,107 @@ def matches(words: list[str], template: list[str], offsets: list[int], settings:
                     if part[0] and best(cut, cut, len(words))[0]:
                         found = n, first, last = part
                         break
-            out.append(found)
+            # an earlier copy can lie before a match that begins late in the band
+            earlier, until = [], first
+            while (ahead := best(centre, begin, until))[0]:
+                earlier.append(ahead)
+                until = ahead[1]
+            out += [*reversed(earlier), found]
             begin = last + 1
             # a later copy lacks at most m - need words, so its diagonals are not before this
             later = bisect_left(offsets, begin - (m - need), at)
             if later < len(offsets) and offsets[later] <= centre + band:
                 centre = offsets[later]
             found = best(centre, begin, len(words))
-        at = max(bisect_right(offsets, centre + band), bisect_left(offsets, begin - (m - need)))
+        at = max(bisect_right(offsets, centre + template.band // 2), bisect_left(offsets, begin - (m - need)))
     return out
 
 
-def scanner(templates: dict[str, str], settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
+class Index:
+    """Fingerprints of all templates: hash -> (template, place)."""
 
-        named = [(name, [w.lower() for w in _WORD.findall(t)]) for name, t in sorted(templates.items())]
-        index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words) in enumerate(named):
+    def __init__(self, templates: dict[str, str], settings: Settings) -> None:
+        self.settings, self.numbers = settings, {}
+        self.templates: list[Template] = []
+        by_hash: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for name, text in sorted(templates.items()):
+            words = [w.lower() for w in _WORD.findall(text)]
+            telling = REQUIRED & set(words)
+            codes = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64)
+            need = max(1, math.ceil(settings.least * len(words) - 1e-9))
             hashes = word_hashes(pa.array(words, pa.string()))
-            # every window of a template is indexed; the text's side is winnowed
-            for h, at in zip(*fingerprints(hashes, settings.k, 1)):
-                index[int(h)].append((t, int(at)))
-        keys = np.array(sorted(index), np.uint64)
+            short = len(words) <= settings.short
+            t = len(self.templates)
+            self.templates.append(Template(name, codes, frozenset(words.index(w) for w in telling), need, settings.band_of(len(words))))
+            for h, at in zip(*fingerprints(hashes, settings.k, 1 if short else settings.w)):
+                by_hash[int(h)].append((t, int(at)))
+            for at, w in enumerate(words):
+                if short and w in telling and not w.isdigit():
+                    by_hash[int(hashes[at])].append((t, at))
+        self.keys = np.array(sorted(by_hash), np.uint64)
+        self.entries = [by_hash[int(h)] for h in self.keys]
+        self.known = pa.array(list(self.numbers), pa.string())
+        self.member = np.zeros((len(self.templates), len(self.numbers) + 1), bool)  # the last number stands for all other words
+        for t, template in enumerate(self.templates):
+            self.member[t, template.words] = True
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in hashes that the index holds, and where."""
+        if not len(self.keys) or not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.searchsorted(self.keys, hashes)
+        place[place == len(self.keys)] = 0
+        at = np.flatnonzero(self.keys[place] == hashes)
+        return at, place[at]
+
+    def codes(self, words: pa.Array) -> np.ndarray:
+        found = pc.index_in(words, value_set=self.known)
+        return pc.fill_null(found, len(self.numbers)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def matches(self, words: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Matches of one text from its word numbers and its hits (place, entry), best-covering ones of overlapping ones."""
+        diagonals: dict[int, set[int]] = defaultdict(set)
+        for at, x in found:
+            for t, place in self.entries[x]:
+                diagonals[t].add(at - place)
+        out = []
+        for t, offsets in diagonals.items():
+            template = self.templates[t]
+            held = np.r_[0, np.cumsum(self.member[t][words])]
+            centres = np.array(sorted(offsets))
+            a, b = np.clip(centres - template.band, 0, len(words)), np.clip(centres + template.band + len(template.words), 0, len(words))
+            centres = centres[held[b] - held[a] >= template.need]
+            if len(centres):
+                out += [(t, *x) for x in matches(words, held, template, centres.tolist())]
+        return best_covering(out, self.templates)
+
+
+def scanner(templates: dict[str, str], settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(templates, settings)
         for batch in text_slices(batches):
-            texts = pc.fill_null(batch.column("text"), "")
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
             flat, counts = split_words(texts)
-            hashes = word_hashes(flat)
+            if not len(flat):
+                continue
+            hashes, codes = word_hashes(flat), index.codes(flat)
             ends = np.cumsum(counts)
-            rows: list[tuple] = []
-            h, at = fingerprints(hashes, settings.k, settings.w)
-            place = np.searchsorted(keys, h)
-            place[place == len(keys)] = 0
-            hit = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-            owner = np.searchsorted(ends, at[hit], side="right")
-            inside = at[hit] + settings.k <= ends[owner] if len(owner) else np.zeros(0, bool)
             by_doc: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for d, a, x in zip(owner[inside].tolist(), at[hit][inside].tolist(), h[hit][inside].tolist()):
-                by_doc[d].append((a - int(ends[d] - counts[d]), x))
+            for k in sorted({1, settings.k}):
+                at, place = index.hits(window_hashes(hashes, k))
+                owner = np.searchsorted(ends, at, side="right")
+                inside = at + k <= ends[owner] if len(at) else np.zeros(0, bool)
+                for d, a, x in zip(owner[inside].tolist(), at[inside].tolist(), place[inside].tolist()):
+                    by_doc[d].append((a - int(ends[d] - counts[d]), x))
+            rows: list[tuple] = []
             for d, found in by_doc.items():
-                doc_id = batch.column("doc_id")[d].as_py()
-                rows += [(doc_id, *x) for x in spans(texts[d].as_py(), found, index, named, settings)]
+                spans = index.matches(codes[ends[d] - counts[d] : ends[d]], found)
+                if spans:
+                    places = [m.span() for m in _WORD.finditer(texts[d])]
+                    doc_id = batch.column("doc_id")[d].as_py()
+                    for t, n, first, last in sorted(spans):
+                        m = len(index.templates[t].words)
+                        rows.append((doc_id, index.templates[t].name, n / m, n, m, places[first][0], places[last][1]))
             if rows:
                 types = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "license", "coverage", "n_matched", "n_template", "start_char", "end_char"]
@@ -199,32 +287,20 @@ def scanner(templates: dict[str, str], settings: Settings):
     return run
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-case words of texts, flat, and their numbers; the same words as words_with_places."""
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of texts, flat, and their numbers."""
     held, counts = [], []
-    for text in texts.to_pylist():
-        words = [w.lower() for w in _WORD.findall(text)]
+    for text in texts:
+        words = _WORD.findall(text)
         held += words
         counts.append(len(words))
-    return pa.array(held, pa.string()), np.array(counts, np.int64)
-
-
-def spans(text: str, found: list[tuple[int, int]], index: dict, named: list, settings: Settings) -> list[tuple]:
-    """license, coverage, matched, template words, first and last character of each match of one text."""
-    words, places = words_with_places(text)
-    diagonals: dict[int, set[int]] = defaultdict(set)
-    for at, x in found:
-        for t, place in index[x]:
-            diagonals[t].add(at - place)
-    found = [(t, *x) for t, offsets in diagonals.items() for x in matches(words, named[t][1], sorted(offsets), settings)]
-    out = []
-    for t, n, first, last in sorted(best_covering(found, named)):
-        name, m = named[t][0], len(named[t][1])
-        out.append((name, n / m, n, m, int(places[first][0]), int(places[last][1])))
-    return out
+    # lowered in Python, since a few letters' lower case differs between libraries; each distinct word once
+    coded = pa.array(held, pa.string()).dictionary_encode()
+    low = pa.array([w.lower() for w in coded.dictionary.to_pylist()], pa.string())
+    return low.take(coded.indices), np.array(counts, np.int64)
 
 
-def best_covering(found: list[tuple[int, int, int, int]], named: list) -> list[tuple[int, int, int, int]]:
+def best_covering(found: list[tuple[int, int, int, int]], templates: list[Template]) -> list[tuple[int, int, int, int]]:
     """Of matches that share half of the shorter one's words, the one with most words matched less words missing."""
     by_place = sorted(found, key=lambda x: (x[2], x[3]))
     out: list[tuple[int, int, int, int]] = []
@@ -235,7 +311,7 @@ def best_covering(found: list[tuple[int, int, int, int]], named: list) -> list[t
             reach = max(reach, by_place[b][3])
             b += 1
         kept: list[tuple[int, int, int, int]] = []
-        for x in sorted(by_place[a:b], key=lambda x: (len(named[x[0]][1]) - 2 * x[1], x)):
+        for x in sorted(by_place[a:b], key=lambda x: (len(templates[x[0]].words) - 2 * x[1], x)):
             if not any(2 * (min(x[3], y[3]) - max(x[2], y[2]) + 1) >= min(x[3] - x[2], y[3] - y[2]) + 1 for y in kept):
                 kept.append(x)
         out += kept

@@ -315,16 +315,88 @@ def test_license_scan(docs_of):
     assert licenses.scan(docs_of([])).count() == 0
 
 
+def full_alignment(words, template, needed=frozenset()):
+    """Longest common subsequence of whole sequences in which the needed places of the template match; -1 if they cannot."""
+    lost = -len(template) - 1
+    best = [0] * (len(words) + 1)
+    for i, x in enumerate(template):
+        row = [lost if i in needed else best[0]]
+        for j, y in enumerate(words):
+            row.append(max(row[j], lost if i in needed else best[j + 1], best[j] + 1 if x == y else lost))
+        best = row
+    return max(best[-1], -1)
+
+
 def test_license_alignment_against_full_table():
     rnd = random.Random(1)
-    for _ in range(200):
+    for _ in range(300):
         template = [rnd.choice("abcd") for _ in range(rnd.randint(1, 12))]
         words = [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))]
-        best = [[0] * (len(words) + 1) for _ in range(len(template) + 1)]
-        for i, x in enumerate(template):
-            for j, y in enumerate(words):
-                best[i + 1][j + 1] = max(best[i][j] + (x == y), best[i][j + 1], best[i + 1][j])
-        assert licenses.align(words, template, 0, 13)[0] == best[-1][-1]
+        needed = frozenset(i for i in range(len(template)) if rnd.random() < 0.15)
+        n, first, last = licenses.align(np.array(words), np.array(template), 0, 13, 0, None, needed)
+        assert n == max(0, full_alignment(words, template, needed))
+        if n:
+            assert full_alignment(words[first : last + 1], template, needed) == n
+
+
+def words_of(text):
+    return [w.lower() for w in re.findall(r"[^\W_]+", text)]
+
+
+def edited_notices(name, n, seed):
+    """Copies of a notice with random words replaced, dropped and put in, between other words."""
+    rnd = random.Random(f"{seed} {name}")
+    words = words_of(licenses.TEMPLATES[name])
+    for _ in range(n):
+        out = list(words)
+        for _ in range(rnd.randint(1, max(1, len(words) // 6))):
+            at, kind = rnd.randrange(len(out)), rnd.choice("rdi")
+            if kind == "i":
+                out[at:at] = [f"zz{rnd.randint(0, 99)}"]
+            else:
+                out[at : at + 1] = [f"zz{rnd.randint(0, 99)}"] if kind == "r" else []
+        yield " ".join([f"q{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 20))] + out + [f"q{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 20))])
+
+
+def pushed_apart(name, n, seed):
+    """Whole notices with 9 to 14 other words put in at one place."""
+    rnd = random.Random(f"{seed} {name}")
+    words = words_of(licenses.TEMPLATES[name])
+    for _ in range(n):
+        at = rnd.randrange(1, len(words))
+        yield " ".join(words[:at] + [f"zz{i}" for i in range(rnd.randint(9, 14))] + words[at:])
+
+
+def found_by(texts, batch=4):
+    run = licenses.scanner(licenses.TEMPLATES, licenses.Settings())
+    rows = defaultdict(set)
+    for a in range(0, len(texts), batch):
+        part = texts[a : a + batch]
+        for out in run(iter([pa.RecordBatch.from_arrays([pa.array(range(a, a + len(part)), pa.int64()), pa.array(part, pa.string())], ["doc_id", "text"])])):
+            for r in out.to_pylist():
+                rows[r["doc_id"]].add(tuple(r.values()))
+    return rows
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_recall_against_brute_force(name):
+    """Of edited notices whose best alignment with the template covers 0.75, at least 0.95 are reported (as it, or as a better-covering neighbour)."""
+    template = words_of(licenses.TEMPLATES[name])
+    needed = frozenset(template.index(w) for w in licenses.REQUIRED & set(template))
+    texts = list(edited_notices(name, 200, 3))
+    true = [i for i, t in enumerate(texts) if full_alignment(words_of(t), template, needed) >= 0.75 * len(template)]
+    found = found_by(texts)
+    assert len(true) >= 40 and sum(bool(found[i]) for i in true) >= 0.95 * len(true)
+    if len(template) > 60:
+        found = found_by(list(pushed_apart(name, 60, 5)))
+        assert sum(bool(found[i]) for i in range(60)) >= 57
+
+
+def test_license_scan_does_not_depend_on_neighbours():
+    texts = [t for name in ("MIT line", "Apache-2.0 line", "CC-BY-4.0") for t in edited_notices(name, 60, 8)]
+    random.Random(2).shuffle(texts)
+    alone, together = found_by(texts, 1), found_by(texts, 60)
+    assert {i: x for i, x in alone.items() if x} == {i: x for i, x in together.items() if x}
 
 
 def test_license_lines_repeated_back_to_back(docs_of):
