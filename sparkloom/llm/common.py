@@ -19,13 +19,15 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests on one machine), a temporary folder is set once.
+    Where it is unset on a local master (tests on one machine), a temporary folder is set once; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -57,6 +59,12 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The bytes of df as the optimizer estimates them from its files; 0 where it has no estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers are reused, and idle ones would hold it through later stages."""
     pa.default_memory_pool().release_unused()

@@ -9,9 +9,9 @@
    documents that share less are done. For the rest, the shared hashes are kept in
    order of list length (rarest first).
 4. Linked documents share a hash in their prefixes (set size - needed overlap + 1,
-   rarest first). Documents connected through prefixes form blocks; a block
-   that is too large is cut into chunks, after all documents linked with
-   one pivot are merged; every chunk of the others meets every chunk.
+   rarest first). Documents connected through prefixes form blocks. In a block that is too
+   large all documents linked with one pivot merge, and the others look for theirs in
+   units of equal prefix hashes (`large_blocks`).
 5. In a block, DivideSkip answers each document's T-occurrence query: short lists are
    merged and counted, long lists are probed by binary search, and documents that reach the
    overlap are linked. A candidate already in the component is skipped, which
@@ -29,12 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, n_shuffle, shingle_hashes, text_slices, word_hashes, words_of
+from .common import cut, give_back, n_shuffle, planned_bytes, shingle_hashes, text_slices, word_hashes, words_of
 from .components import connected_components
 
 LOW = np.uint64((1 << 48) - 1)
 #: Postings a task gathers before it sends them, and documents (places are 16 bits).
 FLUSH, PLACES = 1_500_000, 60_000
+#: Bytes of input (as the plan estimates them) for a hash range, and for a task of its exchanges.
+RANGE_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+#: Postings of a block that is joined in one task; larger blocks are dealt over units of about half of that.
+UNIT_POSTINGS = 4_000_000
 #: DivideSkip's weight of the length of the longest list, from the published experiments.
 MU = 0.0085
 
@@ -356,64 +360,104 @@ def with_pivot(percent: int):
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, lower: bool = True, unit_postings: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_units(units: str = "k"):
+    """(unit of the block, node ...) for every unit in which a document has a prefix hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, places = [], []
+            for node, k, p, x in zip(*(batch.column(c).to_pylist() for c in ("node", units, "n_prefix", "shared"))):
+                found = np.unique(np.frombuffer(x, np.uint64)[:p] % np.uint64(k)).astype(np.int64)
+                nodes += [node] * len(found)
+                places += found.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.int64())], ["node", "place"])
+
+    return run
+
+
+def large_blocks(members: DataFrame, large: DataFrame, percent: int, unit_postings: int) -> DataFrame:
+    """Links (a, b) inside blocks above unit_postings.
+
+    All documents linked with the block's pivot merge first. Linked documents share a prefix hash, so the block is
+    dealt over k units by prefix hashes, and only documents that are not linked with the pivot ask in theirs. A unit that is still too
+    large, since many documents have one hash in their prefixes, is cut into chunks: an asking chunk meets every chunk of its unit.
+    Nothing here is broadcast: pivots go to the chunks of their block.
+    """
+    spread = members.join(large.select("component", "pivot", "k"), "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    pivots = large.select("component", "pivot", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"))
+    pivots = pivots.join(members.select(F.col("node").alias("pivot"), F.col("shared").alias("p_shared"), F.col("n_shingles").alias("p_n")), "pivot").drop("pivot")
+    linked = spread.join(pivots, ["component", "chunk"]).select("node", "shared", "p_shared", "n_shingles", "p_n").mapInArrow(with_pivot(percent), "node bigint, linked boolean")
+    big = cut(spread.drop("chunk").join(linked, "node"), "large")
+    merged = big.filter("linked AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    dealt = big.select("node", "k", "n_prefix", "shared").mapInArrow(prefix_units(), "node bigint, place bigint")
+    dealt = cut(dealt.join(big.select("node", "component", "linked", F.octet_length("shared").alias("weight")), "node"), "dealt")
+    weights = dealt.groupBy("component", "place").agg((F.sum("weight") / 8).alias("postings"), F.count_if(~F.col("linked")).alias("asking"))
+    # a unit in which nobody asks has no open links
+    weights = weights.filter("asking > 0").select("component", "place", F.ceil(2 * F.col("postings") / unit_postings).cast("int").alias("n"))
+    placed = dealt.join(weights, ["component", "place"]).withColumn("chunk", F.pmod(F.xxhash64("node", "place"), F.col("n")).cast("int"))
+    unit = lambda i, j: F.concat_ws(":", "component", "place", i, j)
+    others = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("linked") | (i != F.col("chunk")))
+    asked = placed.select(F.explode(others).alias("i"), "*").select(unit(F.col("i"), F.col("chunk")).alias("unit"), "node", F.lit(False).alias("asks"))
+    asking = placed.filter("NOT linked").select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), "*").select(unit(F.col("chunk"), F.col("j")).alias("unit"), "node", F.lit(True).alias("asks"))
+    facts = big.select("node", "n_shingles", "shared", F.when(F.col("linked"), F.col("pivot")).alias("merged"))
+    met = asking.union(asked).join(facts, "node").groupBy("unit").applyInArrow(join_unit(percent), "a bigint, b bigint").filter("a <> b")
+    return connected_components(met.union(merged)).select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+
+
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, lower: bool = True, unit_postings: int = UNIT_POSTINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every input row.
 
     A set holds the distinct n-word shingles (ASCII lower case); fewer words give
     one shingle, no words (null, empty, blank) an empty set that links with nothing. Documents
     link when 100 * intersection >= percent * union; component_id is the smallest
-    id reached. Repeated rows are kept. A row with a null id is returned with a
+    id reached. Repeated rows are kept. Rows of one id with different
+    texts each have the component of their text; where the id is the smallest of both, the texts count as linked. A row with a null id is returned with a
     null component and links with nothing. An empty table gives no rows. Other columns,
     whatever their names, are ignored.
     """
+    return joined_sets(docs, n, percent, lower, unit_postings, id_col, text_col).drop("key")
+
+
+def joined_sets(docs: DataFrame, n: int, percent: int, lower: bool, unit_postings: int, id_col: str, text_col: str) -> DataFrame:
+    """ngram_join's rows, each with the key of its set (null without words or without an id)."""
     spark = docs.sparkSession
-    parts = n_shuffle(spark)
-    buckets = max(64, 2 * parts)
+    parts, size = n_shuffle(spark), planned_bytes(docs)
+    buckets = max(64, 2 * parts, -(-size // RANGE_BYTES))
+    ranges = max(parts, -(-size // TASK_BYTES))
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     posted = named.filter("doc_id IS NOT NULL").mapInArrow(post(n, lower, buckets), POSTED)
-    back = posted.groupBy("bucket").applyInArrow(count_lists, BACK)
-    sets = cut(back.groupBy("batch").applyInArrow(gather_sets(percent), SETS), "sets")
+    back = posted.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(count_lists, BACK)
+    sets = cut(back.repartition(ranges, "batch").groupBy("batch").applyInArrow(gather_sets(percent), SETS), "sets")
 
     # one node for all documents with the same set, named after the smallest id
     classes = cut(sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.min(F.when(F.col("posted"), F.col("doc_id"))).alias("speaker"), F.count(F.lit(1)).alias("copies")), "classes")
     open_sets = sets.filter("posted AND shared IS NOT NULL")
     postings = open_sets.select("doc_id", "n_prefix", "shared").mapInArrow(prefix_postings(buckets), "bucket int, kind int, blob binary")
-    edges = postings.groupBy("bucket").applyInArrow(prefix_edges, "a bigint, b bigint")
+    edges = postings.repartition(ranges, "bucket").groupBy("bucket").applyInArrow(prefix_edges, "a bigint, b bigint")
     blocks = connected_components(edges)
     nodes = classes.select("node", F.col("speaker").alias("_speaker"))
-    members = open_sets.join(blocks, open_sets["doc_id"] == blocks["node"]).drop("node").join(nodes, F.col("doc_id") == F.col("_speaker")).select("node", "component", "n_shingles", "shared")
+    members = open_sets.join(blocks, open_sets["doc_id"] == blocks["node"]).drop("node").join(nodes, F.col("doc_id") == F.col("_speaker")).select("node", "component", "n_shingles", "n_prefix", "shared")
     members = cut(members, "members")
 
     weights = members.groupBy("component").agg(F.sum(F.octet_length("shared") / 8).alias("postings"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("n"))
-    # at most (all postings / unit_postings) blocks are large, so this list stays short
-    large = cut(weights.filter(F.col("postings") > unit_postings), "large")
-    small = members.join(weights.filter((F.col("postings") <= unit_postings) & (F.col("n") > 1)).select("component"), "component")
-    small = small.select(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(4 * parts)).cast("string")).alias("unit"), "node", "n_shingles", "shared", F.lit(True).alias("asks"), F.lit(None).cast("bigint").alias("merged"))
+    # at most (all postings / unit_postings) blocks are large
+    large = cut(weights.filter(F.col("postings") > unit_postings).withColumn("k", F.ceil(2 * F.col("postings") / unit_postings).cast("int")), "large")
+    fits = weights.filter((F.col("postings") <= unit_postings) & (F.col("n") > 1))
+    units = max(4 * parts, math.ceil(2 * (fits.agg(F.sum("postings")).first()[0] or 0) / unit_postings))
+    small = members.join(fits.select("component"), "component")
+    small = small.select(F.pmod(F.xxhash64("component"), F.lit(units)).alias("unit"), "node", "n_shingles", "shared", F.lit(True).alias("asks"), F.lit(None).cast("bigint").alias("merged"))
     of_unit = "a bigint, b bigint"
-    links = small.groupBy("unit").applyInArrow(join_unit(percent), of_unit).filter("a <> b")
+    links = small.repartition(max(parts, -(-units // 4)), "unit").groupBy("unit").applyInArrow(join_unit(percent), of_unit).filter("a <> b")
     if large.limit(1).count():
-        pivots = large.join(members.select(F.col("node").alias("pivot"), F.col("shared").alias("p_shared"), F.col("n_shingles").alias("p_n")), "pivot")
-        big = members.join(F.broadcast(pivots.select("component", "pivot", "p_shared", "p_n", "postings")), "component")
-        linked = big.select("node", "shared", "p_shared", "n_shingles", "p_n").mapInArrow(with_pivot(percent), "node bigint, linked boolean")
-        chunks = F.ceil(2 * F.col("postings") / unit_postings).cast("int")
-        big = big.join(linked, "node").withColumn("k", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        big = big.withColumn("merged", F.when(F.col("linked"), F.col("pivot"))).select("node", "component", "n_shingles", "shared", "linked", "merged", "k", "chunk", "pivot")
-        big = cut(big, "large")
-        asked = big.filter("NOT linked").groupBy("component", "chunk").agg(F.count(F.lit(1)).alias("n_asking")).select("component", F.col("chunk").alias("i"))
-        unit = lambda i, j: F.concat_ws(":", F.lit("l"), "component", i, j)
-        indexed = big.join(asked, "component").filter("linked OR chunk <> i").select(unit(F.col("i"), F.col("chunk")).alias("unit"), "node", "n_shingles", "shared", F.lit(False).alias("asks"), "merged")
-        asking = big.filter("NOT linked").select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), "*").select(unit(F.col("chunk"), F.col("j")).alias("unit"), "node", "n_shingles", "shared", F.lit(True).alias("asks"), "merged")
-        met = asking.union(indexed).groupBy("unit").applyInArrow(join_unit(percent), of_unit).filter("a <> b")
-        merged = big.filter("linked AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        links = links.union(connected_components(met.union(merged)).select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b"))
+        links = links.union(large_blocks(members, large, percent, unit_postings))
     found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     told = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("_component"), "copies", F.col("component").isNotNull().alias("moved")).filter("copies > 1 OR moved").select("key", "_component")
     out = sets.select("doc_id", "n_shingles", "key").join(told, "key", "left")
-    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
+    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), "key")
     no_id = named.filter("doc_id IS NULL")
     if no_id.limit(1).count():
         size = no_id.mapInArrow(set_sizes(n, lower), "n_shingles bigint")
-        out = out.union(size.select(F.lit(None).cast("bigint"), "n_shingles", F.lit(None).cast("bigint")))
+        out = out.union(size.select(F.lit(None).cast("bigint"), "n_shingles", F.lit(None).cast("bigint"), F.lit(None).cast("binary")))
     return out
 
 
@@ -426,6 +470,11 @@ def set_sizes(n: int, lower: bool):
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their component; all columns unchanged."""
-    gone = ngram_join(docs, n, percent, id_col=id_col, text_col=text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    """The rows of docs that are the smallest id of their component; all columns unchanged.
+
+    An id that comes with several sets of shingles names no single text: its rows all stay, so no text is lost. Rows with a null id stay.
+    """
+    ids = joined_sets(docs, n, percent, True, UNIT_POSTINGS, id_col, text_col).filter(F.col(id_col).isNotNull()).withColumn("key", F.coalesce("key", F.lit(b"")))
+    lost = ids.groupBy(F.col(id_col).alias("_gone")).agg(F.min("component_id").alias("_first"), F.min("key").alias("_a"), F.max("key").alias("_b"))
+    gone = lost.filter("_gone <> _first AND _a = _b").select("_gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

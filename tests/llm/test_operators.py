@@ -74,7 +74,7 @@ def brute_components(rows, n=5, percent=75):
     return {i: (len(sets[i]), least[find(i)]) for i in ids}
 
 
-@pytest.mark.parametrize("unit", [4_000_000, 400])
+@pytest.mark.parametrize("unit", [4_000_000, 4_000, 400, 60])
 def test_ngram_join_against_brute_force(docs_of, unit):
     rows = list(enumerate(near_copies()))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs_of(rows).repartition(3), unit_postings=unit).collect()}
@@ -87,6 +87,8 @@ def test_ngram_join_edges(docs_of):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(7, 2, 3), (7, 2, 3), (3, 2, 3), (None, 1, None), (9, 1, 9)], key=str)
     kept = ngram_join.keep_one(docs_of([(7, "a b c d e f"), (3, "a b c d e f"), (9, None)]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9] and kept.columns == docs_of([]).columns
+    two = ngram_join.keep_one(docs_of([(5, "u v w x y z"), (5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f")]))
+    assert sorted(((r["doc_id"], r["text"][0]) for r in two.collect()), key=str) == [(3, "a"), (5, "a"), (5, "u"), (None, "a")]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
