@@ -8,7 +8,7 @@
 3. Each block meets the ids of its words and puts them together by position.
 
 The first exchange carries words and blocks on one key, and both later steps read
-it, so the positions are shuffled once. A block that misses words is an error.
+it, so the positions are shuffled once. A block that gets ids of other words than it sent is an error.
 
 Decoding joins every id with the table of token bytes, which has one row for each
 rank (a fixed size) and therefore sits in every task.
@@ -32,6 +32,8 @@ from .tokens import cut_pieces, spread
 
 #: Bytes of text in a block; a block is put together in one task.
 BLOCK_BYTES = 10 << 20
+#: Ids that are decoded at once, or those of one text.
+SLICE_IDS = 1 << 20
 SENT = "route bigint, block bigint, blob binary"
 BACK = "route bigint, bucket int, blob binary"
 ENCODED = "doc_id bigint, ids array<int>"
@@ -69,6 +71,13 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").reshape(-1)
 
 
+def mark_of(sizes: bytes, words: bytes) -> int:
+    """Tells the words that a block sent to a range from any others."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(sizes + words)
+
+
 class Block:
     """Pre-tokens of a run of documents: numbers by position, and a vocabulary."""
 
@@ -112,13 +121,16 @@ class Block:
         rank = np.empty(len(raw), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(raw))
         known = np.array([x is not None for x in self.ids], np.uint8)
-        docs = packed(np.array([x or 0 for x in self.ids], np.int64).tobytes(), known.tobytes(), np.concatenate(self.sizes).astype(np.int64).tobytes(), planes(counts), planes(rank[codes]))
-        out = [(buckets + block, block, docs)]
+        out, marks = [], []
         ordered = to[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else []
         for a, b in zip(starts, [*starts[1:], len(order)]):
             mine = [raw[i] for i in order[a:b]]
-            out.append((int(ordered[a]), block, packed(np.array([len(w) for w in mine], np.uint32).tobytes(), press(b"".join(mine)))))
+            sizes, joined = np.array([len(w) for w in mine], np.uint32).tobytes(), b"".join(mine)
+            marks.append((int(ordered[a]), mark_of(sizes, joined)))
+            out.append((int(ordered[a]), block, packed(sizes, press(joined))))
+        parts = (np.array([x or 0 for x in self.ids], np.int64).tobytes(), known.tobytes(), np.concatenate(self.sizes).astype(np.int64).tobytes(), planes(counts), planes(rank[codes]))
+        out.append((buckets + block, block, packed(*parts, np.array(marks, np.uint64).tobytes())))
         return out
 
 
@@ -170,6 +182,7 @@ def encode_words(ranks_path: str, pattern: str, buckets: int):
             for block, blob in zip(*(table.column(c).to_pylist() for c in ("block", "blob"))):
                 sizes, joined = unpacked(blob)
                 words, at = plain(joined), 0
+                mark = np.uint64(mark_of(sizes, words)).tobytes()
                 found = []
                 for n in np.frombuffer(sizes, np.uint32).tolist():
                     word = words[at : at + n]
@@ -181,7 +194,7 @@ def encode_words(ranks_path: str, pattern: str, buckets: int):
                 lengths = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
                 routes.append(buckets + block)
-                blobs.append(packed(planes(lengths), planes(flat)))
+                blobs.append(packed(planes(lengths), planes(flat), mark))
         return pa.table({"route": pa.array(routes, pa.int64()), "bucket": pa.array([bucket] * len(routes), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -190,17 +203,18 @@ def encode_words(ranks_path: str, pattern: str, buckets: int):
 def reassemble(blocks: pa.Table, back: pa.Table) -> pa.Table:
     """One block and the ids of its words: ids of every document, by position. Other routes give nothing."""
     none = np.zeros(0, np.uint32)
-    parts = sorted((b, *map(from_planes, unpacked(x))) for b, x in zip(back.column("bucket").to_pylist(), back.column("blob").to_pylist())) if back.num_rows else []
+    parts = sorted(((b, *unpacked(x)) for b, x in zip(back.column("bucket").to_pylist(), back.column("blob").to_pylist())), key=lambda x: x[0]) if back.num_rows else []
     offsets, ids, doc_ids, known = np.zeros(1, np.int32), none, b"", b""
     blob = blocks.column("blob")[0].as_py() if blocks.num_rows else b""
     top = unpacked(blob) if blob else []
-    if len(top) == 5:
-        doc_ids, known, sizes, counts, ranks = top
-        lengths = np.concatenate([none, *(x[1] for x in parts)]).astype(np.int64)
-        flat = np.concatenate([none, *(x[2] for x in parts)])
+    if len(top) == 6:
+        doc_ids, known, sizes, counts, ranks, marks = top
+        # a block that was made again from rows in another order has other words or numbers: that must never mix with older ids
+        if marks != b"".join(np.uint64(b).tobytes() + mark for b, _, _, mark in parts):
+            raise RuntimeError("a block got the ids of other words than it sent")
+        lengths = np.concatenate([none, *(from_planes(x[1]) for x in parts)]).astype(np.int64)
+        flat = np.concatenate([none, *(from_planes(x[2]) for x in parts)])
         counts, sizes = from_planes(counts), np.frombuffer(sizes, np.int64)
-        if len(counts) != len(lengths):
-            raise RuntimeError(f"a block has {len(counts)} words and got the ids of {len(lengths)}")
         order = np.argsort(-counts.astype(np.int64), kind="stable").astype(np.int32)
         codes = order[from_planes(ranks)]
         size = lengths[codes]
@@ -239,8 +253,11 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", name:
         data = np.frombuffer(b"".join(t for _, t in table), np.uint8)
         starts = np.cumsum(sizes) - sizes
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            many = batch.column(ids_col).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            slices = (np.cumsum(many) - many) // SLICE_IDS
+            starts_at = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]]) if batch.num_rows else []
+            for a, b in zip(starts_at, [*starts_at[1:], batch.num_rows]):
+                part = batch.slice(a, b - a)
                 lists = part.column(ids_col)
                 ids = lists.flatten().to_numpy()
                 counts = lists.value_lengths().fill_null(0).to_numpy()

@@ -4,8 +4,8 @@ Each response gives one metadata record (application/warc-fields: facts about th
 and the source's headers) and one conversion record (text/plain). Both name the
 response in WARC-Refers-To, carry its target and date, and have their own identifiers,
 block and payload digests. Identifiers follow from the response's identifier, so a repeated run
-writes the same records. Records are complete WARC/1.1 bytes; `write_warc` stores
-them in gzip members, `read_warc` reads such files.
+writes the same records. Records are complete WARC/1.1 bytes; `write_warc` writes them as .warc.gz files,
+`read_warc` reads such files in splits, and `responses_of_records` takes the HTTP responses of an archive apart.
 """
 
 from __future__ import annotations
@@ -14,20 +14,29 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import zstandard
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 CRLF = "\r\n"
 RESPONSE = "page_id bigint, record_id string, target_uri string, warc_date string, http_headers string, payload string"
 DERIVED = "page_id bigint, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, source_digest string, n_bytes bigint, record binary"
 READ = "path string, place bigint, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, block binary"
+#: Bytes of a compressed file that one task reads.
+SPLIT_BYTES = 64 << 20
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 HIDDEN = {"script", "style", "noscript", "template", "svg", "head"}
 # Elements that begin a line of their own.
@@ -200,49 +209,271 @@ def derivatives(responses: DataFrame) -> DataFrame:
     return responses.select(*columns).mapInArrow(derivative_batches, DERIVED)
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One WARC file body per partition, as rows of gzip members in the shared folder (column `member`)."""
+def split_http(block: bytes) -> tuple[str, bytes]:
+    """The head (CRLF line ends) and the body of an HTTP response; without an empty line all is head."""
+    found = re.search(rb"\r?\n\r?\n", block)
+    head, body = (block[: found.start()], block[found.end() :]) if found else (block, b"")
+    return CRLF.join(head.decode("utf-8", "replace").splitlines()) + CRLF, body
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body of chunks put together; what follows a broken chunk head is dropped with it."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 6, mtime=0) for x in batch.column("record").to_pylist()], pa.binary())], ["member"])
+def decoded_body(head: str, body: bytes) -> tuple[bytes, str]:
+    """The body without transfer and content encodings, and its character set.
 
-    records.select("record").mapInArrow(members, "member binary").write.option("compression", "uncompressed").parquet(path)
+    Truncated streams give what they hold; a body that is not what its header says, and one in an encoding
+    this library has no decoder for, stays as it is.
+    """
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.split(CRLF)[1:])}
+    if "chunked" in fields.get("transfer-encoding", "").lower() and re.match(rb"[0-9A-Fa-f]+\s*(;[^\r]*)?\r\n", body):
+        body = unchunked(body)
+    for coding in reversed([x.strip().lower() for x in fields.get("content-encoding", "").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = zlib.decompressobj(31).decompress(body)
+            elif coding == "deflate":
+                body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
+            elif coding == "zstd":
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        except (zlib.error, zstandard.ZstdError):
+            break
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", fields.get("content-type", ""), re.I) or re.search(r"<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)", body[:4096].decode("latin-1"), re.I)
+    return body, named.group(1) if named else "utf-8"
+
+
+def response_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in RESPONSE.split(", ")]
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            head, body = split_http(r["block"] or b"")
+            body, charset = decoded_body(head, body)
+            try:
+                payload = body.decode(charset, "replace")
+            except LookupError:  # no such character set
+                payload = body.decode("utf-8", "replace")
+            rows.append((None, r["record_id"], r["target_uri"], r["warc_date"], head, payload))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.string()] * 5))], names)
+
+
+def responses_of_records(records: DataFrame) -> DataFrame:
+    """The RESPONSE rows of a table of WARC records (as `read_warc` gives): its response records, HTTP head and decoded text apart.
+
+    Records of other types are passed over; page_id is null, since the archive has none (record_id names the response).
+    """
+    responses = records.filter(F.lower("record_type") == "response")
+    return responses.select("record_id", "target_uri", "warc_date", "block").mapInArrow(response_batches, RESPONSE)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (lower-case names) and block of every record of uncompressed WARC bytes."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-
-
-def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in READ.split(", ")]
-    types = (pa.string(), pa.int64(), *[pa.string()] * 8, pa.binary())
-    keys = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-payload-digest", "warc-block-digest")
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-            rows = [(path, i, *(fields.get(k) for k in keys), block) for i, (fields, block) in enumerate(parse_records(data))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    stream = io.BytesIO(data)
+    while (record := next_record(stream)) is not None:
+        yield record
+
+
+def next_record(stream) -> tuple[dict[str, str], bytes] | None:
+    """The next record of a stream of uncompressed WARC bytes, or None at its end."""
+    line = stream.readline()
+    while line in (b"\r\n", b"\n"):
+        line = stream.readline()
+    if not line:
+        return None
+    if not line.startswith(b"WARC/"):
+        raise ValueError(f"no WARC record: {line[:40]!r}")
+    fields: dict[str, str] = {}
+    while (line := stream.readline()).strip():
+        k, _, v = line.decode("utf-8", "surrogatepass").partition(":")
+        fields[k.strip().lower()] = v.strip()
+    return fields, stream.read(int(fields["content-length"]))
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it: plain paths are local, URIs are those pyarrow knows."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+@dataclass
+class Split(InputPartition):
+    """The members that begin in bytes begin..end of a file."""
+
+    path: str
+    begin: int
+    end: int
+
+
+MEMBER = b"\x1f\x8b\x08"
+
+
+def member(data: bytes, more: Callable[[], bytes]) -> tuple[bytes, bytes]:
+    """One gzip member at the start of data: its content, and the bytes after it. Raises zlib.error if there is none."""
+    unzip, parts = zlib.decompressobj(31), []
+    while True:
+        parts.append(unzip.decompress(data))
+        if unzip.eof:
+            return b"".join(parts), unzip.unused_data
+        data = more()
+        if not data:
+            raise zlib.error("the file ends inside a member")
+
+
+def members(file, begin: int, end: int, step: int = 1 << 20) -> Iterator[bytes]:
+    """Contents of the members that begin in [begin, end). A place that only looks like a member start is passed over."""
+    file.seek(begin)
+    data, at = file.read(step), begin  # data begins at byte `at` of the file
+    synced = begin == 0
+    while at < end:
+        if not synced:
+            found = data.find(MEMBER)
+            if found < 0:
+                skip = max(0, len(data) - 2)
+                data, at = data[skip:], at + skip
+                more = file.read(step)
+                if not more:
+                    return
+                data += more
+                continue
+            data, at = data[found:], at + found
+            if at >= end:
+                return
+        elif not data:
+            data = file.read(step)
+            if not data:
+                return
+        held = [data]
+
+        def more() -> bytes:
+            held.append(file.read(step))
+            return held[-1]
+
+        try:
+            content, rest = member(data, more)
+            good = synced or content[:5] == b"WARC/"
+        except zlib.error:
+            if synced:
+                raise
+            good = False
+        read = b"".join(held)
+        if not good:
+            data, at = read[1:], at + 1
+            continue
+        synced = True
+        yield content
+        data, at = rest, at + len(read) - len(rest)
+
+
+class WarcReader(DataSourceReader):
+    """.warc.gz files by byte ranges, a gzip member belongs to the range it begins in; .warc files whole, record by record."""
+
+    def __init__(self, path: str, split: int) -> None:
+        self.path, self.split = path, split
+
+    def partitions(self) -> list[InputPartition]:
+        system, path = file_system(self.path)
+        found = system.get_file_info(path)
+        files = system.get_file_info(fs.FileSelector(path, recursive=True)) if found.type == fs.FileType.Directory else [found]
+        out: list[InputPartition] = []
+        for f in sorted(files, key=lambda f: f.path):
+            name = f.path.rpartition("/")[2]
+            if f.type == fs.FileType.File and f.size and not name.startswith(("_", ".")):
+                step = self.split if name.endswith(".gz") else f.size
+                out += [Split(f.path, a, min(a + step, f.size)) for a in range(0, f.size, step)]
+        return out
+
+    def read(self, split: Split) -> Iterator[tuple]:
+        keys = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-payload-digest", "warc-block-digest")
+        system, _ = file_system(self.path)
+        with system.open_input_file(split.path) as file:
+            place = split.begin << 20
+            if split.path.endswith(".gz"):
+                found = (r for content in members(file, split.begin, split.end) for r in parse_records(content))
+            else:
+                stream = io.BufferedReader(file)
+                found = iter(lambda: next_record(stream), None)
+            for i, (fields, block) in enumerate(found):
+                yield (split.path, place + i, *(fields.get(k) for k in keys), block)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    made: str
+    final: str
+
+
+class WarcWriter(DataSourceWriter):
+    """A .warc.gz file per partition, a gzip member per record; files get their names when the whole job commits."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        system, path = file_system(self.path)
+        context = TaskContext.get()
+        system.create_dir(path, recursive=True)
+        final = f"{path.rstrip('/')}/part-{context.partitionId():05d}.warc.gz"
+        made = f"{path.rstrip('/')}/_part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        with system.open_output_stream(made, compression=None) as out:
+            for row in iterator:
+                out.write(gzip.compress(bytes(row["record"]), 6, mtime=0))
+        return Written(made, final)
+
+    def commit(self, messages: list) -> None:
+        system, _ = file_system(self.path)
+        for m in messages:
+            if m is not None:
+                system.move(m.made, m.final)
+
+    def abort(self, messages: list) -> None:
+        system, _ = file_system(self.path)
+        for m in messages:
+            if m is not None:
+                system.delete_file(m.made)
+
+
+class WarcSource(DataSource):
+    """spark.read.format("warc").load(path) and df.write.format("warc").save(path) for tables with a column `record`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return READ
+
+    def reader(self, schema) -> DataSourceReader:
+        return WarcReader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return WarcWriter(self.options["path"])
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """A .warc.gz file for each partition of the records below path, which must not hold files of an earlier job.
 
+    Records with a null `record` are an error. An empty table writes files without members.
+    """
+    records.sparkSession.dataSource.register(WarcSource)
+    records.select("record").write.format("warc").mode("append").save(path)
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of .warc and .warc.gz files below path (a file is read by one task)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInArrow(read_batches, READ)
 
+def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """All records of the .warc and .warc.gz files below path, in splits of about split_bytes.
 
-def read_members(spark: SparkSession, path: str) -> DataFrame:
-    """The records that write_warc stored below path."""
-    members = spark.read.schema("member binary").parquet(path).select(F.lit(path).alias("path"), F.col("member").alias("content"))
-    return members.mapInArrow(read_batches, READ)
+    place orders the records of a file. Missing fields are null; a file without records gives no rows; repeated records are read as often as they occur.
+    """
+    spark.dataSource.register(WarcSource)
+    return spark.read.format("warc").option("split_bytes", str(split_bytes)).load(path)

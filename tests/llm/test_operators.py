@@ -433,16 +433,48 @@ def test_warc_derivatives(spark, tmp_path):
     assert "title: T & t" in meta and "outlinks: 1" in meta and "httpStatus: HTTP/1.1 200 OK" in meta and rows[1, "metadata"]["source_digest"] in meta
     assert rows[2, "conversion"]["n_bytes"] == 0 and rows[2, "conversion"]["target_uri"] is None
     path = str(tmp_path / "w")
-    warc.write_warc(records, path)
-    back = warc.read_members(spark, path)
-    assert {(r["record_id"], bytes(r["block"])) for r in back.collect()} == {(r["record_id"], next(warc.parse_records(bytes(r["record"])))[1]) for r in rows.values()}
+    warc.write_warc(records.repartition(2), path)
+    want = {(r["record_id"], next(warc.parse_records(bytes(r["record"])))[1]) for r in rows.values()}
+    for split in (64 << 20, 300, 7):  # whole files, some members, parts of a member
+        back = warc.read_warc(spark, path, split).collect()
+        assert len(back) == 6 and {(r["record_id"], bytes(r["block"])) for r in back} == want
     (tmp_path / "f").mkdir()
-    (tmp_path / "f" / "a.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r["record"])) for r in rows.values()))
-    assert warc.read_warc(spark, str(tmp_path / "f")).count() == 6
+    (tmp_path / "f" / "a.warc").write_bytes(b"".join(bytes(r["record"]) for r in rows.values()))
+    assert {(r["record_id"], bytes(r["block"])) for r in warc.read_warc(spark, str(tmp_path / "f")).collect()} == want
     assert warc.derivatives(warc.responses_of_pages(pages.limit(0))).count() == 0
     assert uuid.UUID(rows[1, "metadata"]["record_id"][10:-1])
 
 
+def test_derivatives_of_archived_responses(spark, tmp_path):
+    import zstandard
+
+    page = "<html><head><title>Zürich</title></head><body><p>Grüße</p></body></html>"
+    body, head = page.encode(), "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=%s\r\n%s\r\n"
+    chunks = lambda x: b"".join(f"{len(x[a : a + 20]):x}\r\n".encode() + x[a : a + 20] + b"\r\n" for a in range(0, len(x), 20)) + b"0\r\n\r\n"
+    blocks = [
+        (head % ("utf-8", "")).encode() + body,
+        (head % ("latin-1", "")).encode() + page.encode("latin-1"),
+        (head % ("utf-8", "Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n")).encode() + chunks(gzip.compress(body)),
+        (head % ("utf-8", "Content-Encoding: deflate\r\n")).encode() + zlib.compress(body)[2:-4],
+        (head % ("utf-8", "Content-Encoding: zstd\r\n")).encode() + zstandard.ZstdCompressor().compress(body),
+        (head % ("no-such-set", "Transfer-Encoding: chunked\r\n")).encode() + body,  # says chunked and is not
+        (head % ("utf-8", "Content-Encoding: gzip\r\n")).encode() + body,  # says gzip and is not
+        (head % ("utf-8", "")).replace("\r\n", "\n").encode() + body,
+    ]
+    record = lambda i, kind, block: warc.record_bytes([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:x:{i}>"), ("WARC-Target-URI", f"http://a/{i}"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response")], block)
+    data = [record(0, "warcinfo", b"software: x\r\n"), *(record(i, "response", b) for i, b in enumerate(blocks, 1)), record(98, "request", b"GET / HTTP/1.1\r\n\r\n"), record(99, "response", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
+    responses = warc.responses_of_records(warc.read_warc(spark, str(tmp_path), 100))
+    got = {r["refers_to"]: r for r in warc.derivatives(responses).filter("record_type = 'conversion'").collect()}
+    texts = {k: next(warc.parse_records(bytes(r["record"])))[1].decode() for k, r in got.items()}
+    assert texts == {f"<urn:x:{i}>": "Grüße" for i in range(1, 9)} | {"<urn:x:99>": ""}
+    meta = warc.derivatives(responses).filter("record_type = 'metadata' AND target_uri = 'http://a/3'").first()
+    assert "title: Zürich" in bytes(meta["record"]).decode() and "httpHeader: Content-Encoding: gzip" in bytes(meta["record"]).decode()
+    with pytest.raises(Exception, match="no WARC record"):
+        (tmp_path / "b.warc").write_bytes(b"no records here")
+        warc.read_warc(spark, str(tmp_path / "b.warc")).count()
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
