@@ -132,6 +132,17 @@ def missing_tokens(source: Column, target: Column, pattern: str = r"[A-Z][A-Z0-9
     return F.array_sort(F.array_except(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), F.regexp_extract_all(target, F.lit(pattern), F.lit(0))))
 
 
+def numeric_tokens(c: Column, pattern: str = r"(?<![A-Za-z])\d+(?:[.,]\d+)?") -> Column:
+    """Distinct numbers of a text in one form: without commas, whole ones as integers, others with six significant digits."""
+
+    def token(x: Column) -> Column:
+        n = F.replace(x, F.lit(","), F.lit("")).cast("double")
+        digits = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(n))))
+        return F.when(n == F.floor(n), n.cast("decimal(38,0)").cast("string")).otherwise((F.round(n * digits) / digits).cast("string"))
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)), token))
+
+
 def same_numbers(a: Column, b: Column) -> Column:
     """The multisets of numbers in two texts are equal."""
     numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))

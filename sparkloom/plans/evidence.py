@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import rules, windows
+from ..operators import rules
 
 # Domains and markers of the evidence graph.
 DIRECT = ("visual", "ocr", "asr")
@@ -14,6 +18,10 @@ ASSERTIONS = {"visual": "OBSERVED", "asr": "SPOKEN_CLAIM", "ocr": "OCR_TEXT"}
 SCOPES = {"visual": ("FRAME", "SHORT_CLIP"), "ocr": ("FRAME", "SHORT_CLIP"), "asr": ("SHORT_CLIP", "FULL_VIDEO", "LONG_TERM_CLAIM")}
 CREATOR_MARKERS = ("creator handle", "account handle", "account identifier", "username", "douyin handle", "tiktok handle", "抖音号", "账号")
 META_MARKERS = ("evidenceunit", "evidence unit", "commercecue", "commerce cue", "commercialrelation", "commercial relation", "evidence_id", "evidence_refs", "cue_id", "relation_id", "spec_id", "task_type", "task_subtype")
+RELATION_TOKENS = (
+    "description_refers_to_product", "claim_supported_by_demonstration", "claim_repeated_across_modalities", "claim_partially_supported", "claim_contradicted", "claim_temporally_misaligned", "feature_framed_as_benefit", "demonstration_shows_state_change",
+    "problem_addressed_by_solution", "objection_responded_by_cue", "content_addresses_fit_uncertainty", "content_addresses_usage_uncertainty", "content_addresses_price_uncertainty", "offer_requires_condition", "content_precedes_cta",
+)
 GENERIC_QUESTIONS = ("what is shown in the video", "what happens in the video", "what does the video show", "what is happening", "what is the main point")
 HANDLING = ("flips through", "turns the pages", "holds up", "points to the product", "shows the product", "rotates the product")
 TRIVIAL = ("flips through", "turns the pages", "holds up", "points to", "shows the product", "rotates the product")
@@ -30,6 +38,11 @@ def mentions(c: Column, markers: tuple[str, ...]) -> Column:
     return text.mentions(c, markers, ())
 
 
+def meta_leak(c: Column) -> Column:
+    """A marker of the benchmark's own vocabulary, or a relation type as a word."""
+    return text.mentions(c, META_MARKERS, RELATION_TOKENS)
+
+
 def evidence_issues() -> Column:
     """Issue codes of an evidence unit from its own columns."""
     mode = F.lower(F.col("modality"))
@@ -57,29 +70,21 @@ def evidence_issues() -> Column:
     )
 
 
+#: Enum columns of evidence that with_references gathers, where the evidence has them; their values are few.
+GATHERED = {"modality": "modalities", "action_role": "roles", "assertion_scope": "scopes", "assertion_type": "assertions", "temporal_scope": "windows"}
+
+
 def with_references(df: DataFrame, key: str, ids: str, evidence: DataFrame) -> DataFrame:
-    """df with the facts of its referenced evidence: n_refs, n_missing, n_foreign, modalities, min_start; one join and one regroup."""
+    """df with the facts of its distinct referenced evidence: n_refs, n_missing, n_foreign, and the sets in GATHERED; one join and one regroup."""
     refs = df.select(key, "video_id", F.explode(F.array_distinct(ids)).alias("_ref"))
-    there = evidence.select(F.col("evidence_id").alias("_ref"), F.col("video_id").alias("_of"), F.lower("modality").alias("_mode"))
+    gathered = {c: out for c, out in GATHERED.items() if c in evidence.columns}
+    there = evidence.select(F.col("evidence_id").alias("_ref"), F.col("video_id").alias("_of"), *[(F.lower(c) if c == "modality" else F.upper(c)).alias(f"_{c}") for c in gathered])
     facts = refs.join(there, "_ref", "left").groupBy(key).agg(
         F.count(F.lit(1)).alias("n_refs"), F.count_if(F.col("_of").isNull()).alias("n_missing"), F.count_if(F.col("_of") != F.col("video_id")).alias("n_foreign"),
-        F.array_sort(F.collect_set("_mode")).alias("modalities"),
+        *[F.array_sort(F.collect_set(f"_{c}")).alias(out) for c, out in gathered.items()],
     )
     out = df.join(facts, key, "left")
-    return out.select(*df.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_refs", "n_missing", "n_foreign")], F.coalesce("modalities", F.array().cast("array<string>")).alias("modalities"))
-
-
-def relation_issues(evidence_needed: Column | int = 1) -> Column:
-    """Issue codes of a relation that has with_references' columns and its rule's `least_evidence`."""
-    return rules.issue_codes(
-        [
-            ("UNKNOWN_EVIDENCE", F.col("n_missing") > 0),
-            ("FOREIGN_EVIDENCE", F.col("n_foreign") > 0),
-            ("INSUFFICIENT_EVIDENCE", F.col("n_refs") < evidence_needed),
-            ("NEEDS_TWO_MODALITIES", (F.upper("relation_type") == "REPETITION") & (F.size("modalities") < 2)),
-            ("NON_ENGLISH_RATIONALE", text.contains_cjk(F.col("rationale_en"))),
-        ]
-    )
+    return out.select(*df.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_refs", "n_missing", "n_foreign")], *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in gathered.values()])
 
 
 def answer_type(task: Column, answer: Column) -> Column:
@@ -99,7 +104,7 @@ def spec_issues(allow_candidates: bool = False) -> Column:
             ("MISSING_COMMERCE_GRAPH_REF", (task == "AE") & none("commercial_relation_ids") & none("commerce_cue_ids")),
             ("MISSING_TARGET", blank("target")),
             ("MISSING_GOLD_ANSWER", blank("gold_answer")),
-            ("BENCHMARK_META_LEAKAGE", mentions(F.col("gold_answer"), META_MARKERS)),
+            ("BENCHMARK_META_LEAKAGE", meta_leak(F.col("gold_answer"))),
             ("MISSING_QUESTION_INTENT", blank("question_intent")),
             ("ANSWER_TYPE_MISMATCH", text.clean(F.col("answer_type")) != answer_type(task, F.col("gold_answer"))),
         ]
@@ -124,7 +129,7 @@ def question_issues(task: Column, question: Column, answer: Column) -> Column:
             ("GENERIC_QUESTION", stem(q).isin(*GENERIC_QUESTIONS)),
             ("ANSWER_LEAKAGE", leaks),
             ("NON_ENGLISH_GOLD_ANSWER", text.contains_cjk(a)),
-            ("BENCHMARK_META_LEAKAGE", mentions(q, META_MARKERS) | mentions(a, META_MARKERS)),
+            ("BENCHMARK_META_LEAKAGE", meta_leak(q) | meta_leak(a)),
             ("BACKGROUND_HANDLING_QUESTION", (task == "BP") & mentions(F.concat_ws(" ", q, a), HANDLING)),
             ("BP_ANSWER_TOO_LONG", (kind == "short_fact") & (F.size(F.filter(F.split(a, r"\s+"), lambda x: x != "")) > 20)),
             ("INVALID_NUMERIC_ANSWER", (kind == "numeric_fact") & ~a.rlike(NUMBER)),
@@ -142,20 +147,86 @@ def candidate_score(confidence: Column, n_cues: Column, n_relations: Column, tas
     return F.round(gain - loss, 6)
 
 
-def compile_questions(candidates: DataFrame, priority: dict[str, int], most: int = 8, per_task: int = 2, per_capability: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Selected and rejected candidates (video_id, vqa_id, task_type, capability, question, gold_answer, score).
+def compile_round(judged: DataFrame, taken: DataFrame | None, quotas: tuple[int, int, int], least: float) -> DataFrame:
+    """One pass over each video's candidates in order, with the questions that earlier videos hold taken away.
 
-    Invalid questions and later exact repeats of a question leave first and use no quota; the rest is
-    chosen greedily per video in order of task priority, score and id.
+    A task reads its videos' sorted rows as a stream and keeps only the accepted questions of the present video, so memory does
+    not grow with a video.
+    """
+    most, per_task, per_capability = quotas
+    rows = judged.select("video_id", "vqa_id", "_p", "_s", F.col("task_type").alias("task"), F.upper(text.clean(F.col("capability"))).alias("capability"), "_stem", F.lower(F.get("issues", F.lit(0))).alias("issue"))
+    rows = rows.withColumn("taken", F.lit(False)) if taken is None else rows.join(taken, "_stem", "left").withColumn("taken", F.coalesce(F.col("_by") < F.col("video_id"), F.lit(False))).drop("_by")
+    ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "_p", "_s", "vqa_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, held, tasks, capabilities = None, {}, Counter(), Counter()
+        for pdf in frames:
+            reasons = []
+            for of, task, capability, stem, issue, used in zip(*(pdf[c] for c in ("video_id", "task", "capability", "_stem", "issue", "taken"))):
+                if of != video:
+                    video, held, tasks, capabilities = of, {}, Counter(), Counter()
+                if len(held) >= most:
+                    reasons.append("video_quota")
+                elif tasks[task] >= per_task:
+                    reasons.append("task_quota")
+                elif capabilities[capability] >= per_capability:
+                    reasons.append("capability_quota")
+                elif isinstance(issue, str):
+                    reasons.append(issue)
+                elif used or stem in held:
+                    reasons.append("exact_duplicate_question")
+                elif any(similar(held[s], stem) >= least for s in held):
+                    reasons.append("within_video_semantic_duplicate")
+                else:
+                    reasons.append("")
+                    held[stem] = set(stem.split())
+                    tasks[task] += 1
+                    capabilities[capability] += 1
+            yield pd.DataFrame({"vqa_id": pdf["vqa_id"], "video_id": pdf["video_id"], "_stem": pdf["_stem"], "reason": reasons})
+
+    return ordered.mapInPandas(run, "vqa_id string, video_id string, _stem string, reason string")
+
+
+def similar(words: set[str], stem: str) -> float:
+    """Jaccard index of two questions' words; 1 when both have none."""
+    other = set(stem.split())
+    return len(words & other) / len(words | other) if words or other else 1.0
+
+
+def compile_questions(
+    candidates: DataFrame, priority: dict[str, int], most: int = 8, per_task: int = 2, per_capability: int = 1, least: float = 0.92, most_rounds: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """Selected and rejected candidates (video_id, vqa_id unique, task_type, capability, question, gold_answer, score), the latter with `reason`.
+
+    Greedy per video by task priority, score (high first) and id: full quotas refuse a candidate first, then its first issue, then a
+    question (numbers as <num>) that this or an earlier video has, then one with `least` of its words in common with
+    one of the video. Refused candidates use no quota. Videos go by name; since a question taken by one video frees a place in another, rounds
+    are repeated until no choice changes: after round n the first n of any chain of videos are settled. Ties in a null score go last.
     """
     rank = F.coalesce(*[F.when(F.col("task_type") == t, F.lit(n)) for t, n in priority.items()], F.lit(len(priority)))
-    judged = candidates.withColumn("issues", question_issues(F.col("task_type"), F.col("question"), F.col("gold_answer"))).withColumn("_order", F.struct(rank.alias("p"), (-F.col("score")).alias("s"), F.col("vqa_id").alias("i")))
-    valid, invalid = rules.split_valid(judged)
-    first, repeated = windows.keep_first(valid.withColumn("_stem", stem(F.col("question"))), ["_stem"], ["_order"])
-    chosen = windows.quota_select(first, "video_id", "task_type", "capability", ["_order"], most, per_task, per_capability).drop("_order", "_stem")
-    over = first.join(chosen.select("vqa_id"), "vqa_id", "left_anti")
-    rejected = invalid.withColumn("reason", F.array_join("issues", ",")).unionByName(repeated.drop("_stem"), allowMissingColumns=True).unionByName(over.drop("_stem").withColumn("reason", F.lit("QUOTA")), allowMissingColumns=True)
-    return chosen, rejected.drop("_order")
+    judged = candidates.withColumn("issues", question_issues(F.col("task_type"), F.col("question"), F.col("gold_answer")))
+    judged = judged.withColumns({"_p": rank, "_s": -F.coalesce(F.col("score"), F.lit(float("-inf"))), "_stem": text.question_stem(F.col("question"))})
+    taken, mark = None, None
+    for _ in range(most_rounds):
+        chosen = compile_round(judged, taken, (most, per_task, per_capability), least).checkpoint() if checkpointed(candidates) else compile_round(judged, taken, (most, per_task, per_capability), least).persist()
+        row = chosen.filter("reason = ''").agg(F.count(F.lit(1)), F.sum(F.xxhash64("vqa_id").cast("decimal(38,0)"))).first()
+        if tuple(row) == mark:
+            break
+        mark = tuple(row)
+        taken = chosen.filter("reason = ''").groupBy("_stem").agg(F.min("video_id").alias("_by"))
+    else:
+        raise RuntimeError(f"question choices not settled after {most_rounds} rounds")
+    decided = candidates.join(chosen.select("vqa_id", "reason"), "vqa_id")
+    return decided.filter("reason = ''").drop("reason"), decided.filter("reason <> ''")
+
+
+def checkpointed(df: DataFrame) -> bool:
+    """Whether the session has a checkpoint folder; without one (tests) tables stay in memory."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(where)
+    return bool(where)
 
 
 def merge_reviews(queue: DataFrame, decisions: DataFrame) -> DataFrame:

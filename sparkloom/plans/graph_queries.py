@@ -1,4 +1,4 @@
-"""Queries of the evidence graph on the driver tables: events stand for evidence, every second one also for a cue, every fourth for a relation."""
+"""Queries of the evidence graph on the driver tables: every event stands for an evidence unit, a cue and a relation."""
 
 from __future__ import annotations
 
@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from ..sources.scans import table
 from . import evidence, graph
 
-CUE_TYPES = ("PRICE", "OFFER_CONDITION", "PRODUCT_ATTRIBUTE", "BENEFIT", "PRICE_CLAIM", "BEFORE_AFTER")
-RELATION_TYPES = ("OFFER_REQUIRES_CONDITION", "FEATURE_FRAMED_AS_BENEFIT", "CLAIM_REPEATED_ACROSS_MODALITIES")
+CUE_TYPES = ("PRICE", "OFFER_CONDITION", "PRODUCT_ATTRIBUTE", "BENEFIT", "PRICE_CLAIM", "BEFORE_AFTER", "PRODUCT_IDENTITY", "PROCESS_DEMONSTRATION", "EFFECT_CLAIM", "CTA")
+RELATION_TYPES = ("OFFER_REQUIRES_CONDITION", "FEATURE_FRAMED_AS_BENEFIT", "CLAIM_REPEATED_ACROSS_MODALITIES", "CLAIM_SUPPORTED_BY_DEMONSTRATION", "CLAIM_TEMPORALLY_MISALIGNED", "CONTENT_PRECEDES_CTA", "NO_SUCH")
+ROLES = ("BACKGROUND_HANDLING", "PRODUCT_INSPECTION", "FUNCTIONAL_OPERATION", "OUTCOME_DEMONSTRATION")
+SCOPES = ("OBSERVED_FACT", "SPOKEN_CLAIM", "OBSERVED_FACT", "CONDITIONAL")
+WINDOWS = ("FRAME", "LONG_TERM_CLAIM", "SHORT_CLIP", "FULL_VIDEO", "FRAME")
+STATUSES = ("SUPPORTED", "PARTIALLY_SUPPORTED", "TEMPORALLY_MISALIGNED", "UNCLEAR")
+CONTENTS = ("plain", "The presenter holds the product", "The speaker says it lasts", "")
+RATIONALES = ("ok", "it increases trust", "不", "", "fits")
 TASKS = ("BP", "CM", "SS", "AE")
 
 
@@ -30,32 +36,36 @@ def codes(issues: str = "issues") -> Column:
 
 
 def units(spark, d) -> DataFrame:
-    """Evidence units of users, with the next event of the user."""
+    """Every event as an evidence unit of its user, with the user's next event."""
+    n = F.col("event_id")
     mode = F.when(F.col("event_type") == "view", "visual").when(F.col("event_type") == "click", "ocr").otherwise("asr")
     nxt = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     return table(spark, d, "events").select(
-        "event_id", name("e", F.col("event_id")).alias("evidence_id"), F.col("user_id").cast("string").alias("video_id"), mode.alias("modality"),
-        F.concat_ws(" ", "event_type", (F.col("event_id") % 7).cast("string")).alias("content_en"), (F.col("event_id") % 5).cast("string").alias("value"), nxt.alias("next_id"),
+        "event_id", name("e", n).alias("evidence_id"), F.col("user_id").cast("string").alias("video_id"), mode.alias("modality"),
+        F.concat_ws(" ", "event_type", (n % 7).cast("string")).alias("content_en"), (n % 5).cast("string").alias("value"), nxt.alias("next_id"),
+        F.when(mode == "visual", pick(ROLES, n)).alias("action_role"), pick(SCOPES, n).alias("assertion_scope"), pick(WINDOWS, n).alias("temporal_scope"),
+        F.when(mode == "visual", "OBSERVED").when(mode == "ocr", "OCR_TEXT").otherwise("SPOKEN_CLAIM").alias("assertion_type"),
     )
 
 
 def cues(evidence_units: DataFrame) -> DataFrame:
-    """Cues that cite their event, the user's next one, and now and then an unknown or a foreign one."""
-    refs = F.array_compact(F.array(F.col("evidence_id"), name("e", F.col("next_id")), F.when(divides(13), name("x", F.col("event_id"))), F.when(divides(17), name("e", F.col("event_id") + 1))))
-    content = F.when(divides(3), F.concat(F.lit("price "), (F.col("event_id") % 9).cast("string"))).otherwise("plain")
-    return evidence_units.filter(divides(2)).select(
-        "event_id", name("c", F.col("event_id")).alias("cue_id"), "video_id", pick(CUE_TYPES, F.floor(F.col("event_id") / 2)).alias("cue_type"), content.alias("content_en"), refs.alias("evidence_ids"), F.when(divides(6), "BACKGROUND_HANDLING").alias("action_role")
-    )
+    """A cue for every unit: it cites its event, the user's next one, and now and then an unknown or a foreign one."""
+    n = F.col("event_id")
+    refs = F.array_compact(F.array(F.col("evidence_id"), name("e", F.col("next_id")), F.when(divides(13), name("x", n)), F.when(divides(17), name("e", n + 1))))
+    content = F.when(divides(3), F.concat(F.lit("price "), (n % 9).cast("string"))).when(divides(29), "网").otherwise(pick(CONTENTS, n))
+    return evidence_units.select(
+        "event_id", name("c", n).alias("cue_id"), "video_id", pick(CUE_TYPES, n).alias("cue_type"), content.alias("content_en"), refs.alias("evidence_ids"), F.when(n % 6 < 4, pick(ROLES, n + 3)).alias("action_role"),
+        F.when(n % 5 < 3, "OBSERVED_FACT").otherwise("SPOKEN_CLAIM").alias("assertion_scope"), F.when(divides(31), "MAYBE").otherwise("DIRECT").alias("directness"), "next_id",
+    )
 
 
 def relations(all_cues: DataFrame) -> DataFrame:
-    """Relations of a cue with the user's next cue, some with a lost or a foreign end."""
-    nxt = F.lead("event_id").over(Window.partitionBy("video_id").orderBy("event_id"))
-    end = F.when(divides(28), name("c", F.col("event_id") + 1)).when(divides(36), name("c", F.col("event_id") + 2)).otherwise(name("c", F.col("_next")))
-    kind = F.when(divides(20), "NO_SUCH").otherwise(pick(RELATION_TYPES, F.floor(F.col("event_id") / 4)))
-    return all_cues.withColumn("_next", nxt).filter(divides(4)).select(
-        name("r", F.col("event_id")).alias("relation_id"), "video_id", kind.alias("relation_type"), F.array("cue_id").alias("source_cue_ids"), F.array_compact(F.array(end)).alias("target_cue_ids"), "evidence_ids",
-        F.when(divides(5), "THEORY_DIRECT").otherwise("THEORY_OPERATIONALIZED").alias("provenance"), F.when(divides(7), "不").otherwise("ok").alias("rationale_en"),
+    """A relation of every cue with the user's next cue, some with a lost or a foreign end, the last of a user without any."""
+    n = F.col("event_id")
+    end = F.when(divides(28), name("z", n)).when(divides(36), name("c", n + 2)).otherwise(name("c", F.col("next_id")))
+    return all_cues.select(
+        name("r", n).alias("relation_id"), "video_id", pick(RELATION_TYPES, n).alias("relation_type"), F.array("cue_id").alias("source_cue_ids"), F.array_compact(F.array(end)).alias("target_cue_ids"), "evidence_ids",
+        F.when(divides(5), "THEORY_DIRECT").otherwise("THEORY_OPERATIONALIZED").alias("provenance"), pick(RATIONALES, n).alias("rationale_en"), pick(STATUSES, n).alias("status"),
     )
 
 
@@ -104,8 +114,8 @@ def spec_checks(spark, d):
 def compiled_questions(spark, d):
     """User turns as candidate questions: kept, or the reason why not."""
     t = table(spark, d, "conversations").filter("role = 'user'")
-    made = t.select(F.col("conv_id").cast("string").alias("video_id"), F.concat_ws(":", "conv_id", "turn").alias("vqa_id"), pick(TASKS, F.col("turn")).alias("task_type"), name("k", F.col("turn") % 3).alias("capability"), F.concat("text", F.lit("?")).alias("question"), F.lit("no").alias("gold_answer"), F.length("text").cast("double").alias("score"))
-    kept, rejected = evidence.compile_questions(made, {"BP": 0, "CM": 1, "SS": 2, "AE": 3})
+    made = t.select((F.col("conv_id") % 50).cast("string").alias("video_id"), F.concat_ws(":", "conv_id", "turn").alias("vqa_id"), pick(TASKS, F.col("turn")).alias("task_type"), name("k", F.col("turn") % 3).alias("capability"), F.concat("text", F.lit("?")).alias("question"), F.lit("no").alias("gold_answer"), F.length("text").cast("double").alias("score"))
+    kept, rejected = evidence.compile_questions(made, {"BP": 0, "CM": 1, "SS": 2, "AE": 3}, per_task=3, per_capability=2)
     return kept.select("vqa_id", F.lit("KEPT").alias("outcome")).unionByName(rejected.select("vqa_id", F.col("reason").alias("outcome")))
 
 

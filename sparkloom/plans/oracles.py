@@ -161,10 +161,18 @@ WITH t AS (SELECT conv_id, turn, lower(text) AS a, len(regexp_extract_all(lower(
 SELECT conv_id, turn, round(round((conv_id % 10) / 10.0 * 50, 6) + least(18, turn % 4 * 3 + conv_id % 3 * 8) + CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 10 END + CASE WHEN conv_id % 4 = 0 THEN 8 ELSE 0 END + turn % 5 * 2
   - CASE WHEN regexp_matches(a, 'flips through|turns the pages|holds up|points to|shows the product|rotates the product') THEN 45 ELSE 0 END - greatest(0, w - 30) * 0.5, 6) AS score FROM t""",
     "question_checks": r"""
-WITH t AS (SELECT conv_id, turn, trim(text) AS q, string_split(text, ' ')[1] AS a FROM conversations WHERE role = 'user'),
-s AS (SELECT *, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS qs, trim(regexp_replace(lower(a), '[^a-z0-9]+', ' ', 'g')) AS sa, len(regexp_extract_all(q, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?')) AS w FROM t)
-SELECT conv_id, turn, coalesce(array_to_string(list_filter([CASE WHEN q <> '' AND NOT ends_with(q, '?') THEN 'MISSING_QUESTION_MARK' END, CASE WHEN w < 5 OR w > 45 THEN 'QUESTION_LENGTH_OUT_OF_RANGE' END,
-  CASE WHEN length(trim(a)) > 3 AND sa <> '' AND contains(qs, sa) THEN 'ANSWER_LEAKAGE' END], lambda x: x IS NOT NULL), ','), '') AS codes FROM s""",
+WITH t AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 12 AS i, text, string_split(text, ' ')[1] AS first FROM conversations),
+u AS (SELECT conv_id, turn, i, CASE WHEN i < 9 THEN 'BP' ELSE 'CM' END AS task,
+  trim(CASE i WHEN 0 THEN 'What is happening?' WHEN 1 THEN text || ' 吗?' WHEN 2 THEN 'Is claim_contradicted the ' || text || '?' WHEN 3 THEN 'Who holds up the ' || text || '?' WHEN 4 THEN text || '?' ELSE text END) AS q,
+  trim(CASE i WHEN 5 THEN '答' WHEN 6 THEN trim(repeat('word ', 25)) WHEN 7 THEN 'see the spec_id' WHEN 8 THEN '3 cups' ELSE first END) AS a FROM t),
+s AS (SELECT *, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS qs, trim(regexp_replace(lower(a), '[^a-z0-9]+', ' ', 'g')) AS sa, len(regexp_extract_all(q, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?')) AS w,
+  regexp_matches(q, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]') AS qz, regexp_matches(a, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]') AS az,
+  'evidenceunit|evidence unit|commercecue|commerce cue|commercialrelation|commercial relation|evidence_id|evidence_refs|cue_id|relation_id|spec_id|task_type|task_subtype|\bclaim_contradicted\b' AS meta FROM u)
+SELECT conv_id, turn, coalesce(array_to_string(list_filter([CASE WHEN q = '' OR qz THEN 'NON_ENGLISH_QUESTION' END, CASE WHEN q <> '' AND NOT ends_with(q, '?') THEN 'MISSING_QUESTION_MARK' END, CASE WHEN w < 5 OR w > 45 THEN 'QUESTION_LENGTH_OUT_OF_RANGE' END,
+  CASE WHEN qs IN ('what is shown in the video', 'what happens in the video', 'what does the video show', 'what is happening', 'what is the main point') THEN 'GENERIC_QUESTION' END,
+  CASE WHEN length(a) > 3 AND sa <> '' AND contains(qs, sa) THEN 'ANSWER_LEAKAGE' END, CASE WHEN az THEN 'NON_ENGLISH_GOLD_ANSWER' END, CASE WHEN regexp_matches(lower(q), meta) OR regexp_matches(lower(a), meta) THEN 'BENCHMARK_META_LEAKAGE' END,
+  CASE WHEN task = 'BP' AND regexp_matches(lower(q || ' ' || a), 'flips through|turns the pages|holds up|points to the product|shows the product|rotates the product') THEN 'BACKGROUND_HANDLING_QUESTION' END,
+  CASE WHEN task = 'BP' AND i = 6 THEN 'BP_ANSWER_TOO_LONG' END], lambda x: x IS NOT NULL), ','), '') AS codes FROM s""",
     "cohort_selection": """
 WITH h AS (SELECT doc_id, lang, source, doc_id IN (5, 17) AS anchor, sha256('42|' || doc_id) AS h FROM documents),
 p AS (SELECT *, CASE WHEN anchor THEN 0 WHEN row_number() OVER (PARTITION BY source ORDER BY anchor DESC, h) = 1 THEN 1 ELSE 2 END AS pass FROM h),

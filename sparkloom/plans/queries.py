@@ -100,7 +100,7 @@ def content_ids(spark, d):
 def event_json(spark, d):
     e = table(spark, d, "events")
     fenced = F.concat(F.lit("reply:\n```json\n"), F.col("props"), F.lit("\n```"))
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object(nested.lenient_object(fenced), "$.k").cast("bigint").alias("found"), nested.strict_reason(F.col("props"), "k").alias("strict"), nested.strict_reason(fenced, "k").alias("lead"), nested.strict_reason(F.substring("props", 2, 100), "k").alias("broken"), nested.strict_reason(F.col("props"), "other").alias("other"), nested.has_private_key(F.concat(F.lit('{"likes": 1, "x": '), "props", F.lit("}"))).alias("private"))
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object(nested.lenient_object(fenced), "$.k").cast("bigint").alias("found"), nested.strict_reason(F.col("props"), "k").alias("strict"), nested.strict_reason(fenced, "k").alias("lead"), nested.strict_reason(F.expr("substring(props, 2)"), "k").alias("broken"), nested.strict_reason(F.col("props"), "other").alias("other"), nested.has_private_key(F.concat(F.lit('{"likes": 1, "x": '), "props", F.lit("}"))).alias("private"))
 
 
 def public_documents(spark, d):
@@ -125,7 +125,8 @@ def line_closure(spark, d):
     cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(cust, "o_custkey").select("o_orderkey", "nation")
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    part = table(spark, d, "part").filter("p_partkey % 50 <> 0").select("p_partkey", F.lit(0).alias("owner"))
+    part = table(spark, d, "part").select("p_partkey", F.lit(0).alias("owner"))
+    li = li.withColumn("l_partkey", F.when(F.col("l_partkey") % 50 == 0, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey")))  # some references are lost
     owned = li.join(orders, li["l_orderkey"] == orders["o_orderkey"])
     return joins.closure(owned, "l_suppkey", "nation", supplier, "s_suppkey", "s_nationkey", "supplier").unionByName(joins.closure(li.withColumn("owner", F.lit(0)), "l_partkey", "owner", part, "p_partkey", "owner", "part"))
 
@@ -135,7 +136,7 @@ def ordered_lines(spark, d):
     li = table(spark, d, "lineitem")
     asked = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_linenumber")), False).alias("ids"))
     asked = asked.select("l_orderkey", F.transform("ids", lambda i: F.concat_ws("-", F.col("l_orderkey").cast("string"), i.cast("string"))).alias("ids"))
-    members = li.filter("l_linenumber <> 2").groupBy(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("mid"), "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    members = li.groupBy(F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") == 2, "lost").otherwise("-"), F.col("l_linenumber").cast("string")).alias("mid"), "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     out = joins.ordered_members(asked, "ids", members, "mid", ["l_linenumber", "l_quantity"], "lines", "l_orderkey")
     return out.select("l_orderkey", F.size("lines").alias("n"), F.array_join(F.transform("lines", lambda x: x["l_linenumber"].cast("string")), ",").alias("lines"))
 
@@ -151,7 +152,7 @@ def nearest_events(spark, d):
 def cache_status(spark, d):
     """Translation-like jobs: documents against a cache with some other digests and some gaps."""
     docs = table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    cache = docs.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("digest")).alias("digest"))
+    cache = docs.select(F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("digest")).alias("digest"))
     jobs = docs.withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.lit(" ")).otherwise(F.col("text")))
     return joins.lookup_status(jobs, cache, ["doc_id"], "digest", "text").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -324,11 +325,16 @@ def candidate_scores(spark, d):
 
 
 def question_checks(spark, d):
-    """Issue codes of user turns as questions, with the first word as answer."""
-    t = table(spark, d, "conversations").filter("role = 'user'").withColumn("answer", F.get(F.split("text", " "), F.lit(0)))
-    codes = evidence.question_issues(F.lit("CM"), F.col("text"), F.col("answer"))
-    kept = F.filter(codes, lambda c: c.isin("MISSING_QUESTION_MARK", "QUESTION_LENGTH_OUT_OF_RANGE", "ANSWER_LEAKAGE"))
-    return t.select("conv_id", "turn", F.array_join(kept, ",").alias("codes"))
+    """All issue codes of turns as questions of the four tasks, some of them altered to break a rule; the first word is the answer."""
+    t = table(spark, d, "conversations").withColumn("i", F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(12)))
+    first = F.get(F.split("text", " "), F.lit(0))
+    question = (
+        F.when(F.col("i") == 0, "What is happening?").when(F.col("i") == 1, F.concat("text", F.lit(" 吗?"))).when(F.col("i") == 2, F.concat(F.lit("Is claim_contradicted the "), "text", F.lit("?")))
+        .when(F.col("i") == 3, F.concat(F.lit("Who holds up the "), "text", F.lit("?"))).when(F.col("i") == 4, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    )
+    answer = F.when(F.col("i") == 5, "答").when(F.col("i") == 6, F.array_join(F.array_repeat(F.lit("word"), 25), " ")).when(F.col("i") == 7, "see the spec_id").when(F.col("i") == 8, "3 cups").otherwise(first)
+    task = F.when(F.col("i") < 9, "BP").otherwise("CM")
+    return t.select("conv_id", "turn", F.array_join(evidence.question_issues(task, question, answer), ",").alias("codes"))
 
 
 def cohort_selection(spark, d):

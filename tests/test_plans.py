@@ -1,5 +1,8 @@
 """Composite plans on inline fixtures."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,14 +60,52 @@ def test_candidate_score(spark):
     assert got == [45 + 11 + 10 + 6, 40 + 8 - 45]
 
 
-def test_compile_keeps_quotas_and_reasons(spark):
-    rows = [("v", f"q{i}", "BP", f"c{i % 3}", f"What is shown in part number {i} here?", "red", float(i)) for i in range(6)]
-    rows += [("v", "dup", "CM", "c", "What is shown in part number 5 here?", "red", 1.0), ("v", "bad", "CM", "c", "no", "red", 9.0)]
+def chosen_in_turn(rows, priority, most, per_task, per_capability):
+    """The greedy choice, one candidate after another."""
+    def stem(q):
+        return " ".join(re.sub(r"[^a-z0-9<>]+", " ", re.sub(r"\d+(?:\.\d+)?", "<num>", q.lower())).split())
+
+    out, everywhere, held = {}, set(), {}
+    for video, i, task, capability, question, _, score in sorted(rows, key=lambda r: (r[0], priority.get(r[2], len(priority)), -r[6], r[1])):
+        mine = held.setdefault(video, [])
+        words = set(stem(question).split())
+        if len(mine) >= most:
+            out[i] = "video_quota"
+        elif sum(t == task for t, _, _ in mine) >= per_task:
+            out[i] = "task_quota"
+        elif sum(c == capability for _, c, _ in mine) >= per_capability:
+            out[i] = "capability_quota"
+        elif not question.endswith("?"):
+            out[i] = "missing_question_mark"
+        elif stem(question) in everywhere:
+            out[i] = "exact_duplicate_question"
+        elif any(len(words & w) / len(words | w) >= 0.92 for _, _, w in mine):
+            out[i] = "within_video_semantic_duplicate"
+        else:
+            out[i] = ""
+            everywhere.add(stem(question))
+            mine.append((task, capability, words))
+    return out
+
+
+def test_compiled_questions_against_a_loop(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(26)]
+    bases = [[rnd.choice(words) for _ in range(rnd.randint(5, 26))] for _ in range(12)]
+    rows = []
+    for i in range(500):
+        text = list(rnd.choice(bases))
+        if rnd.random() < 0.5:
+            text[rnd.randrange(len(text))] = rnd.choice(["7", "8.5", "other"])
+        rows.append((f"v{rnd.randint(0, 40)}", f"q{i:03}", rnd.choice(["BP", "CM", "SS"]), f"k{rnd.randint(0, 5)}", " ".join(text) + rnd.choice(["?", "?", "?", "? ", "."]).strip(), "no", float(rnd.randint(0, 9))))
     df = spark.createDataFrame(rows, "video_id string, vqa_id string, task_type string, capability string, question string, gold_answer string, score double")
-    chosen, rejected = evidence.compile_questions(df, {"CM": 0, "BP": 1})
-    assert {r["vqa_id"] for r in chosen.collect()} == {"dup", "q4", "q3"}
-    why = {r["vqa_id"]: r["reason"] for r in rejected.collect()}
-    assert why["q5"] == "DUPLICATE" and why["q0"] == "QUOTA" and "MISSING_QUESTION_MARK" in why["bad"]
+    chosen, rejected = evidence.compile_questions(df, {"CM": 0, "BP": 1}, most=3, per_task=2, per_capability=2)
+    got = {r["vqa_id"]: "" for r in chosen.collect()} | {r["vqa_id"]: r["reason"] for r in rejected.collect()}
+    want = chosen_in_turn(rows, {"CM": 0, "BP": 1}, 3, 2, 2)
+    assert got == want and len(set(want.values())) >= 6
+    assert chosen.columns == df.columns and rejected.columns == [*df.columns, "reason"]
+    none, _ = evidence.compile_questions(df.limit(0), {"CM": 0})
+    assert none.count() == 0
 
 
 def test_review_merge(spark):
