@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalize_blanks(c: Column) -> Column:
     return F.regexp_replace(clean(c), r"(?U)\s+", " ")
 

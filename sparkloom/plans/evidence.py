@@ -216,7 +216,7 @@ def compile_questions(
         taken = chosen.filter("reason = ''").groupBy("_stem").agg(F.min("video_id").alias("_by"))
     else:
         raise RuntimeError(f"question choices not settled after {most_rounds} rounds")
-    decided = candidates.join(chosen.select("vqa_id", "reason"), "vqa_id")
+    decided = candidates.join(chosen.select("vqa_id", "reason"), "vqa_id").select(*candidates.columns, "reason")
     return decided.filter("reason = ''").drop("reason"), decided.filter("reason <> ''")
 
 
