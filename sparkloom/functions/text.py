@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 # Tokens that mean "missing".
 MISSING = ("", "-", "—", "暂无", "N/A", "NA", "None", "null", "nan")
 CJK = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]"
-SENTENCE_END = "[。！？!?；;…\\n]+"
+
+
+#: Characters with the property White_Space.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def clean(c: Column) -> Column:
     """Null to empty; Unicode blanks trimmed on both ends."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(BLANKS))
 
 
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -68,23 +71,36 @@ def contains(text: Column, phrase: Column) -> Column:
     return ((F.position(p, t) > 0) & (t != "") & (p != "")).cast("int")
 
 
+def bare_words(keywords: tuple[str, ...]) -> list[str]:
+    bares = [re.sub(r"[^一-鿿A-Za-z0-9]+", "", k).lower() for k in keywords]
+    return [k for k in bares if k]
+
+
+def any_in_bare(t: Column, keywords: tuple[str, ...]) -> Column:
+    return t.rlike("|".join(map(re.escape, bare_words(keywords))) or "(?!)").cast("int")
+
+
 def contains_any(text: Column, keywords: tuple[str, ...]) -> Column:
-    bares = [re.escape(re.sub(r"[^一-鿿A-Za-z0-9]+", "", k).lower()) for k in keywords]
-    return bare(text).rlike("|".join(k for k in bares if k) or "(?!)").cast("int")
+    return any_in_bare(bare(text), keywords)
+
+
+def count_in_bare(t: Column, keywords: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a + b, [((F.length(t) - F.length(F.replace(t, F.lit(k), F.lit("")))) / len(k)).cast("int") for k in bare_words(keywords)], F.lit(0))
 
 
 def count_any(text: Column, keywords: tuple[str, ...]) -> Column:
     """Sum over keywords of their non-overlapping occurrences in the bare text."""
-    t = bare(text)
-    bares = [re.sub(r"[^一-鿿A-Za-z0-9]+", "", k).lower() for k in keywords]
-    return reduce(lambda a, b: a + b, [((F.length(t) - F.length(F.replace(t, F.lit(k), F.lit("")))) / len(k)).cast("int") for k in bares if k], F.lit(0))
+    return bound(bare(text), lambda t: count_in_bare(t, keywords))
+
+
+def sentences_in(t: Column) -> Column:
+    """Of trimmed text: pieces between sentence ends that are not blank; at least 1 for text that is not empty."""
+    return F.when(t == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"(?U)[^。！？!?；;…\n\s][^。！？!?；;…\n]*"))))
 
 
 def sentence_count(c: Column) -> Column:
     """Non-blank pieces between sentence ends; at least 1 for text that is not empty."""
-    t = clean(c)
-    n = F.size(F.filter(F.split(t, SENTENCE_END), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != ""))
-    return F.when(t == "", F.lit(0)).otherwise(F.greatest(F.lit(1), n))
+    return bound(clean(c), sentences_in)
 
 
 def count_of(c: Column, pattern: str) -> Column:

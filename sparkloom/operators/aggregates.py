@@ -32,9 +32,42 @@ def score_report(df: DataFrame, task: str, score: str, judged: str) -> DataFrame
     return tasks.unionByName(micro).unionByName(macro)
 
 
+def ranked_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Distinct values of each group with `_n` (rows) and `_before` (rows with a smaller value), and `_total`.
+
+    Values are dealt over buckets that keep their order: a bucket follows from the value and the group's exact bounds, finer towards the
+    smallest, so it is the same in every run. Windows run over the counts of a group's buckets (at most 1,281) and over the values of one bucket.
+    """
+    keys = [F.col(c) for c in group]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = counts.groupBy(*group).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"), F.sum("_n").alias("_total"))
+    spread = F.try_divide(F.col(value).cast("double") - F.col("_low"), F.col("_high") - F.col("_low"))
+    bucket = F.floor(64 * F.log2(1 + F.coalesce(spread, F.lit(0.0)) * (1 << 20))).cast("int")
+    dealt = (counts.join(bounds, group) if group else counts.join(F.broadcast(bounds))).withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_low", "_high")
+    earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_sum")).select(*group, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, [*group, "_bucket"])
+    return ranked.withColumn("_before", F.col("_inside") + F.col("_offset")).drop("_bucket", "_inside", "_offset")
+
+
+def group_quantiles(df: DataFrame, group: list[str], value: str, points: list[float], names: list[str]) -> DataFrame:
+    """group and exact quantiles with linear interpolation; null for no values. One pass over ranked distinct values picks two of them for each point."""
+    ranked = ranked_values(df, group, value)
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= index) & (index < F.col("_before") + F.col("_n")), F.col(value).cast("double")))
+
+    picked, last = [], F.col("_total") - 1
+    for i, p in enumerate(points):
+        picked += [at(F.floor(last * p)).alias(f"_a{i}"), at(F.ceil(last * p)).alias(f"_b{i}"), F.max(last * p - F.floor(last * p)).alias(f"_f{i}")]
+    out = ranked.groupBy(*group).agg(*picked)
+    return out.select(*group, *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)])
+
+
 def quantiles(df: DataFrame, column: str, points: list[float], names: list[str]) -> DataFrame:
     """One row of exact quantiles with linear interpolation; null for no values."""
-    return df.agg(*[F.percentile(column, p).alias(n) for p, n in zip(points, names)])
+    return group_quantiles(df, [], column, points, names)
 
 
 def with_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -42,19 +75,9 @@ def with_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row.limit(1)))
 
 
-def average_rank(value: str, partition: list[str]) -> Column:
-    """1-based rank with ties averaged."""
-    ordered = Window.partitionBy(*partition).orderBy(value)
-    same = Window.partitionBy(*partition, value)
-    return F.rank().over(ordered) + (F.count(F.lit(1)).over(same) - 1) / 2
-
-
 def tie_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """Average ranks within groups through counts of distinct values: rows join their value's rank,
-    so a window only runs over distinct values of a group."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    """1-based ranks within groups with ties averaged: rows join their value's rank, no window runs over rows or over all values of a group."""
+    ranked = ranked_values(df, group, value).select(*group, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranked, [*group, value], "left")
 
 
@@ -96,8 +119,8 @@ def brier(probability: Column, label: Column) -> Column:
 
 def tertile_thresholds(long: DataFrame, metric: str, value: str) -> DataFrame:
     """metric, q33, q67 of log1p values."""
-    logged = F.when(F.col(value) > -1, F.log1p(F.col(value)))
-    return long.groupBy(metric).agg(F.percentile(logged, 1 / 3).alias("q33"), F.percentile(logged, 2 / 3).alias("q67"))
+    logged = long.withColumn("_log", F.when(F.col(value) > -1, F.log1p(F.col(value))))
+    return long.select(metric).distinct().join(group_quantiles(logged, [metric], "_log", [1 / 3, 2 / 3], ["q33", "q67"]), metric, "left")
 
 
 def bootstrap_interval(df: DataFrame, group: list[str], value: str, resamples: int = 200, seed: int = 42) -> DataFrame:

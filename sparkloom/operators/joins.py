@@ -24,10 +24,12 @@ def scored_or_missing(gold: DataFrame, predictions: DataFrame, key: str, score:
     return gold.join(found, key, "left").withColumn("missing", F.col("_found").isNull()).withColumn(score, F.when(F.col("missing"), F.lit(0.0)).otherwise(F.col(score))).drop("_found")
 
 
-def ordered_members(df: DataFrame, ids: str, members: DataFrame, member_id: str, fields: list[str], into: str, key: str) -> DataFrame:
-    """key and an array of the referenced members in reference order; unresolved references fall out."""
+def ordered_members(df: DataFrame, ids: str, members: DataFrame, member_id: str, fields: list[str], into: str, key: str, strict: bool = False) -> DataFrame:
+    """key and an array of the referenced members in reference order; unresolved references fall out, or are an error at run time if strict."""
     refs = df.select(key, F.posexplode(ids).alias("_pos", "_ref"))
-    found = refs.join(members.select(F.col(member_id).alias("_ref"), F.struct(*fields).alias("_row")), "_ref")
+    found = refs.join(members.select(F.col(member_id).alias("_ref"), F.struct(*fields).alias("_row")), "_ref", "left" if strict else "inner")
+    if strict:
+        found = found.withColumn("_row", F.when(F.col("_row").isNotNull(), F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("unknown id: "), F.col("_ref").cast("string")))))
     packed = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_row"))), lambda x: x["_row"]).alias(into))
     return df.select(key).join(packed, key, "left").withColumn(into, F.coalesce(into, F.array().cast(packed.schema[into].dataType)))
 
@@ -50,18 +52,30 @@ def assert_closed(report: DataFrame) -> None:
 
 
 def in_range_or_nearest(ranges: DataFrame, points: DataFrame, key: list[str], start: str, end: str, at: str, tie: str, width: float) -> DataFrame:
-    """Points with start <= at <= end; for a range without any, the single nearest to its middle (ties: least `tie`).
+    """Points with start <= at <= end; for a range without any, the single nearest to its middle (ties: least `tie`, a number).
 
-    Ranges are joined on the buckets of `width` that they cross, so a hot key is spread over
-    time; the few ranges without a point fall back to the nearest point of their key.
+    Ranges are joined on the buckets of `width` that they cross, so a hot key is spread over time. A range without a
+    point looks in the bucket of its middle, and at the last point before and the first after that bucket; those come from one row for each
+    bucket that has points, so no range meets all points of its key.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    crossed = ranges.withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end))))
-    inside = crossed.join(points.withColumn("_b", bucket(at)), [*key, "_b"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("_b")
-    alone = ranges.join(inside.select(*key, start, end).distinct(), [*key, start, end], "left_anti")
+    bucket = lambda c: F.floor(c / width)
+    placed = points.withColumn("_b", bucket(F.col(at)))
+    crossed = ranges.withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+    inside = crossed.join(placed, [*key, "_b"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("_b")
     middle = (F.col(start) + F.col(end)) / 2
-    near = alone.join(points, key).groupBy(*alone.columns).agg(F.min_by(F.struct(at, tie), F.struct(F.abs(F.col(at) - middle), F.col(tie))).alias("_p"))
-    fallback = near.select(*alone.columns, F.col(f"_p.{at}").alias(at), F.col(f"_p.{tie}").alias(tie))
+    alone = ranges.join(inside.select(*key, start, end).distinct(), [*key, start, end], "left_anti").withColumn("_b", bucket(middle))
+    edge = lambda side, sign: side(F.struct(F.col(at).alias(at), (sign * F.col(tie)).alias(tie)))
+    full = placed.groupBy(*key, "_b").agg(edge(F.min, 1).alias("_first"), edge(F.max, -1).alias("_last"))  # of equal times the least tie
+    asked = alone.select(*key, "_b").distinct()
+    order = Window.partitionBy(*key).orderBy("_b")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    known = asked.withColumn("_asked", F.lit(True)).join(full, [*key, "_b"], "full")
+    known = known.withColumns({"_prev": F.last("_last", ignorenulls=True).over(before), "_next": F.first("_first", ignorenulls=True).over(after)}).filter("_asked")
+    here = placed.join(asked, [*key, "_b"], "left_semi").select(*key, "_b", F.struct(F.col(at).alias(at), F.col(tie).alias(tie)).alias("_p"))
+    prev = F.when(F.col("_prev").isNotNull(), F.struct(F.col(f"_prev.{at}").alias(at), (-F.col(f"_prev.{tie}")).alias(tie)))
+    sides = known.select(*key, "_b", F.explode(F.array_compact(F.array(prev, F.col("_next")))).alias("_p"))
+    near = alone.join(here.unionByName(sides), [*key, "_b"]).groupBy(*alone.columns).agg(F.min_by("_p", F.struct(F.abs(F.col(f"_p.{at}") - middle), F.col(f"_p.{tie}"))).alias("_p"))
+    fallback = near.select(*ranges.columns, F.col(f"_p.{at}").alias(at), F.col(f"_p.{tie}").alias(tie))
     columns = [*ranges.columns, at, tie]
     return inside.select(*columns, F.lit("direct").alias("link")).unionByName(fallback.select(*columns, F.lit("nearest").alias("link")))
 

@@ -27,18 +27,33 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int)
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def hash_ranks(df: DataFrame, partition: list[str], key: str, out: str, hashed: Column | None = None) -> DataFrame:
+    """df with `out`: the place (from 1) of a row in its partition by SHA-256 of the key, then the key.
+
+    Places are counts of 4,096 hash prefixes plus the place inside one prefix, so no task sorts a whole partition.
+    """
+    marked = df.withColumn("_h", F.sha2(F.col(key).cast("string"), 256) if hashed is None else hashed).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = marked.groupBy(*partition, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*partition).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(partition)], F.col("_p").alias("_ofp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = marked.withColumn("_rn", F.row_number().over(Window.partitionBy(*partition, "_p").orderBy("_h", key)))
+    same = F.col("_p") == F.col("_ofp")
+    for i, c in enumerate(partition):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+    return placed.join(offsets, same).withColumn(out, (F.col("_rn") + F.col("_before")).cast("int")).select(*df.columns, out)
+
+
 def hash_sample(df: DataFrame, stratum: str, key: str, share: float, exclude: DataFrame | None = None) -> DataFrame:
     """Per stratum the first max(1, ceil(share * n)) rows by SHA-256 of the key, then the key; the same for any input order."""
     pool = df if exclude is None else df.join(exclude.select(key).distinct(), key, "left_anti")
-    order = Window.partitionBy(stratum).orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return pool.withColumn("_rn", F.row_number().over(order)).withColumn("_n", n).filter(F.col("_rn") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(share)))).drop("_rn", "_n")
+    sizes = pool.groupBy(F.col(stratum).alias("_stratum")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(share))).alias("_most"))
+    ranked = hash_ranks(pool, [stratum], key, "_place")
+    return ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum"))).filter("_place <= _most").select(*df.columns)
 
 
-def round_robin(df: DataFrame, strata: list[str], order: list[Column], limit: int) -> DataFrame:
-    """One row of each stratum in turn, strata in order, until limit; a row carries its sweep."""
-    sweep = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    return df.withColumn("sweep", sweep).orderBy("sweep", *strata).limit(limit)
+def round_robin(df: DataFrame, strata: list[str], key: str, limit: int) -> DataFrame:
+    """One row of each stratum in turn by SHA-256 of the key, strata in order, until limit; a row carries its sweep."""
+    return hash_ranks(df, strata, key, "sweep").orderBy("sweep", *strata).limit(limit)
 
 
 def group_split(df: DataFrame, group: str, seed: str = "42") -> DataFrame:
@@ -73,20 +88,30 @@ def quota_select(df: DataFrame, entity: str, task: str, capability: str, order:
 
 
 def greedy_distinct(df: DataFrame, entity: str, order: list[str], text: str, least: float = 0.92) -> DataFrame:
-    """accepted: no earlier accepted row of the entity has a token Jaccard index of `least` or more."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        marks = []
-        pdf = pdf.sort_values(order, kind="stable")
-        for words in (set((x or "").split()) for x in pdf[text]):
-            close = any((len(words & k) / len(words | k) if words | k else 1.0) >= least for k in kept)
-            marks.append(not close)
-            if not close:
-                kept.append(words)
-        return pdf.assign(accepted=marks)
-
-    return df.groupBy(entity).applyInPandas(run, StructType([*df.schema.fields, StructField("accepted", BooleanType())]))
+    """accepted: no earlier accepted row of the entity has a token Jaccard index of `least` or more.
+
+    A task reads its entities' rows in order as a stream and keeps the accepted word sets of the present one only. Sets of one size are
+    held together, and only sizes that can reach `least` are compared.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, kept = object(), {}
+        for pdf in frames:
+            marks = []
+            for key, value in zip(pdf[entity], pdf[text]):
+                if key != of:
+                    of, kept = key, {}
+                words = frozenset((value or "").split())
+                n = len(words)
+                near = [k for size in kept if min(n, size) >= least * max(n, size) for k in kept[size]]
+                close = any((len(words & k) / len(words | k) if words | k else 1.0) >= least for k in near)
+                marks.append(not close)
+                if not close:
+                    kept.setdefault(n, []).append(words)
+            yield pdf.assign(accepted=marks)
+
+    ordered = df.repartition(entity).sortWithinPartitions(entity, *order)
+    return ordered.mapInPandas(run, StructType([*df.schema.fields, StructField("accepted", BooleanType())]))
 
 
 def repeated_template(text: str, least: int = 8) -> Column:

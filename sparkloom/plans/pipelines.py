@@ -61,11 +61,12 @@ def cohort(df: DataFrame, entity: str, strata: list[str], creator: str, anchors:
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.col(entity).cast("string")), 256)
     anchored = F.col(entity).cast("string").isin(*anchors) if anchors else F.lit(False)
     marked = df.withColumn("_anchor", anchored).withColumn("_h", order)
-    per_creator = Window.partitionBy(creator).orderBy(F.desc("_anchor"), "_h")
-    passes = marked.withColumn("_pass", F.when(F.col("_anchor"), 0).when(F.row_number().over(per_creator) == 1, 1).otherwise(2))
-    sweeps = passes.withColumn("_sweep", F.row_number().over(Window.partitionBy("_pass", *strata).orderBy("_h")))
-    top = sweeps.orderBy("_pass", "_sweep", *strata, "_h").limit(total)
-    return top.withColumn("turn", F.row_number().over(Window.orderBy("_pass", "_sweep", *strata, "_h"))).drop("_anchor", "_h", "_pass", "_sweep")
+    firsts = marked.groupBy(F.col(creator).alias("_creator")).agg(F.min(F.struct((~F.col("_anchor")).alias("a"), "_h"))["_h"].alias("_first"))
+    passes = marked.join(firsts, F.col(creator).eqNullSafe(F.col("_creator"))).withColumn("_pass", F.when(F.col("_anchor"), 0).when(F.col("_h") == F.col("_first"), 1).otherwise(2)).drop("_creator", "_first", "_anchor")
+    sweeps = windows.hash_ranks(passes.withColumnRenamed("_h", "_of"), ["_pass", *strata], entity, "_sweep", F.col("_of"))
+    top = sweeps.orderBy("_pass", "_sweep", *strata, "_of").limit(total)
+    # a window over the limited result only
+    return top.withColumn("turn", F.row_number().over(Window.orderBy("_pass", "_sweep", *strata, "_of"))).drop("_of", "_pass", "_sweep")
 
 
 def evaluate(gold: DataFrame, predictions: DataFrame, key: str, judge, task: str = "task_type") -> tuple[DataFrame, DataFrame]:
@@ -107,7 +108,7 @@ def audit(annotations: DataFrame, evidence: DataFrame, tasks: list[str]) -> Data
     """metric, value: counts by task, evidence coverage, two-modality share of CM, videos without a required task."""
     from .evidence import with_references
 
-    facts = with_references(annotations, "annotation_id", "evidence_ids", evidence).cache()
+    facts = with_references(annotations, "annotation_id", "evidence_ids", evidence)
     counts = facts.groupBy(F.concat(F.lit("count_"), "task_type").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     closed = (F.col("n_refs") > 0) & (F.col("n_missing") == 0) & (F.col("n_foreign") == 0)
     coverage = facts.agg(aggregates.rounded_ratio(F.count_if(closed), F.count(F.lit(1))).alias("value")).select(F.lit("evidence_coverage").alias("metric"), "value")

@@ -22,11 +22,13 @@ def rank_quality_report(spark, d):
 
 
 def text_features(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", F.length(text.clean(t)).alias("n_clean"), F.length(text.normalize_blanks(t)).alias("n_normal"), text.contains_cjk(t).alias("cjk"), F.length(text.bare(t)).alias("n_bare"),
-        text.sentence_count(t).alias("n_sentences"), text.count_of(t, "[?？]").alias("n_questions"), text.count_of(t, "[!！]").alias("n_calls"), text.count_of(t, r"[.,;:!?]").alias("n_signs"),
-        text.contains_any(t, ("license", "token")).alias("has_keyword"), text.count_any(t, ("the", "ing")).alias("n_keywords"),
+    # trimmed and bare forms are columns of their own, made once for each text
+    docs = table(spark, d, "documents").select("doc_id", "text", text.clean(F.col("text")).alias("t"), text.bare(F.col("text")).alias("b"))
+    t, b = F.col("text"), F.col("b")
+    return docs.select(
+        "doc_id", F.length("t").alias("n_clean"), F.length(F.regexp_replace("t", r"(?U)\s+", " ")).alias("n_normal"), text.contains_cjk(t).alias("cjk"), F.length(b).alias("n_bare"),
+        text.sentences_in(F.col("t")).alias("n_sentences"), text.count_of(t, "[?？]").alias("n_questions"), text.count_of(t, "[!！]").alias("n_calls"), text.count_of(t, r"[.,;:!?]").alias("n_signs"),
+        text.any_in_bare(b, ("license", "token")).alias("has_keyword"), text.count_in_bare(b, ("the", "ing")).alias("n_keywords"),
     )
 
 
@@ -170,7 +172,7 @@ def interaction_strata(spark, d):
     """User interactions by type in log tertiles, and a cohort key."""
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))
     cuts = aggregates.tertile_thresholds(e, "event_type", "n")
-    banded = e.join(F.broadcast(cuts), "event_type").withColumn("band", numbers.tertile_band(F.log1p("n"), F.col("q33"), F.col("q67")))
+    banded = e.join(cuts, "event_type").withColumn("band", numbers.tertile_band(F.log1p("n"), F.col("q33"), F.col("q67")))
     key = F.transform(F.array_sort(F.collect_list(F.struct("event_type", "band"))), lambda x: F.concat_ws("=", x["event_type"], x["band"]))
     return banded.groupBy("user_id").agg(F.array_join(key, "|").alias("cohort_key"), F.count(F.lit(1)).alias("n_metrics"))
 
@@ -211,7 +213,7 @@ def hash_sample(spark, d):
 
 def round_robin(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    return windows.round_robin(c, ["c_mktsegment", "c_nationkey"], [F.sha2(F.col("c_custkey").cast("string"), 256), F.col("c_custkey")], 200).select("c_custkey", "c_mktsegment", "c_nationkey", "sweep")
+    return windows.round_robin(c, ["c_mktsegment", "c_nationkey"], "c_custkey", 200).select("c_custkey", "c_mktsegment", "c_nationkey", "sweep")
 
 
 def group_split(spark, d):
@@ -268,11 +270,10 @@ def task_pivot(spark, d):
 
 
 def ordered_ids(spark, d):
-    """Ids of each user's events by type, in order, distinct types first seen first."""
-    e = table(spark, d, "events")
-    rows = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    seen = e.groupBy("user_id").agg(rows.alias("rows"))
-    return seen.select("user_id", F.size("rows").alias("n"), F.array_join(nested.distinct_texts(F.transform("rows", lambda x: x["event_type"])), ",").alias("types"), F.get("rows", F.lit(0))["event_id"].alias("first_id"))
+    """Each user's number of events, distinct types first seen first, and first id: folded by type before anything is listed."""
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    seen = e.groupBy("user_id").agg(F.sum("n").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("rows"), F.min("first").alias("first_id"))
+    return seen.select("user_id", "n", F.array_join(nested.distinct_texts(F.transform("rows", lambda x: x["event_type"])), ",").alias("types"), "first_id")
 
 
 def last_rows(spark, d):
