@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
-import re
+import posixpath
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,68 +45,82 @@ def with_order(df: DataFrame, name: str = "row_ord") -> DataFrame:
 
 def clean_headers(names: list[str]) -> list[str]:
     """Blank names become unnamed_<n>; a repeated name (whatever its case) gets __2, __3 ..."""
-    out: list[str] = []
-    seen: dict[str, int] = {}
-    for i, name in enumerate(names, 1):
-        name = name.strip() or f"unnamed_{i}"
-        seen[name.lower()] = n = seen.get(name.lower(), 0) + 1
-        out.append(name if n == 1 else f"{name}__{n}")
-    return out
+    named = [name.strip() or f"unnamed_{i}" for i, name in enumerate(names, 1)]
+    times = Counter()
+    for i, low in enumerate([n.lower() for n in named]):
+        times[low] += 1
+        if times[low] > 1:
+            named[i] += f"__{times[low]}"
+    return named
 
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def elements(archive: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of one kind of a part of the package, as a stream; each is emptied after use."""
+    with archive.open(part) as xml:
+        for _, found in ElementTree.iterparse(xml):
+            if found.tag == f"{{{_SHEET}}}{tag}":
+                yield found
+                found.clear()
+
+
+def texts_in(element: ElementTree.Element) -> str:
+    """The text of a string item: all its runs, but no phonetic hints."""
+    hints = {t for p in element.iter(f"{{{_SHEET}}}rPh") for t in p.iter(f"{{{_SHEET}}}t")}
+    return "".join(t.text or "" for t in element.iter(f"{{{_SHEET}}}t") if t not in hints)
 
 
 class Workbook:
-    """Sheets of an .xlsx file as rows of strings."""
+    """An .xlsx package (ECMA-376): its sheets as rows of strings.
+
+    Shared strings are read when a cell first asks for one.
+    """
 
     def __init__(self, content: bytes) -> None:
         self.archive = zipfile.ZipFile(io.BytesIO(content))
-        self.strings = self._strings()
-        root = ElementTree.fromstring(self.archive.read("xl/workbook.xml"))
-        links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(self.archive.read("xl/_rels/workbook.xml.rels"))}
-        self.sheets = {s.get("name"): links[s.get(f"{_REL}id")] for s in root.iter(f"{_MAIN}sheet")}
-
-    def _strings(self) -> list[str]:
-        if "xl/sharedStrings.xml" not in self.archive.namelist():
-            return []
-        root = ElementTree.fromstring(self.archive.read("xl/sharedStrings.xml"))
-        return ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in root.iter(f"{_MAIN}si")]
-
-    def _value(self, cell: ElementTree.Element) -> str:
-        if cell.get("t") == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-        value = cell.findtext(f"{_MAIN}v") or ""
-        return self.strings[int(value)] if cell.get("t") == "s" and value else value
+        self.parts = set(self.archive.namelist())
+        targets = {}
+        for link in ElementTree.fromstring(self.archive.read("xl/_rels/workbook.xml.rels")):
+            to = link.get("Target", "")
+            targets[link.get("Id")] = to[1:] if to.startswith("/") else posixpath.normpath(f"xl/{to}")
+        self.sheets = {sheet.get("name"): targets[sheet.get(f"{{{_LINKS}}}id")] for sheet in elements(self.archive, "xl/workbook.xml", "sheet")}
+
+    @cached_property
+    def shared(self) -> list[str]:
+        part = "xl/sharedStrings.xml"
+        return [texts_in(item) for item in elements(self.archive, part, "si")] if part in self.parts else []
+
+    def text_of(self, cell: ElementTree.Element) -> str:
+        kind, value = cell.get("t"), cell.findtext(f"{{{_SHEET}}}v", "")
+        if kind == "s":
+            return self.shared[int(value)] if value else ""
+        return texts_in(cell) if kind == "inlineStr" else value
 
     def rows(self, sheet: str | None = None) -> Iterator[list[str]]:
         """Rows with gaps filled by empty strings; the first sheet unless one is named."""
-        name = sheet or next(iter(self.sheets))
-        if name not in self.sheets:
-            raise ValueError(f"no sheet {name}; there are {', '.join(self.sheets)}")
-        target = self.sheets[name].lstrip("/")
-        with self.archive.open(target if target.startswith("xl/") else f"xl/{target}") as file:
-            for _, element in ElementTree.iterparse(file):
-                if element.tag == f"{_MAIN}row":
-                    row: list[str] = []
-                    for cell in element.iter(f"{_MAIN}c"):
-                        at = column_index(cell.get("r") or "")
-                        row += [""] * ((len(row) if at is None else at) - len(row))
-                        row.append(self._value(cell))
-                    yield row
-                    element.clear()
+        if sheet is not None and sheet not in self.sheets:
+            raise ValueError(f"no sheet {sheet}; there are {', '.join(self.sheets)}")
+        for row in elements(self.archive, self.sheets[sheet] if sheet is not None else next(iter(self.sheets.values())), "row"):
+            cells, following = {}, 0
+            for cell in row.iter(f"{{{_SHEET}}}c"):
+                place = column_index(cell.get("r", ""))
+                cells[following if place is None else place] = self.text_of(cell)
+                following = max(cells) + 1
+            yield [cells.get(i, "") for i in range(following)]
 
 
 def column_index(reference: str) -> int | None:
-    """A1 -> 0, B7 -> 1, AA1 -> 26; null for no letters."""
-    letters = re.match(r"[A-Z]+", reference)
-    if not letters:
-        return None
-    n = 0
-    for c in letters.group():
-        n = n * 26 + ord(c) - 64
-    return n - 1
+    """The column of a cell reference from 0: A1 -> 0, B7 -> 1, AA1 -> 26; None without letters. Letters are digits of base 26 without a zero."""
+    letters = reference.rstrip("0123456789")
+    return sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters))) - 1 if letters else None
+
+
+def sheet_names(path: str) -> list[str]:
+    with open(path, "rb") as file:
+        return list(Workbook(file.read()).sheets)
 
 
 class WorkbookSource(DataSource):
