@@ -107,13 +107,12 @@ def bounded_sample(docs: DataFrame, most: int, strata: str) -> DataFrame:
     return docs.filter(keep)
 
 
-def fit(docs: DataFrame, most_docs: int = 800, most_grams: int = 60_000, slot_bits: int = 20, ratio: float = 0.5) -> Model:
+def fit(docs: DataFrame, most_docs: int = 800, slot_bits: int = 20, ratio: float = 0.5) -> Model:
     """A model from docs (doc_id, text, lang); rows with a null lang or text are not used.
 
     At most about most_docs documents of each language are read (a bounded sample of labelled rows).
-    A language's filter holds its most_grams n-grams found in the largest shares
-    of its documents, and of those only the ones whose share is at least `ratio` of the
-    largest share in any language. At most 63 languages.
+    A language's filter holds the n-grams whose share of its documents is at least `ratio` of the
+    largest share in any language; the sample bounds their number. At most 63 languages.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sample = bounded_sample(known, most_docs, "lang")
@@ -129,7 +128,7 @@ def fit(docs: DataFrame, most_docs: int = 800, most_grams: int = 60_000, slot_bi
     counted = cut(counted.select("gram", *[s.alias(f"s{i}") for i, s in enumerate(shares)], top.alias("top")).filter(F.col("top") > 0), "grams")
     words = np.zeros(1 << slot_bits, np.uint64)
     for i, _ in enumerate(languages):
-        own = counted.filter(F.col(f"s{i}") >= ratio * F.col("top")).orderBy(F.desc(f"s{i}"), "gram").limit(most_grams).select("gram").toPandas()["gram"].to_numpy()
+        own = counted.filter(F.col(f"s{i}") >= ratio * F.col("top")).select("gram").toPandas()["gram"].to_numpy()
         for at in slots(own.view(np.uint64), slot_bits):
             np.bitwise_or.at(words, at, np.uint64(1 << i))
     fill = np.array([float(((words >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])

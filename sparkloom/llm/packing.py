@@ -264,7 +264,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, room: int = 409
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, end_id: int, room: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """sequence_id and ids (array): the token ids of every packed sequence."""
+    """sequence_id and ids (array): the token ids of every packed sequence.
+
+    packed is what pack_documents gave for the same docs. Ids have to be unique and not null here, since pieces meet their texts by (doc_id, piece):
+    repeated rows would meet each other's. Null texts are their end id; empty tables give no rows; other columns are ignored.
+    """
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, counts in encoded_slices(batches, tokenizer):

@@ -34,10 +34,13 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 #: Phrases in which an entry is harmless; a general starting list, a parameter of Lexicon.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser board")
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "clown fish", "class clown", "circus clown", "sore loser board", "idiot proof", "idiot light", "dumb bell", "dumb waiter", "dumb terminal", "crazy paving", "crazy quilt", "mad scientist", "rat race",
+    "rat pack", "pig iron", "guinea pig", "piggy bank", "snake oil", "black sheep", "silly putty", "ugly duckling", "moron test", "lame duck", "nut case study", "screw driver", "hate speech", "stupid simple", "kill switch", "dead pan", "pain killer",
+)
 
-#: Bounds of the sample that a lexicon is fitted on, and of the lexicon.
-MOST_TOXIC, MOST_CLEAN, MOST_ENTRIES = 4000, 8000, 2000
+#: Bounds of the sample of labelled rows that a lexicon is fitted on; they bound its words and so the lexicon.
+MOST_TOXIC, MOST_CLEAN = 4000, 8000
 STEMS = (4, 5, 6, 7, 8, 9)
 #: Words are Python objects here, so slices are small.
 WORD_SLICE = 1 << 20
@@ -172,7 +175,7 @@ def choose_entries(counts: DataFrame, least: int, purity: float) -> DataFrame:
     stems = F.array(*[F.when(F.length("word") > n, F.concat(F.lit(" "), F.substring("word", 1, n))) for n in STEMS])
     spread = counts.select(F.explode(F.concat(F.array(F.concat(F.lit(" "), F.col("word"), F.lit(" "))), F.filter(stems, lambda s: s.isNotNull()))).alias("entry"), "bad", "good", "n_words")
     sums = spread.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    return sums.filter((F.col("bad") >= least) & (F.col("bad") >= purity * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "entry").limit(MOST_ENTRIES)
+    return sums.filter((F.col("bad") >= least) & (F.col("bad") >= purity * (F.col("bad") + F.col("good"))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.01) -> np.ndarray:

@@ -202,7 +202,8 @@ def responses_of_pages(pages: DataFrame, warc_date: str = "2024-01-01T00:00:00Z"
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows for every response, with complete records.
 
-    A null payload counts as empty; null headers, targets and dates leave their fields out. Repeated
+    A null payload counts as empty; null headers, targets and dates leave their fields out. A null page_id is carried
+    along; a null record_id leaves the reference out, and such records share one identifier. Repeated
     responses give repeated records; an empty table gives none; other columns are ignored.
     """
     columns = [f.split()[0] for f in RESPONSE.split(", ")]

@@ -249,7 +249,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
-    """Occurrences of each asked token in every shard, by rank on the planes: token, part, seq, n."""
+    """Occurrences of each asked token in every shard, by rank on the planes: token, part, seq, n.
+
+    Shards without the token, tokens that no shard can hold and an empty list give no rows; a token asked twice is answered twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -526,10 +526,119 @@ def test_null_ids_repeated_rows_and_ties(spark, docs_of):
     assert toxicity.score(docs, lexicon).count() == 6 and toxicity.reject(docs, lexicon).count() == 6
 
 
-def test_very_long_text(docs_of):
+def brute_score(lexicon, text):
+    """Every entry is looked for at every place, without an automaton."""
+    words = toxicity.fold(text)
+    line = f" {' '.join(words)} "
+    places = lambda p: {i for i in range(len(line)) if line.startswith(p, i)}
+    hidden = [(i, i + len(p)) for p in (f" {' '.join(toxicity.fold(x))} " for x in lexicon.exceptions) for i in places(p)]
+    best = {}
+    for entry, weight in lexicon.entries.items():
+        for i in places(entry):
+            if i not in best or best[i][0] < weight:
+                best[i] = (weight, i + len(entry))
+    weight = sum(w for i, (w, end) in best.items() if not any(a <= i and end <= b for a, b in hidden))
+    x = lexicon.bias + lexicon.slopes[0] * np.log1p(weight) + lexicon.slopes[1] * np.log1p(100 * weight / max(len(words), 1))
+    return 1 / (1 + np.exp(-x))
+
+
+def test_toxicity_scores_against_brute_force(spark, docs_of):
+    entries = {" mud ": 2.0, " mudd": 1.0, " grum": 1.5, " grumble ": 3.0, " a ": 0.2}
+    lexicon = toxicity.Lexicon(entries, exceptions=("mud pie", "a grumble"))
+    pool = ["mud", "MUD", "muddy", "grumble", "grumbling", "pie", "a", "m\u0443d", "gr\u00fcmble", "6rumble", "gru8le", "muḍ", "other", ",", "mud,pie", "m-u-d"]
+    texts = [None, ""] + [" ".join(RND.choice(pool) for _ in range(RND.randint(1, 25))) for _ in range(300)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(texts), lexicon).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [brute_score(lexicon, t) for t in texts])
+    folded = {"Ｇｒｕｍｂｌｅ": ["grumble"], "gr\u00fcmbl3 5ix 66": ["grumble", "six", "66"], "a\u0301b c\u200bd": ["ab", "cd"], "\u0430\u0435\u043e": ["aeo"], "sh!t $o": ["shit", "o"]}
+    assert {t: toxicity.fold(t) for t in folded} == folded
+
+
+def test_language_id_against_exact_sets(spark):
+    """The filters' answers against sets of n-grams without false positives, by the same rule."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    letter = lambda c: c.isalpha()
+
+    def grams(text):
+        line = "".join(c if letter(c) else " " for c in f" {(text or '').lower()} ")
+        return [(n, line[i : i + n]) for n in (2, 3, 4) for i in range(len(line) - n + 1) if line[i : i + n].strip()]
+
+    shares, totals = defaultdict(Counter), Counter(lang for _, t, lang in rows if lang and t is not None)
+    for _, text, lang in rows:
+        if lang and text is not None:
+            for g in set(grams(text)):
+                shares[g][lang] += 1
+    known = {g: {lang for lang, n in c.items() if n / totals[lang] >= 0.5 * max(m / totals[x] for x, m in c.items())} for g, c in shares.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.fit(docs)).collect()}
+    same = close = 0
+    for i, text, _ in rows:
+        hits = Counter(lang for g in grams(text) for lang in known.get(g, ()))
+        top = max(hits.values(), default=0)
+        want = min((lang for lang, n in hits.items() if n == top), default="und")
+        same += got[i][0] == want
+        close += abs(got[i][1] - (top / sum(hits.values()) if hits else 0.0)) < 0.01
+    assert same >= 0.99 * len(rows) and close >= 0.99 * len(rows)
+    # equal counts: the first language by name
+    tied = langid.fit(spark.createDataFrame([(1, "abab", "zz"), (2, "abab", "aa")], "doc_id bigint, text string, lang string"))
+    assert langid.identify(docs.limit(1).withColumn("text", F.lit("abab")), tied).first()["lang_pred"] == "aa"
+
+
+def test_block_with_ids_of_other_words_is_an_error():
+    block = byte_bpe.Block(__import__("regex").compile(P.PATTERN))
+    block.add(pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["a b c"])], ["doc_id", "text"]))
+    rows = block.rows(0, 4)
+    encode = byte_bpe.encode_words(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 4)
+    table = lambda rows, names, types: pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows), types)})
+    back = [r for route in {r[0] for r in rows if r[0] < 4} for r in zip(*encode(table([r for r in rows if r[0] == route], ("route", "block", "blob"), (pa.int64(), pa.int64(), pa.binary()))).to_pydict().values())]
+    top = table([r for r in rows if r[0] >= 4], ("route", "block", "blob"), (pa.int64(), pa.int64(), pa.binary()))
+    join = lambda parts: byte_bpe.reassemble(top, table(parts, ("route", "bucket", "blob"), (pa.int64(), pa.int32(), pa.binary())))
+    assert len(join(back).column("ids")[0]) == 3
+    for wrong in (back[:-1], [*back[:-1], (back[-1][0], back[-1][1] + 9, back[-1][2])]):
+        with pytest.raises(RuntimeError, match="other words"):
+            join(wrong)
+
+
+def test_derivatives_with_null_ids_and_repeated_rows(spark):
+    rows = [(None, None, None, None, None, None), (1, "<urn:x>", "u", "d", "HTTP/1.1 200 OK", "<p>a"), (1, "<urn:x>", "u", "d", "HTTP/1.1 200 OK", "<p>a")]
+    got = warc.derivatives(spark.createDataFrame(rows, warc.RESPONSE).withColumn("record", F.lit("clash"))).collect()
+    assert len(got) == 6 and sum(r["page_id"] is None for r in got) == 2 and len({bytes(r["record"]) for r in got}) == 4
+    assert all(r["refers_to"] is None for r in got if r["page_id"] is None)
+
+
+def test_clashing_columns_in_every_operator(spark, docs_of):
+    docs = docs_of(["a b c d e f", "a b c d e f", None])
+    for c in ("score", "weight", "n_matches", "lang_pred", "license", "part", "start", "n_tokens", "ids", "piece", "length", "rank", "sequence_id", "block", "digest", "unit", "node", "key", "word", "toxic"):
+        docs = docs.withColumn(c, F.lit("x"))
+    lexicon = toxicity.Lexicon({" a ": 9.0})
+    assert toxicity.score(docs, lexicon).columns == ["doc_id", "score", "weight", "n_matches"] and toxicity.reject(docs, lexicon).columns == docs.columns
+    labels = spark.createDataFrame([(0, 1, "x"), (1, 0, "x")], "doc_id bigint, toxic int, text string")
+    assert toxicity.fit(docs, labels) is not None
+    assert langid.identify(docs, langid.fit(docs)).count() == 3 and licenses.scan(docs).count() == 0
+    assert wavelet.round_trip(docs, P.path("byte_bpe_50k.json"), 2).count() == 3
+    assert packing.pack_documents(docs, P.path("word_bpe_49k.json"), 1).count() == 3
+    assert ngram_join.ngram_join(docs).columns == ["doc_id", "n_shingles", "component_id"] and exact_dedup.exact_dedup(docs).count() == 3
+    pages = spark.createDataFrame([(1, "u", "<p>a", "x", "y")], "page_id bigint, url string, html string, record string, payload string")
+    assert warc.derivatives(warc.responses_of_pages(pages)).count() == 2
+
+
+def test_very_long_text(spark, docs_of):
     """One text of half a million words goes through every operator whole."""
     text = " ".join(f"w{i % 9973}" for i in range(500_000))
     docs = docs_of([text, "short one"])
+    ledger = {r["doc_id"]: r for r in quality_rules.ledger(docs).collect()}
+    assert ledger[0]["n_words"] == ledger[0]["n_repeat_words"] == 500_000
+    poisoned = docs_of([text + " zorkel", "short one"])
+    assert {r["doc_id"]: r["n_matches"] for r in toxicity.score(poisoned, toxicity.Lexicon({" zorkel ": 9.0})).collect()} == {0: 1, 1: 0}
+    model = langid.fit(docs_of(["short one"]))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_of([text + " short", "12"]), model).collect()} == {0: "en", 1: "und"}
+    notice = licenses.TEMPLATES["MIT line"]
+    found = licenses.scan(docs_of([f"{text} {notice}"])).first()
+    assert found["license"] == "MIT line" and found["start_char"] == len(text) + 1
+    page = spark.createDataFrame([(1, "u", f"<body><p>{text}</p><p>end")], "page_id bigint, url string, html string")
+    assert [r["n_bytes"] for r in warc.derivatives(warc.responses_of_pages(page)).filter("record_type = 'conversion'").collect()] == [len(text) + 4]
+    assert {r["doc_id"]: r["text_sha256"] for r in exact_dedup.exact_dedup(docs).collect()}[0] == hashlib.sha256(text.encode()).hexdigest()
+    shards = {r["doc_id"]: r["n_tokens"] for r in wavelet.round_trip(docs, P.path("byte_bpe_50k.json"), 2).collect()}
+    assert shards[1] == 3 and shards[0] > 500_000
     sizes = {r["doc_id"]: r["n_shingles"] for r in ngram_join.ngram_join(docs).collect()}
     assert sizes == {0: 9973, 1: 1}
     encoded = byte_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
