@@ -17,7 +17,9 @@ import pyarrow as pa
 from .common import text_slices
 
 #: Pieces a Python worker remembers across slices and tasks; at the limit it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
+#: Bytes of text that are encoded at once: the library's results are large objects.
+TOKEN_SLICE = 2 << 20
 
 
 def cut_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -139,5 +141,5 @@ def tokenizers_encoder(path: str) -> PieceEncoder:
 def encoded_slices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their texts' ids and the number of each."""
     encoder = tokenizers_encoder(path)
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, most=TOKEN_SLICE):
         yield batch, *encoder(batch.column("text"))
