@@ -17,9 +17,13 @@ import pyarrow as pa
 from .common import text_slices
 
 #: Pieces a Python worker remembers across slices and tasks; at the limit it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 #: Bytes of text that are encoded at once: the library's results are large objects.
 TOKEN_SLICE = 2 << 20
+#: New pieces that are encoded at once, for the same reason.
+LEARNED = 16_384
+#: Marks of pieces seen so far, one place for a hash (a power of two); a piece marked by chance is only remembered early.
+MARKS = 1 << 23
 
 
 def cut_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -70,7 +74,7 @@ def spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of pieces, remembered; `encode` gives the ids of many texts."""
+    """Ids of texts. Pieces that come in more than one slice are remembered; most pieces come once and would only cost memory."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
         self.encode = encode
@@ -78,16 +82,18 @@ class PieceEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.seen = np.zeros(MARKS, bool)
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 17, np.int64)
         self.lengths = np.zeros(1 << 17, np.int32)
 
-    def learn(self, pieces: list[str]) -> None:
+    def add(self, pieces: list[str], first: int) -> None:
+        """Encode pieces to the places first, first + 1, ..."""
         found = self.encode(pieces)
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        first, n = len(self.known), len(pieces)
+        n = len(pieces)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         while first + n > len(self.starts):
@@ -97,7 +103,23 @@ class PieceEncoder:
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + n] = lengths
         self.used += len(flat)
-        self.known.update(zip(pieces, range(first, first + n)))
+
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Places of new pieces. Those marked in an earlier slice are remembered; the places of the others hold until the next call."""
+        marks = np.fromiter(map(hash, pieces), np.int64, len(pieces)) & (MARKS - 1)
+        again = self.seen[marks]
+        self.seen[marks] = True
+        order = np.argsort(~again, kind="stable")
+        kept, first = int(again.sum()), len(self.known)
+        for a, b in ((0, kept), (kept, len(pieces))):
+            used = self.used
+            for i in range(a, b, LEARNED):
+                self.add([pieces[j] for j in order[i : min(b, i + LEARNED)].tolist()], first + i)
+        self.used = used
+        self.known.update(zip((pieces[j] for j in order[:kept].tolist()), range(first, first + kept)))
+        at = np.empty(len(pieces), np.int64)
+        at[order] = np.arange(first, first + len(pieces))
+        return at
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, flat, and the number of each."""
@@ -108,11 +130,11 @@ class PieceEncoder:
         words = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.learn(new)
         known = self.known
-        index = np.fromiter((known[w] for w in words), np.int64, len(words))
+        index = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            index[new] = self.learn([words[i] for i in new.tolist()])
         at = index[coded.indices.to_numpy()]
         lengths = self.lengths[at].astype(np.int64)
         ids = self.ids[spread(lengths, self.starts[at])]

@@ -206,6 +206,25 @@ def test_piece_encoder_equals_the_library(name):
         assert ids[at[i] : at[i + 1]].tolist() == model.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_piece_encoder_over_slices(monkeypatch):
+    """Slices in turn, with pieces that come once, come again, share a mark, and more than are remembered."""
+    from tokenizers import Tokenizer
+
+    for name, value in (("LEARNED", 5), ("MARKS", 64), ("REMEMBERED", 90)):
+        monkeypatch.setattr(tokens, name, value)
+    model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    encoder = tokens.PieceEncoder(lambda xs: [x.ids for x in model.encode_batch_fast(xs, add_special_tokens=False)])
+    texts = odd_texts(300)
+    most = 0
+    for a in (*range(0, 300, 20), 0, 40):
+        ids, counts = encoder(pa.array(texts[a : a + 20], pa.string()))
+        most = max(most, len(encoder.known))
+        at = np.r_[0, np.cumsum(counts)]
+        for i, t in enumerate(texts[a : a + 20]):
+            assert ids[at[i] : at[i + 1]].tolist() == model.encode(t or "", add_special_tokens=False).ids, t
+    assert most > 90 and len(encoder.known) < most
+
+
 def test_byte_bpe_round_trip(docs_of):
     import tiktoken
 
