@@ -91,7 +91,11 @@ def lookup_status(jobs: DataFrame, cache: DataFrame, key: list[str], digest: str
 
 def attach_or_empty(df: DataFrame, groups: DataFrame, key: str, column: str) -> DataFrame:
     """Left join of an array column; an empty array where there is none."""
-    return df.join(groups.select(key, column), key, "left").withColumn(column, F.coalesce(column, F.array().cast(groups.schema[column].dataType)))
+    return attach_or_empty_by(df, groups, [key], column)
+
+
+def attach_or_empty_by(df: DataFrame, groups: DataFrame, keys: list[str], column: str) -> DataFrame:
+    return df.join(groups.select(*keys, column), keys, "left").withColumn(column, F.coalesce(column, F.array().cast(groups.schema[column].dataType)))
 
 
 def unpivoted(df: DataFrame, key: list[str], values: list[str], name: str, value: str) -> DataFrame:
