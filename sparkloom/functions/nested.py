@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Fields that public output never carries.
 PRIVATE = ("likes", "comments", "shares", "collects", "interactions", "followers", "followers_total", "gmv", "sales", "price", "douyin_handle", "author_name", "publish_date", "publish_time")
+# Fixed value: a token that a machine wrote.
+MACHINE_VALUE = r"^[A-Za-z0-9][A-Za-z0-9_.:-]*$"
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -41,6 +43,19 @@ def strict_reason(c: Column, key: str) -> Column:
     )
 
 
+def leaves(c: Column) -> Column:
+    """The strings of a JSON text at any depth, without keys, escapes as they are written; of text that is no JSON, null or without strings none."""
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(F.coalesce(c, F.lit("")))), F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?'), F.lit(0))
+    strings = F.transform(F.filter(tokens, lambda t: t.endswith('"')), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+    return F.coalesce(strings, F.array().cast("array<string>"))
+
+
+def machine_values(c: Column) -> Column:
+    """A JSON object or list whose strings, of which it has some, are all machine tokens."""
+    nest = F.substring(F.ltrim(F.coalesce(c, F.lit(""))), 1, 1).isin("{", "[")
+    return nest & (F.size(leaves(c)) > 0) & F.forall(leaves(c), lambda x: x.rlike(MACHINE_VALUE))
+
+
 def public(df: DataFrame, private: tuple[str, ...] = PRIVATE) -> DataFrame:
     """Without private columns; names compare without case."""
     low = {p.lower() for p in private}

@@ -9,7 +9,7 @@ from ..functions import nested, numbers, text
 from ..operators import aggregates, joins, rules, windows
 from ..sources import scans
 from ..sources.scans import table
-from . import draft_queries, evidence, graph_queries, item_queries, pipelines, reply_queries
+from . import draft_queries, evidence, graph_queries, item_queries, pipelines, reply_queries, review_queries
 
 
 def rank_quality_report(spark, d):
@@ -381,4 +381,4 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL + graph_queries.ALL + reply_queries.ALL + item_queries.ALL + draft_queries.ALL}
+    return {f.__name__: f for f in ALL + graph_queries.ALL + reply_queries.ALL + item_queries.ALL + draft_queries.ALL + review_queries.ALL}
