@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, text
 from ..sources.scans import table
+from . import graph_queries as graph
 from . import reviews
-from .graph_oracles import choice
+from .graph_oracles import BASE, choice
 from .graph_queries import divides, name, pick
 from .replies import QUALITY_FIELDS
 
@@ -99,10 +100,31 @@ def json_leaves(spark, d):
     return docs.select("doc_id", F.size(found).alias("n_strings"), F.size(F.filter(found, text.contains_cjk)).alias("n_chinese"), F.lower(F.array_join(F.transform(found, text.clean), " ")).alias("blob"), nested.machine_values(json).alias("machine"))
 
 
-ALL = (reviewed, quality_events, compilable_items, faulty_translations, first_seen_ids, eligible_records, json_leaves)
+def illustrated(spark, d):
+    """References of the graph's cues with frames; every event is also a frame of its user."""
+    n, e = F.col("event_id"), graph.units(spark, d)
+    evidence = e.withColumns({"frame_indices": F.when(~divides(11), F.array(n + 1, n)), "start_s": F.when(~divides(3), F.col("event_id") % 50), "end_s": F.when(~divides(5), F.col("event_id") % 50 + F.col("event_id") % 4)})
+    made = graph.cues(e).select(name("a", n).alias("annotation_id"), "video_id", F.when(~divides(19), F.col("evidence_ids")).alias("evidence_refs"))
+    frames = e.select("video_id", n.alias("frame_index"), F.when(~divides(10), (n * 7 % 101).cast("double")).alias("timestamp_s"))
+    out = reviews.illustrated_refs(made, evidence, frames)
+    return out.select("annotation_id", "evidence_id", "kind", F.array_join(F.transform("frames", lambda x: x["frame_index"].cast("string")), ",").alias("frames"))
+
+
+ALL = (illustrated, reviewed, quality_events, compilable_items, faulty_translations, first_seen_ids, eligible_records, json_leaves)
 
 PASSED = " AND ".join(f"event_id % {i + 7} <> 0" for i in range(len(QUALITY_FIELDS)))
+# references in place, as often as a cue lists them
+LISTED = """SELECT event_id AS n, video_id, evidence_id AS ref FROM ev UNION ALL SELECT event_id, video_id, 'e' || nxt FROM ev WHERE nxt IS NOT NULL UNION ALL SELECT event_id, video_id, 'x' || event_id FROM ev WHERE event_id % 13 = 0
+  UNION ALL SELECT event_id, video_id, 'e' || (event_id + 1) FROM ev WHERE event_id % 17 = 0"""
 ORACLES = {
+    "illustrated": f"""{BASE}, fr AS (SELECT video_id, event_id AS f, CASE WHEN event_id % 10 > 0 THEN (event_id * 7 % 101)::DOUBLE END AS ts, row_number() OVER (PARTITION BY video_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY video_id) AS c FROM ev),
+few AS (SELECT video_id, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS frames FROM fr WHERE r IN (1, c // 2 + 1, c) GROUP BY 1),
+l AS (SELECT row_number() OVER () AS k, * FROM (SELECT * FROM ({LISTED}) WHERE n % 19 > 0 UNION ALL SELECT event_id, video_id, NULL FROM ev WHERE event_id % 19 = 0)),
+q AS (SELECT l.*, v.event_id AS u, (v.event_id % 50)::DOUBLE AS s, (v.event_id % 50 + v.event_id % 4)::DOUBLE AS t, CASE WHEN ref IS NULL THEN 'context' WHEN v.event_id IS NULL THEN 'missing' WHEN v.modality <> 'asr' THEN 'direct' WHEN v.event_id % 3 > 0 AND v.event_id % 5 > 0 THEN 'temporal' ELSE 'representative' END AS kind
+  FROM l LEFT JOIN ev v ON l.ref = v.evidence_id),
+di AS (SELECT k, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f DESC) AS frames FROM q JOIN fr ON q.video_id = fr.video_id AND (f = u OR f = u + 1) WHERE kind = 'direct' AND u % 11 > 0 GROUP BY 1),
+te AS (SELECT k, coalesce(string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) FILTER (WHERE ts BETWEEN s AND t), CAST(min_by(f, abs(ts - (s + t) / 2) * 1000000 + f) AS VARCHAR)) AS frames FROM q JOIN fr USING (video_id) WHERE kind = 'temporal' AND ts IS NOT NULL GROUP BY 1)
+SELECT 'a' || n AS annotation_id, ref AS evidence_id, kind, coalesce(di.frames, te.frames, CASE WHEN kind IN ('context', 'representative') THEN few.frames END, '') AS frames FROM q LEFT JOIN di USING (k) LEFT JOIN te USING (k) LEFT JOIN few ON few.video_id = q.video_id""",
     "reviewed": f"""WITH a AS (SELECT event_id AS n, n % 4 = 1 AS snap, n % 10 = 1 AS gone, n % 7 <> 0 AS there, CASE WHEN n % 2 = 0 THEN ['p' || n, 'x' || n] WHEN n % 4 = 1 AND n % 3 = 0 THEN ['p' || n] WHEN n % 3 <> 0 THEN ['p' || n] ELSE [] END AS src,
   CASE WHEN n % 9 = 0 THEN 'CHALLENGER_REJECT' ELSE {choice(("VALIDATION_FAILED", "ABSTENTION", "CONFLICTING_VALUE", "REVIEW_REQUIRED", "ADJUDICATION_FAILED", "REVIEW_REQUIRED"), "event_id")} END AS code, {choice(REASONS, "event_id")} AS raw FROM events),
 b AS (SELECT *, there AND len(src) > 0 AS link, CASE WHEN there AND len(src) > 0 THEN src[2:] ELSE src END AS lost, CASE WHEN n % 16 = 0 THEN 'candidate' WHEN gone OR code = 'ABSTENTION' THEN 'abstention' WHEN code = 'CONFLICTING_VALUE' OR n % 13 = 0 THEN 'conflict' WHEN code IN ('VALIDATION_FAILED', 'ADJUDICATION_FAILED') AND NOT snap THEN 'stage_failure' ELSE 'candidate' END AS kind FROM a),
