@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, licenses, ngram_join, packing, quality_rules, toxicity, warc, wavelet
+from . import byte_bpe, exact_dedup, langid, licenses, negatives, ngram_join, packing, quality_rules, toxicity, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, room=4096)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.integer_vectors(table(spark, sf_dir, "embeddings"), scale=256)
+    shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(shifted, F.col("vec_id") % 100 == 0, n_positive=5, n_negative=5, window=(80, 100))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, length(t) AS n_chars,
@@ -114,6 +120,21 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents
 """
 
+OP13_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, a.q AS anchor, b.vec_id, b.label, b.q, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, anchor_label, anchor, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id, anchor_label, anchor ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE vec_id <> anchor_id AND label = anchor_label QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.anchor, place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.anchor_label = p.anchor_label AND s.anchor = p.anchor
+  WHERE s.label <> p.anchor_label AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 
 def queries() -> dict:
     return {
@@ -127,8 +148,9 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_shards": op9_token_shards,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op13_hard_negatives": OP13_SQL}
