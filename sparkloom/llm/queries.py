@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, licenses, negatives, ngram_join, packing, quality_rules, toxicity, warc, wavelet
+from . import byte_bpe, exact_dedup, langid, licenses, negatives, ngram_join, packing, quality_rules, spelling, toxicity, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, room=4096)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.damaged_words(table(spark, sf_dir, "documents"), least_chars=6, every=199)
+    return spelling.spelling_forms(spelling.vocabulary(words, least=5), ratio=5)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.integer_vectors(table(spark, sf_dir, "embeddings"), scale=256)
     shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -148,6 +153,7 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_shards": op9_token_shards,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
