@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, licenses, negatives, ngram_join, packing, quality_rules, spelling, toxicity, warc, wavelet
+from . import byte_bpe, exact_dedup, langid, licenses, negatives, ngram_join, packing, quality_rules, site_tree, spelling, toxicity, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(spelling.vocabulary(words, least=5), ratio=5)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.integer_vectors(table(spark, sf_dir, "embeddings"), scale=256)
     shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -154,6 +158,7 @@ def queries() -> dict:
         "op9_token_shards": op9_token_shards,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_html_extraction": op12_html_extraction,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
