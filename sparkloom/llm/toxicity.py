@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -197,18 +198,26 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.01
 
 def narrowed(chosen: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Weights of the entries that are needed: the shortest beginnings that were chosen cover all that
-    begins with them, and each is narrowed to the longest entry that explains most of it."""
+    begins with them, and each is narrowed to the longest entry that explains most of it.
+
+    Entries with one beginning lie side by side in sorted order, so each looks at its own followers only.
+    """
     entries: dict[str, float] = {}
+    ordered, beginnings = sorted(chosen), set()
     for entry in sorted(chosen, key=lambda e: (len(e), e)):
-        if any(entry.startswith(done.rstrip()) for done in entries if not done.endswith(" ") or done == entry) or any(f" {entry.strip()[:n]}" in chosen for n in STEMS if n < len(entry.strip())):
+        covered = entry in entries or any(entry[:n] in beginnings for n in range(1, len(entry) + 1))
+        if covered or any(f" {entry.strip()[:n]}" in chosen for n in STEMS if n < len(entry.strip())):
             continue
-        best = max((e for e in chosen if e.startswith(entry) and chosen[e][0] >= EXPLAINED * chosen[entry][0]), key=lambda e: (len(e), e))
+        followers = ordered[bisect_left(ordered, entry) : bisect_left(ordered, entry + chr(0x10FFFF))]
+        best = max((e for e in followers if chosen[e][0] >= EXPLAINED * chosen[entry][0]), key=lambda e: (len(e), e))
         rest = [best]
         if best != entry:  # what the longer entry leaves of the shorter one
-            rest += [e for e in chosen if e.startswith(entry) and e.endswith(" ") and not e.startswith(best.rstrip())]
+            rest += [e for e in followers if e.endswith(" ") and not e.startswith(best.rstrip())]
         for e in rest:
             bad, good = chosen[e]
             entries[e] = float(np.log((bad + 0.5) / (good + 0.5)))
+            if not e.endswith(" "):
+                beginnings.add(e.rstrip())
     return entries
 
 
