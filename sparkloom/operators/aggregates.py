@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,21 +125,48 @@ def tertile_thresholds(long: DataFrame, metric: str, value: str) -> DataFrame:
     return long.select(metric).distinct().join(group_quantiles(logged, [metric], "_log", [1 / 3, 2 / 3], ["q33", "q67"]), metric, "left")
 
 
-def bootstrap_interval(df: DataFrame, group: list[str], value: str, resamples: int = 200, seed: int = 42) -> DataFrame:
-    """group, n, mean, low, high: a percentile interval of the mean by Poisson resampling.
+#: Distinct values of a group that one task resamples.
+CHUNK_VALUES = 4096
 
-    Each row enters resample b with a Poisson(1) weight drawn from a hash of (seed, b, row
-    key), so resamples are partial sums that combine before the shuffle, whatever the size of
-    a group. Bounds are the values at index floor((B - 1) * 0.025) and floor((B - 1) * 0.975).
+
+def value_histogram(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """group, value, n: how often each value occurs in its group; null and NaN values are left out."""
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*group, v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bootstrap_interval(df: DataFrame, group: list[str], value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """group, n, mean, low, high: a percentile interval of the mean by resampling with replacement.
+
+    A resample of n rows is a multinomial draw over the histogram of values, so its cost follows the number of distinct values and not of rows. The
+    values of a group are dealt over chunks of about CHUNK_VALUES: first the rows of a resample are dealt over the chunks (each chunk repeats that draw, from
+    the same generator), then inside the chunk; sums of chunks add up to the resample. Bounds are the values at index floor((B - 1) * 0.025) and
+    floor((B - 1) * 0.975) of the sorted means. Draws follow from the seed and the group's values only. Groups without values give no rows.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", "_key"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # inverse distribution function of Poisson(1)
-    bounds = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    weight = sum((F.when(u > b, 1).otherwise(0) for b in bounds[1:]), F.when(u > bounds[0], 1).otherwise(0))
-    keyed = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"), "_key")
-    drawn = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")).withColumn("_w", weight)
-    means = drawn.groupBy(*group, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("_m"))
-    ordered = means.groupBy(*group).agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
+    group_key = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in group])
+    counts = value_histogram(df, group, value)
+    sizes = counts.groupBy(*group).agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("value")).alias("_sum"), F.ceil(F.count(F.lit(1)) / CHUNK_VALUES).cast("int").alias("_chunks"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}"))
+    dealt = counts.alias("c").join(sizes.alias("s"), same).select(*[F.col(f"c.{g}").alias(g) for g in group], "value", "n", "_n", "_sum", "_chunks").withColumn("_key", group_key)
+    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64("value"), F.col("_chunks")).cast("int"))
+    of_chunks = dealt.groupBy("_key", "_chunk").agg(F.sum("n").alias("m")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_chunk", "m"))).alias("_sizes"))
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        pdf = pdf.sort_values("value")
+        sizes = np.array([c["m"] for c in first["_sizes"]], float)
+        place = [c["_chunk"] for c in first["_sizes"]].index(key[1])
+        rows = np.random.default_rng(int(key[0]) & (2**63 - 1)).multinomial(int(first["_n"]), sizes / sizes.sum(), resamples)[:, place]
+        inside = np.random.default_rng([int(key[0]) & (2**63 - 1), int(key[1])])
+        share, values = pdf["n"].to_numpy(float) / pdf["n"].sum(), pdf["value"].to_numpy(float)
+        sums = [float(inside.multinomial(r, share) @ values) for r in rows]
+        return pd.DataFrame({"_key": [key[0]], "_n": [first["_n"]], "_sum": [first["_sum"]], "sums": [sums]})
+
+    drawn = dealt.join(of_chunks, "_key").groupBy("_key", "_chunk").applyInPandas(draw, "_key bigint, _n bigint, _sum double, sums array<double>")
+    means = drawn.select("_key", "_n", F.posexplode("sums").alias("_b", "_s")).groupBy("_key", "_b").agg((F.sum("_s") / F.max("_n")).alias("_m"))
+    ordered = means.groupBy("_key").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))  # as many as resamples
     at = lambda p: F.round(F.get("_ms", F.floor((F.size("_ms") - 1) * p).cast("int")), 6)
-    base = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_v"), 6).alias("mean"))
-    return base.join(ordered.select(*group, at(0.025).alias("low"), at(0.975).alias("high")), group)
+    base = sizes.select(*group, F.col("_n").alias("n"), F.round(F.col("_sum") / F.col("_n"), 6).alias("mean"), group_key.alias("_key"))
+    return base.join(ordered.select("_key", at(0.025).alias("low"), at(0.975).alias("high")), "_key").drop("_key")

@@ -105,7 +105,7 @@ def score_slices(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     details = docs.select(F.col("source").alias("video_id"), F.upper("lang").alias("task_type"), F.col("doc_id").alias("vqa_id"), F.when(F.col("doc_id") % 10 > 0, F.col("quality")).alias("score"))
     strata = docs.groupBy(F.col("source").alias("video_id")).agg(F.count(F.lit(1)).alias("n")).select("video_id", F.explode(F.array(F.lit("likes"), F.lit("shares"))).alias("metric"), F.when(F.col("n") % 2 == 0, "low").otherwise("high").alias("stratum"))
-    return items.diagnostic_slices(details, strata, 20).select("task_type", "metric", "stratum", "n", F.col("mean").alias("mean_score"))
+    return items.diagnostic_slices(details, strata).select("task_type", "metric", "stratum", "n", F.col("mean").alias("mean_score"))
 
 
 RAW = {"时长": "video_duration_s", "点赞": "n_likes"}

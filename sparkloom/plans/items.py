@@ -345,10 +345,10 @@ def audit_bank(videos: DataFrame, items: DataFrame, evidence: DataFrame, cues: D
     return rows.groupBy(name.alias("metric")).agg(F.round(F.sum("value"), 6).alias("value"))
 
 
-def diagnostic_slices(details: DataFrame, strata: DataFrame, resamples: int = 200) -> DataFrame:
+def diagnostic_slices(details: DataFrame, strata: DataFrame, resamples: int = 1000) -> DataFrame:
     """Scores by task, metric and stratum: count, mean and an interval. details: video_id, task_type, score; strata: video_id, metric, stratum."""
     scored = details.withColumn("score", numbers.parse_number(F.col("score").cast("string"))).filter("score IS NOT NULL")
-    met = scored.withColumn("task_type", F.upper(text.clean(F.col("task_type")))).join(strata, "video_id").withColumn("_key", F.xxhash64("video_id", "task_type", "vqa_id"))
+    met = scored.withColumn("task_type", F.upper(text.clean(F.col("task_type")))).join(strata, "video_id")
     return aggregates.bootstrap_interval(met, ["task_type", "metric", "stratum"], "score", resamples)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import draft_queries, graph_oracles, item_queries, reply_queries, review_queries
+from . import draft_queries, graph_oracles, item_queries, reply_queries, review_queries, run_queries, staged_queries
 
 CLEAN = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
 BARE = r"lower(regexp_replace(coalesce({0}, ''), '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9]+', '', 'g'))"
@@ -222,4 +222,4 @@ SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'money' WHE
 
 
 def oracle_sql() -> dict:
-    return {k: v.strip() for k, v in (ORACLES | graph_oracles.ORACLES | reply_queries.ORACLES | item_queries.ORACLES | draft_queries.ORACLES | review_queries.ORACLES).items()}
+    return {k: v.strip() for k, v in (ORACLES | graph_oracles.ORACLES | reply_queries.ORACLES | item_queries.ORACLES | draft_queries.ORACLES | review_queries.ORACLES | staged_queries.ORACLES | run_queries.ORACLES).items()}

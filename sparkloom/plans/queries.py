@@ -9,7 +9,7 @@ from ..functions import nested, numbers, text
 from ..operators import aggregates, joins, rules, windows
 from ..sources import scans
 from ..sources.scans import table
-from . import draft_queries, evidence, graph_queries, item_queries, pipelines, reply_queries, review_queries
+from . import draft_queries, evidence, graph_queries, item_queries, pipelines, reply_queries, review_queries, run_queries, staged_queries
 
 
 def rank_quality_report(spark, d):
@@ -190,8 +190,8 @@ def label_agreement(spark, d):
 
 
 def bootstrap_means(spark, d):
-    li = table(spark, d, "orders").withColumn("_key", F.col("o_orderkey"))
-    return aggregates.bootstrap_interval(li, ["o_orderpriority"], "o_totalprice", 100)
+    """Intervals of mean prices by priority from 1,000 resamples."""
+    return aggregates.bootstrap_interval(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice")
 
 
 def duplicate_conflicts(spark, d):
@@ -381,4 +381,4 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL + graph_queries.ALL + reply_queries.ALL + item_queries.ALL + draft_queries.ALL + review_queries.ALL}
+    return {f.__name__: f for f in ALL + graph_queries.ALL + reply_queries.ALL + item_queries.ALL + draft_queries.ALL + review_queries.ALL + staged_queries.ALL + run_queries.ALL}
