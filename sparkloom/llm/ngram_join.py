@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, n_shuffle, planned_bytes, shingle_hashes, text_slices, word_hashes, words_of
+from .common import cut, give_back, mix64, n_shuffle, planned_bytes, shingle_hashes, text_slices, word_hashes, words_of
 from .components import connected_components
 
 LOW = np.uint64((1 << 48) - 1)
@@ -47,6 +47,11 @@ BACK = "batch bigint, kind int, blob binary"
 SETS = "doc_id bigint, n_shingles bigint, key binary, posted boolean, n_prefix int, shared binary"
 
 
+def range_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The hash range of each shingle, any number of ranges; it follows from all 64 bits, of which 48 are stored with a posting."""
+    return (((mix64(hashes) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint32)
+
+
 def pack(hashes: np.ndarray, *more: np.ndarray) -> bytes:
     """Arrays of equal length, one after another: 48-bit hashes as 4 and 2 bytes, then 16-bit integers."""
     return b"".join([np.uint32(len(hashes)).tobytes(), hashes.astype(np.uint32).tobytes(), (hashes >> np.uint64(32)).astype(np.uint16).tobytes(), *(m.astype(np.uint16).tobytes() for m in more)])
@@ -84,7 +89,7 @@ def post(n: int, lower: bool, buckets: int):
             name = (task << 24) | batch_no
             h = np.concatenate(held) if held else np.zeros(0, np.uint64)
             at = np.repeat(np.array(places, np.uint16), [len(x) for x in held]) if held else np.zeros(0, np.uint16)
-            to = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65_536 else np.uint32)
+            to = range_of(h, buckets)
             order = np.argsort(to, kind="stable")
             h, at, to = (h & LOW)[order], at[order], to[order]
             starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, int)
