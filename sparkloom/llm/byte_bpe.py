@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_shuffle, text_slices
+from .common import n_shuffle, planned_bytes, text_slices
 from .tokens import cut_pieces, spread
 
 #: Bytes of text in a block; a block is put together in one task.
 BLOCK_BYTES = 10 << 20
 #: Ids that are decoded at once, or those of one text.
 SLICE_IDS = 1 << 20
+#: Bytes of input (as the plan estimates them) for a range of words, which one task encodes.
+RANGE_BYTES = 32 << 20
 SENT = "route bigint, block bigint, blob binary"
 BACK = "route bigint, bucket int, blob binary"
 ENCODED = "doc_id bigint, ids array<int>"
@@ -231,9 +233,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     Repeated rows and null ids are returned as they come; an empty table gives no rows.
     No special tokens. Other columns are ignored.
     """
-    buckets = max(16, n_shuffle(docs.sparkSession))
+    buckets = max(16, n_shuffle(docs.sparkSession), -(-planned_bytes(docs) // RANGE_BYTES))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = rows.mapInArrow(explode_words(pattern, buckets), SENT).repartition(n_shuffle(docs.sparkSession), "route")
+    sent = rows.mapInArrow(explode_words(pattern, buckets), SENT).repartition(max(n_shuffle(docs.sparkSession), buckets // 4), "route")
     back = sent.groupBy("route").applyInArrow(encode_words(ranks_path, pattern, buckets), BACK)
     return sent.groupBy("route").cogroup(back.groupBy("route")).applyInArrow(reassemble, ENCODED).select(F.col("doc_id").alias(id_col), "ids")
 
