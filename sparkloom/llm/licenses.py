@@ -18,6 +18,7 @@ from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ TEMPLATES["BSD-3-Clause"] = (
     TEMPLATES["BSD-3-Clause conditions"]
     + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 )
-# Words that tell a license from its neighbours: the first of each in the template has to match.
+# Words that tell a license from its neighbours: each of them has to match at one of its places in the template.
 REQUIRED = {"2", "3", "4", "apache", "mit", "nc", "noncommercial", "noderivatives", "sharealike"}
 
 _WORD = re.compile(r"[^\W_]+")
@@ -140,11 +141,12 @@ def align(words: np.ndarray, template: np.ndarray, centre: int, band: int, begin
 
 @dataclass(frozen=True)
 class Template:
-    """A template's word numbers, the places that have to match, and its least number of matched words."""
+    """A template's word numbers, sets of places of which one has to match (a place of each telling word, first places first), and its least
+    number of matched words."""
 
     name: str
     words: np.ndarray
-    needed: frozenset[int]
+    needed: tuple[frozenset[int], ...]
     need: int
     band: int
 
@@ -162,7 +164,9 @@ def matches(words: np.ndarray, held: np.ndarray, template: Template, offsets: li
         a, b = max(begin, centre - band), min(end, centre + band + m)
         if b <= a or held[b] - held[a] < need:  # no more words can match than the band holds of the template's
             return 0, -1, -1
-        found = align(words, template.words, centre, band, begin, end, template.needed)
+        found = align(words, template.words, centre, band, begin, end, template.needed[0])
+        if found[0] < need and len(template.needed) > 1 and align(words, template.words, centre, band, begin, end)[0] >= need:
+            found = max((align(words, template.words, centre, band, begin, end, x) for x in template.needed[1:]), key=lambda x: x[0])
         return found if found[0] >= need else (0, -1, -1)
 
     out: list[tuple[int, int, int]] = []
@@ -194,6 +198,26 @@ def matches(words: np.ndarray, held: np.ndarray, template: Template, offsets: li
     return out
 
 
+def can_match(words: np.ndarray, template: Template, centres: np.ndarray) -> np.ndarray:
+    """Whether enough of the template's words, each as often as it stands there, lie around a centre.
+
+    Centres (in order) of one band width are looked at together, in all places that any of their bands reach, so none that can match is lost; text that
+    repeats a few words of a notice over and over is told here, before any alignment.
+    """
+    if not len(centres):
+        return np.zeros(0, bool)
+    kinds, times = np.unique(template.words, return_counts=True)
+    group = centres // template.band
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    fits = np.empty(len(starts), bool)
+    for i, s in enumerate(starts):
+        low = int(group[s]) * template.band - template.band
+        here = words[max(low, 0) : max(low + 3 * template.band + len(template.words), 0)]
+        counts = np.bincount(here, minlength=int(kinds[-1]) + 1)[kinds]
+        fits[i] = int(np.minimum(counts, times).sum()) >= template.need
+    return np.repeat(fits, np.diff(np.r_[starts, len(centres)]))
+
+
 class Index:
     """Fingerprints of all templates: hash -> (template, place)."""
 
@@ -209,7 +233,8 @@ class Index:
             hashes = word_hashes(pa.array(words, pa.string()))
             short = len(words) <= settings.short
             t = len(self.templates)
-            self.templates.append(Template(name, codes, frozenset(words.index(w) for w in telling), need, settings.band_of(len(words))))
+            places = [[i for i, x in enumerate(words) if x == w] for w in sorted(telling)]
+            self.templates.append(Template(name, codes, tuple(map(frozenset, product(*places))), need, settings.band_of(len(words))))
             for h, at in zip(*fingerprints(hashes, settings.k, 1 if short else settings.w)):
                 by_hash[int(h)].append((t, int(at)))
             for at, w in enumerate(words):
@@ -248,6 +273,7 @@ class Index:
             centres = np.array(sorted(offsets))
             a, b = np.clip(centres - template.band, 0, len(words)), np.clip(centres + template.band + len(template.words), 0, len(words))
             centres = centres[held[b] - held[a] >= template.need]
+            centres = centres[can_match(words, template, centres)]
             if len(centres):
                 out += [(t, *x) for x in matches(words, held, template, centres.tolist())]
         return best_covering(out, self.templates)

@@ -403,9 +403,10 @@ def found_by(texts, batch=4):
 def test_license_recall_against_brute_force(name):
     """Of edited notices whose best alignment with the template covers 0.75, at least 0.95 are reported (as it, or as a better-covering neighbour)."""
     template = words_of(licenses.TEMPLATES[name])
-    needed = frozenset(template.index(w) for w in licenses.REQUIRED & set(template))
+    telling = licenses.REQUIRED & set(template)
     texts = list(edited_notices(name, 200, 3))
-    true = [i for i, t in enumerate(texts) if full_alignment(words_of(t), template, needed) >= 0.75 * len(template)]
+    # plain alignment of the whole; a text that lost a telling word altogether tells no license from its neighbours
+    true = [i for i, t in enumerate(texts) if telling <= set(words_of(t)) and full_alignment(words_of(t), template, frozenset()) >= 0.75 * len(template)]
     found = found_by(texts)
     assert len(true) >= 40 and sum(bool(found[i]) for i in true) >= 0.95 * len(true)
     if len(template) > 60:
