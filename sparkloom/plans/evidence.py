@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import rules
+from ..sources import sinks
 
 # Domains and markers of the evidence graph.
 DIRECT = ("visual", "ocr", "asr")
@@ -194,41 +195,40 @@ def similar(words: set[str], stem: str) -> float:
 
 
 def compile_questions(
-    candidates: DataFrame, priority: dict[str, int], most: int = 8, per_task: int = 2, per_capability: int = 1, least: float = 0.92, most_rounds: int = 50
+    candidates: DataFrame, priority: dict[str, int], most: int = 8, per_task: int = 2, per_capability: int = 1, least: float = 0.92
 ) -> tuple[DataFrame, DataFrame]:
     """Selected and rejected candidates (video_id, vqa_id unique, task_type, capability, question, gold_answer, score), the latter with `reason`.
 
     Greedy per video by task priority, score (high first) and id: full quotas refuse a candidate first, then its first issue, then a
     question (numbers as <num>) that this or an earlier video has, then one with `least` of its words in common with
-    one of the video. Refused candidates use no quota. Videos go by name; since a question taken by one video frees a place in another, rounds
-    are repeated until no choice changes: after round n the first n of any chain of videos are settled. Ties in a null score go last.
+    one of the video. Refused candidates use no quota. Videos go by name. A question taken by one video frees a place in another: after the first round only
+    videos for which a question became taken or free by an earlier one choose again, until none does; after round n the first n of any chain of
+    videos are settled, so the rounds end. Ties in a null score go last.
     """
     rank = F.coalesce(*[F.when(F.col("task_type") == t, F.lit(n)) for t, n in priority.items()], F.lit(len(priority)))
     judged = candidates.withColumn("issues", question_issues(F.col("task_type"), F.col("question"), F.col("gold_answer")))
     judged = judged.withColumns({"_p": rank, "_s": -F.coalesce(F.col("score"), F.lit(float("-inf"))), "_stem": text.question_stem(F.col("question"))})
-    taken, mark = None, None
-    for _ in range(most_rounds):
-        chosen = compile_round(judged, taken, (most, per_task, per_capability), least).checkpoint() if checkpointed(candidates) else compile_round(judged, taken, (most, per_task, per_capability), least).persist()
-        row = chosen.filter("reason = ''").agg(F.count(F.lit(1)), F.sum(F.xxhash64("vqa_id").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
+    judged = sinks.cut(judged.select("video_id", "vqa_id", "_p", "_s", "task_type", "capability", "_stem", "issues"), "judged")
+    quotas = (most, per_task, per_capability)
+    chosen = sinks.cut(compile_round(judged, None, quotas, least), "chosen")
+    taken = sinks.cut(chosen.filter("reason = ''").groupBy("_stem").agg(F.min("video_id").alias("_by")), "taken")
+    moved = taken.select("_stem", F.lit(None).cast(taken.schema["_by"].dataType).alias("_was"), "_by")
+    while True:
+        earlier = lambda c: F.coalesce(F.col(c) < F.col("video_id"), F.lit(False))
+        again = sinks.cut(judged.select("video_id", "_stem").join(moved, "_stem").filter(earlier("_was") != earlier("_by")).select("video_id").distinct(), "again")
+        if again.isEmpty():
             break
-        mark = tuple(row)
-        taken = chosen.filter("reason = ''").groupBy("_stem").agg(F.min("video_id").alias("_by"))
-    else:
-        raise RuntimeError(f"question choices not settled after {most_rounds} rounds")
+        new = sinks.cut(compile_round(judged.join(again, "video_id", "left_semi"), taken, quotas, least), "again")
+        touched = chosen.join(again, "video_id", "left_semi").unionByName(new).filter("reason = ''").select("_stem").distinct()
+        chosen = sinks.cut(chosen.join(again, "video_id", "left_anti").unionByName(new), "chosen")
+        now = chosen.filter("reason = ''").join(touched, "_stem", "left_semi").groupBy("_stem").agg(F.min("video_id").alias("_now"))
+        moved = touched.join(taken, "_stem", "left").join(now, "_stem", "left").filter(~F.col("_by").eqNullSafe(F.col("_now")))
+        moved = sinks.cut(moved.select("_stem", F.col("_by").alias("_was"), F.col("_now").alias("_by")), "moved")
+        taken = sinks.cut(taken.join(moved, "_stem", "left_anti").unionByName(moved.filter("_by IS NOT NULL").select("_stem", "_by")), "taken")
     decided = candidates.join(chosen.select("vqa_id", "reason"), "vqa_id").select(*candidates.columns, "reason")
     return decided.filter("reason = ''").drop("reason"), decided.filter("reason <> ''")
 
 
-def checkpointed(df: DataFrame) -> bool:
-    """Whether the session has a checkpoint folder; without one (tests) tables stay in memory."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return bool(where)
-
-
 def merge_reviews(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """Queue items with their decision applied: rejected ones leave, revisions replace value and evidence; the last decision of an item wins.
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates
 from ..sources.scans import table
+from ..sources.sinks import shared_folder
 from . import integrity, pipelines, translations
-from .staged_queries import shared_folder
 
 
 def orders_twice(spark, d):
