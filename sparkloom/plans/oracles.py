@@ -90,9 +90,9 @@ WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal,
 SELECT c_custkey, CASE WHEN c_acctbal <= a THEN 'tail' WHEN c_acctbal <= b THEN 'waist' WHEN c_acctbal <= c THEN 'shoulder' ELSE 'head' END AS segment,
   CASE WHEN c_acctbal <= a THEN 'slow' WHEN c_acctbal >= c THEN 'fast' ELSE 'medium' END AS rate, round(greatest(0, least(1, (c_acctbal - p5) / (p95 - p5))), 6) AS scaled FROM customer, q""",
     "judge_scores": """
-WITH a AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS v), t AS (SELECT x.v AS c, y.v AS g, z.v AS k FROM a x, a y, a z),
+WITH a AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS v), t AS (SELECT event_id, (event_id % 5) / 4.0::DOUBLE AS c, (event_id // 5 % 5) / 4.0::DOUBLE AS g, (event_id // 25 % 5) / 4.0::DOUBLE AS k FROM events),
 s AS (SELECT *, (SELECT v FROM a ORDER BY round(abs(0.4::DOUBLE * c + 0.4::DOUBLE * g + 0.2::DOUBLE * k - v), 9), v LIMIT 1) AS n FROM t)
-SELECT c, g, k, CASE WHEN least(c, g) = 0 THEN least(n, 0.25) WHEN least(c, g) = 0.25 THEN least(n, 0.5) ELSE n END AS score, CAST(NULL AS DOUBLE) AS off FROM s""",
+SELECT event_id, CASE WHEN least(c, g) = 0 THEN least(n, 0.25) WHEN least(c, g) = 0.25 THEN least(n, 0.5) ELSE n END AS score, CAST(NULL AS DOUBLE) AS off FROM s""",
     "frame_grid": """
 WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS t, least(3.0, p_size) AS h FROM part),
 i AS (SELECT *, unnest(generate_series(0, CASE WHEN t <= h THEN 2 ELSE 15 END)) AS i FROM p)

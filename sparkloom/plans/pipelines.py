@@ -70,7 +70,9 @@ def cohort(df: DataFrame, entity: str, strata: list[str], creator: str, anchors:
 
 
 def evaluate(gold: DataFrame, predictions: DataFrame, key: str, judge, task: str = "task_type") -> tuple[DataFrame, DataFrame]:
-    """Details of every gold row and the score report. judge is an injected client for answered rows; missing answers score 0."""
+    """Details of every gold row and the score report. judge is an injected client for answered rows; missing answers score 0, and of repeated
+    predictions one counts (see evaluation.one_answer; evaluation.evaluate_answers is the run with payloads and replies)."""
+    predictions = predictions.groupBy(key).agg(F.min("answer").alias("answer"))
     asked = gold.join(predictions.select(key, F.col("answer").alias("model_output")), key)
     schema = f"{key} string, correctness double, grounding double, completeness double, judge_success boolean"
     replies = windows.model_calls(asked, judge, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates
 from ..sources.scans import table
 from ..sources.sinks import shared_folder
-from . import integrity, pipelines, translations
+from . import evaluation, integrity, pipelines, translations
 
 
 def orders_twice(spark, d):
@@ -73,7 +73,50 @@ def quality_histogram(spark, d):
     return aggregates.value_histogram(docs, ["lang"], "quality")
 
 
-ALL = (changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
+def judged(spark, d):
+    """Documents as questions, labels as answers (each given twice), and a judge that follows the labels; some of its replies cannot be read or fail."""
+    n = F.col("doc_id")
+    unit = lambda i: F.struct(F.concat(F.lit(f"e{i}_"), n.cast("string")).alias("evidence_id"), F.col("lang").alias("modality"), F.col("source").alias("content_en"), (n % 5).alias("likes"), F.lit("in").alias("note"))
+    cue = F.struct(F.concat(F.lit("c"), n.cast("string")).alias("cue_id"), F.lit("PRICE").alias("cue_type"), F.struct(n.alias("gmv")).alias("inner"), F.col("text").alias("draft"))
+    gold = table(spark, d, "documents").select(
+        n.cast("string").alias("vqa_id"), F.col("source").alias("video_id"), F.col("source").alias("question"), F.element_at(F.array(*map(F.lit, ("BP", "CM", "SS", "AE"))), (n % 4 + 1).cast("int")).alias("task_type"), F.col("lang").alias("gold_answer"),
+        F.when(n % 3 > 0, F.array(unit(1), unit(2))).alias("evidence_context"), F.struct(F.array(cue).alias("commerce_cues")).alias("graph_context"),
+    )
+    once = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("vqa_id"), F.concat_ws("/", "quality", "toxic").alias("answer"))
+    return gold, once.unionByName(once)
+
+
+def judge(asked):
+    """Scores by the answer in the payload."""
+    n = F.col("vqa_id").cast("bigint")
+    output = F.get_json_object("payload", "$.model_output")
+    good, clean = output.startswith("1"), output.endswith("0")
+    score = lambda c: F.when(c, 1.0).otherwise(F.when(n % 2 == 0, 0.5).otherwise(0.0))
+    reply = F.to_json(F.struct(F.lit(1).alias("score"), score(good).alias("correctness"), score(clean).alias("grounding"), F.lit(0.5).alias("completeness"), F.lit("fine").alias("reason")))
+    return asked.select("vqa_id", (n % 13 > 0).alias("success"), F.when(n % 11 == 0, "so so").otherwise(reply).alias("reply"))
+
+
+def judge_payloads(spark, d):
+    """What a judge is shown: allowed fields only."""
+    gold, answers = judged(spark, d)
+    met = gold.join(evaluation.one_answer(answers, "vqa_id"), "vqa_id")
+    p = evaluation.judge_payload(met, F.col("answer"))
+    at = lambda path: F.get_json_object("p", f"$.{path}")
+    shown = met.select("vqa_id", p.alias("p"))
+    return shown.select("vqa_id", at("model_output").alias("model_output"), at("evidence_context.evidence_refs").alias("evidence"), at("graph_context").alias("graph"), at("evidence_context.answer_type").alias("answer_type"))
+
+
+def judged_details(spark, d):
+    """Each question's score, or why it has none."""
+    return evaluation.evaluate_answers(*judged(spark, d), judge)[0].select("vqa_id", "task_type", "missing", "score", "fault")
+
+
+def judged_report(spark, d):
+    """Scores by task, micro and macro."""
+    return evaluation.evaluate_answers(*judged(spark, d), judge)[1]
+
+
+ALL = (judge_payloads, judged_details, judged_report, changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
 
 VERSIONS = """WITH o AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), e AS (SELECT min(day) AS a, max(day) AS z FROM o),
 n AS (SELECT CASE WHEN day = a THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_custkey % 97 = 0 AS moved FROM o, e WHERE day < z),
@@ -83,7 +126,20 @@ JOBS = r"""WITH j AS (SELECT 'turn' AS object_type, conv_id || ':' || turn AS ob
 r AS (SELECT *, source_field = 'role' AND length(object_id) % 2 = 0 AS held FROM j WHERE NOT regexp_matches(coalesce(s, ''), '^\s*$')),
 t AS (SELECT *, CASE WHEN held THEN 'reused' WHEN regexp_full_match(s, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 'translated' WHEN length(s) % 5 = 0 OR length(s) % 7 = 0 THEN 'failed' ELSE 'translated' END AS status,
   regexp_full_match(s, '[a-z][a-z0-9]*(_[a-z0-9]+)+') AS code FROM r)"""
+JUDGED = """WITH g AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS vqa_id, ['BP', 'CM', 'SS', 'AE'][CAST(doc_id % 4 + 1 AS INTEGER)] AS task_type, lang, source FROM documents),
+a AS (SELECT CAST(doc_id AS VARCHAR) AS vqa_id, min(quality || '/' || toxic) AS answer FROM labels GROUP BY 1),
+m AS (SELECT g.*, answer, answer IS NULL AS missing, CASE WHEN answer LIKE '1%' THEN 1.0::DOUBLE WHEN n % 2 = 0 THEN 0.5 ELSE 0 END AS c, CASE WHEN answer LIKE '%0' THEN 1.0::DOUBLE WHEN n % 2 = 0 THEN 0.5 ELSE 0 END AS k FROM g LEFT JOIN a USING (vqa_id)),
+v AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS v),
+s AS (SELECT *, (SELECT v FROM v ORDER BY round(abs(0.4::DOUBLE * c + 0.4::DOUBLE * k + 0.1::DOUBLE - v), 9), v LIMIT 1) AS near FROM m),
+o AS (SELECT *, CASE WHEN missing THEN NULL WHEN n % 13 = 0 THEN 'JUDGE_FAILED' WHEN n % 11 = 0 THEN 'NO_SCORE' END AS fault, CASE WHEN least(c, k) = 0 THEN least(near, 0.25) ELSE near END AS got FROM s),
+d AS (SELECT *, CASE WHEN missing THEN 0.0::DOUBLE WHEN fault IS NULL THEN got END AS score FROM o)"""
 ORACLES = {
+    "judge_payloads": f"""{JUDGED} SELECT vqa_id, answer AS model_output, CASE WHEN n % 3 = 0 THEN '[]' ELSE '[{{"evidence_id":"e1_' || n || '","modality":"' || lang || '","content_en":"' || source || '"}},{{"evidence_id":"e2_' || n || '","modality":"' || lang || '","content_en":"' || source || '"}}]' END AS evidence,
+  '{{"commerce_cues":[{{"cue_id":"c' || n || '","cue_type":"PRICE"}}],"commercial_relations":[]}}' AS graph, 'open' AS answer_type FROM d WHERE NOT missing""",
+    "judged_details": f"{JUDGED} SELECT vqa_id, task_type, missing, score, fault FROM d",
+    "judged_report": f"""{JUDGED}, t AS (SELECT task_type AS block, count(score) AS count, count(*) - count(score) AS failed, round(avg((score = 1)::INT::DOUBLE), 6) AS strict, round(avg(score), 6) AS relaxed FROM d GROUP BY 1)
+  SELECT * FROM t UNION ALL SELECT 'micro', count(score), count(*) - count(score), round(avg((score = 1)::INT::DOUBLE), 6), round(avg(score), 6) FROM d
+  UNION ALL SELECT 'macro', count(*), CAST(coalesce(sum(failed), 0) AS BIGINT), CAST(round(CAST(avg(strict) AS DECIMAL(20, 10)), 6) AS DOUBLE), CAST(round(CAST(avg(relaxed) AS DECIMAL(20, 10)), 6) AS DOUBLE) FROM t WHERE count > 0""",
     "changed_orders": f"{VERSIONS} SELECT k AS o_orderkey, prefix, change FROM p WHERE change IS NOT NULL",
     "changed_ranges": f"{VERSIONS} SELECT prefix, count(*) FILTER (WHERE was) AS n_old, count(*) FILTER (WHERE now) AS n_new FROM p GROUP BY prefix HAVING bool_or(change IS NOT NULL)",
     "translation_run": f"""{JOBS} SELECT object_type, object_id, source_field, status, CASE WHEN held THEN 'm0' WHEN code THEN 'deterministic-machine-code-v1' WHEN status = 'translated' THEN 'm1' END AS translation_method,
