@@ -95,7 +95,7 @@ def localized(spark, d):
         F.when(n % 3 > 0, F.array(context("c", "cue_id", "content_en", F.col("source")))).alias("commerce_cues"), F.array(context("r", "relation_id", "rationale_en", F.lit("fits"))).alias("commercial_relations"),
     )
     told = lambda kind, key, field, words, old: docs.select(F.lit(kind).alias("object_type"), key.alias("object_id"), F.lit(field).alias("source_field"), F.when(n % old == 0, "old").otherwise(F.sha2(F.trim(words), 256)).alias("source_sha256"), F.concat(F.lit("zh "), name("", n)).alias("translated_text"), n.alias("row_ord"))
-    given = told("qa", n.cast("string"), "question", F.col("source"), 4).unionByName(told("evidence_unit", name("e", n), "content_en", F.col("text"), 5).filter(n % 7 > 0)).unionByName(told("commerce_cue", name("c", n), "content_en", F.col("source"), 2))
+    given = told("qa", n.cast("string"), "question", F.col("source"), 4).unionByName(told("evidence_unit", F.when(n % 7 > 0, name("e", n)).otherwise(name("lost", n)), "content_en", F.col("text"), 5)).unionByName(told("commerce_cue", name("c", n), "content_en", F.col("source"), 2))
     return drafts.localized_records(records, given)
 
 

@@ -22,8 +22,8 @@ def reviewed(spark, d):
     n, e = F.col("event_id"), table(spark, d, "events")
     none = F.array().cast("array<string>")
     video = F.col("user_id").cast("string")
-    proposals = e.filter("event_id % 7 <> 0").select(
-        video.alias("video_id"), name("p", n).alias("proposal_id"), F.lit("CM").alias("task_type"), F.lit("PARTIAL_SUPPORT").alias("task_subtype"), F.lit("cap").alias("capability"), F.lit("op").alias("reasoning_operator"), F.lit("ask").alias("question_intent"),
+    proposals = e.select(
+        video.alias("video_id"), F.when(divides(7), name("lost", n)).otherwise(name("p", n)).alias("proposal_id"), F.lit("CM").alias("task_type"), F.lit("PARTIAL_SUPPORT").alias("task_subtype"), F.lit("cap").alias("capability"), F.lit("op").alias("reasoning_operator"), F.lit("ask").alias("question_intent"),
         F.when(divides(3), "{ }").otherwise('{"a": 1}').alias("target"), F.lit('{"answer": "x"}').alias("gold"), F.when(divides(5), none).otherwise(F.array(name("e", n))).alias("evidence_ids"), F.array(name("c", n)).alias("commerce_cue_ids"), none.alias("commercial_relation_ids"),
     )
     gone = F.when(n % 10 == 1, F.struct(F.lit("SS").alias("task_type"), F.lit("").alias("task_subtype"), F.lit("nothing to say").alias("reason")))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 from xml.etree import ElementTree
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -44,14 +44,17 @@ def with_order(df: DataFrame, name: str = "row_ord") -> DataFrame:
 
 
 def clean_headers(names: list[str]) -> list[str]:
-    """Blank names become unnamed_<n>; a repeated name (whatever its case) gets __2, __3 ..."""
-    named = [name.strip() or f"unnamed_{i}" for i, name in enumerate(names, 1)]
-    times = Counter()
-    for i, low in enumerate([n.lower() for n in named]):
-        times[low] += 1
-        if times[low] > 1:
-            named[i] += f"__{times[low]}"
-    return named
+    """Blank names become unnamed_<n>; a name that is there already (whatever its case) gets the first free of __2, __3 ..."""
+    out, taken = [], set()
+    for i, name in enumerate(names, 1):
+        free = name = name.strip() or f"unnamed_{i}"
+        n = 1
+        while free.lower() in taken:
+            n += 1
+            free = f"{name}__{n}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
 
 
 _SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -118,9 +121,16 @@ def column_index(reference: str) -> int | None:
     return sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters))) - 1 if letters else None
 
 
+def file_bytes(path: str) -> bytes:
+    """A file that drivers and executors can all reach, by its URI; a plain path is one on a shared mount or, on one machine, local."""
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with system.open_input_stream(inner) as stream:
+        return stream.read()
+
+
 def sheet_names(path: str) -> list[str]:
-    with open(path, "rb") as file:
-        return list(Workbook(file.read()).sheets)
+    """Names of a workbook's sheets, in order."""
+    return list(Workbook(file_bytes(path)).sheets)
 
 
 class WorkbookSource(DataSource):
@@ -131,8 +141,7 @@ class WorkbookSource(DataSource):
         return "workbook"
 
     def _open(self) -> Workbook:
-        with open(self.options["path"], "rb") as file:
-            return Workbook(file.read())
+        return Workbook(file_bytes(self.options["path"]))
 
     def schema(self) -> StructType:
         header = next(self._open().rows(self.options.get("sheet")), [])

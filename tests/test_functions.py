@@ -170,3 +170,10 @@ def test_streams(spark):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_headers_never_repeat_and_workbooks_are_read_by_uri(spark, tmp_path):
+    assert scans.clean_headers(["a", "a", "a__2", "A", " "]) == ["a", "a__2", "a__2__2", "A__3", "unnamed_5"]
+    test_workbook(spark, tmp_path)
+    assert scans.sheet_names(f"file://{tmp_path}/b.xlsx") == scans.sheet_names(str(tmp_path / "b.xlsx")) == ["S"]
+    assert scans.read_workbook(spark, f"file://{tmp_path}/b.xlsx").count() == 1
