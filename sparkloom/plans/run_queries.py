@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import aggregates
 from ..sources.scans import table
 from ..sources.sinks import shared_folder
-from . import evaluation, integrity, pipelines, translations
+from . import evaluation, graph_queries, integrity, pipelines, translations, verification
+from .graph_oracles import BASE
 
 
 def orders_twice(spark, d):
@@ -116,7 +117,24 @@ def judged_report(spark, d):
     return evaluation.evaluate_answers(*judged(spark, d), judge)[1]
 
 
-ALL = (judge_payloads, judged_details, judged_report, changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
+def verified_relations(spark, d):
+    """Every relation of the graph with a second reader's verdict and the number of frames it was shown for it."""
+    n = F.col("event_id")
+    units = graph_queries.units(spark, d).withColumn("frame_indices", F.when(F.col("modality") == "visual", F.array((n % 9).cast("int"))))
+    cues = graph_queries.cues(units)
+    contexts = verification.relation_contexts(graph_queries.relations(cues), cues, units)
+
+    def read(calls):
+        number = lambda r: F.substring(r["relation_id"], 2, 20).cast("bigint") % 4
+        verdict = lambda r: F.when(number(r) == 0, "reject").when(number(r) == 1, "Ambiguous").otherwise("PASS")
+        judged = F.transform("relations", lambda r: F.struct(r["relation_id"].alias("relation_id"), verdict(r).alias("verdict"), F.lit("seen").alias("reason")))
+        return calls.select("call", F.lit(True).alias("success"), F.to_json(F.struct(judged.alias("verifications"))).alias("reply"))
+
+    done = verification.verified_relations(contexts, read)
+    return done.join(contexts.select("relation_id", F.size("frames").alias("n_frames")), "relation_id").select("relation_id", "verdict", "n_frames")
+
+
+ALL = (verified_relations, judge_payloads, judged_details, judged_report, changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
 
 VERSIONS = """WITH o AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), e AS (SELECT min(day) AS a, max(day) AS z FROM o),
 n AS (SELECT CASE WHEN day = a THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_custkey % 97 = 0 AS moved FROM o, e WHERE day < z),
@@ -134,6 +152,8 @@ s AS (SELECT *, (SELECT v FROM v ORDER BY round(abs(0.4::DOUBLE * c + 0.4::DOUBL
 o AS (SELECT *, CASE WHEN missing THEN NULL WHEN n % 13 = 0 THEN 'JUDGE_FAILED' WHEN n % 11 = 0 THEN 'NO_SCORE' END AS fault, CASE WHEN least(c, k) = 0 THEN least(near, 0.25) ELSE near END AS got FROM s),
 d AS (SELECT *, CASE WHEN missing THEN 0.0::DOUBLE WHEN fault IS NULL THEN got END AS score FROM o)"""
 ORACLES = {
+    "verified_relations": f"""{BASE} SELECT 'r' || r.event_id AS relation_id, CASE r.event_id % 4 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'AMBIGUOUS' ELSE 'PASS' END AS verdict, CAST(count(DISTINCT v.event_id % 9) FILTER (WHERE v.modality = 'visual') AS INTEGER) AS n_frames
+  FROM rel r LEFT JOIN refs f USING (event_id) LEFT JOIN ev v ON f.ref = v.evidence_id GROUP BY r.event_id""",
     "judge_payloads": f"""{JUDGED} SELECT vqa_id, answer AS model_output, CASE WHEN n % 3 = 0 THEN '[]' ELSE '[{{"evidence_id":"e1_' || n || '","modality":"' || lang || '","content_en":"' || source || '"}},{{"evidence_id":"e2_' || n || '","modality":"' || lang || '","content_en":"' || source || '"}}]' END AS evidence,
   '{{"commerce_cues":[{{"cue_id":"c' || n || '","cue_type":"PRICE"}}],"commercial_relations":[]}}' AS graph, 'open' AS answer_type FROM d WHERE NOT missing""",
     "judged_details": f"{JUDGED} SELECT vqa_id, task_type, missing, score, fault FROM d",
