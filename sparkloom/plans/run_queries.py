@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates
 from ..sources.scans import table
 from ..sources.sinks import shared_folder
-from . import evaluation, graph_queries, integrity, pipelines, translations, verification
+from . import evaluation, graph_queries, integrity, pipelines, programs, translations, verification
 from .graph_oracles import BASE
 
 
@@ -134,7 +134,26 @@ def verified_relations(spark, d):
     return done.join(contexts.select("relation_id", F.size("frames").alias("n_frames")), "relation_id").select("relation_id", "verdict", "n_frames")
 
 
-ALL = (verified_relations, judge_payloads, judged_details, judged_report, changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
+def rendered_questions(spark, d):
+    """Every event as an item whose question a template makes."""
+    n = F.col("event_id")
+    at = F.element_at(F.array(*[F.struct(*map(F.lit, p[:3])) for p in programs.PROGRAMS]), (n % len(programs.PROGRAMS) + 1).cast("int"))
+    items = table(spark, d, "events").withColumn("_p", at).select(
+        "event_id", F.col("_p.col1").alias("task_type"), F.col("_p.col2").alias("task_subtype"), F.col("_p.col3").alias("question_format"),
+        F.when(n % 2 == 0, F.to_json(F.struct(F.when(n % 4 == 0, "Price").otherwise(F.col("event_type")).alias("subject"), F.lit("old").alias("claim")))).alias("target"),
+        F.when(n % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("claim"), F.lit("Color").alias("predicate"), F.lit("yes").alias("answer")))).otherwise('{"relation": "", "b": "second", "a": "first"}').alias("gold_value"),
+    )
+    return programs.rendered_questions(items, programs.program_table(spark)).select("event_id", "question_program_id", "question", "answer")
+
+
+def diversity_report(spark, d):
+    """Turns as questions about their role and their conversation's number: repeats, and evidence that several tasks use."""
+    n = F.col("turn")
+    turns = table(spark, d, "conversations").select(F.col("text").alias("question"), F.when(n % 2 == 0, "BP").otherwise("CM").alias("task_type"), F.array(F.lit(" "), (F.length("text") % 50).cast("string"), F.col("role")).alias("evidence_refs"))
+    return programs.diversity(turns)
+
+
+ALL = (rendered_questions, diversity_report, verified_relations, judge_payloads, judged_details, judged_report, changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
 
 VERSIONS = """WITH o AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), e AS (SELECT min(day) AS a, max(day) AS z FROM o),
 n AS (SELECT CASE WHEN day = a THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_custkey % 97 = 0 AS moved FROM o, e WHERE day < z),
@@ -151,7 +170,15 @@ v AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS v),
 s AS (SELECT *, (SELECT v FROM v ORDER BY round(abs(0.4::DOUBLE * c + 0.4::DOUBLE * k + 0.1::DOUBLE - v), 9), v LIMIT 1) AS near FROM m),
 o AS (SELECT *, CASE WHEN missing THEN NULL WHEN n % 13 = 0 THEN 'JUDGE_FAILED' WHEN n % 11 = 0 THEN 'NO_SCORE' END AS fault, CASE WHEN least(c, k) = 0 THEN least(near, 0.25) ELSE near END AS got FROM s),
 d AS (SELECT *, CASE WHEN missing THEN 0.0::DOUBLE WHEN fault IS NULL THEN got END AS score FROM o)"""
+PROGRAM_ROWS = ", ".join(f"({i}, '{'|'.join(p[:3])}', '{p[0]}', '{p[3].replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(programs.PROGRAMS))
 ORACLES = {
+    "rendered_questions": f"""WITH p(i, id, task, t) AS (VALUES {PROGRAM_ROWS}),
+e AS (SELECT event_id AS n, p.*, CASE WHEN event_id % 4 = 0 THEN 'price' WHEN event_id % 2 = 0 THEN event_type ELSE 'target object' END AS subject, CASE WHEN event_id % 3 = 0 THEN 'color' ELSE 'observable attribute' END AS predicate,
+  CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN 'old' ELSE 'the stated claim' END AS claim FROM events JOIN p ON p.i = event_id % {len(programs.PROGRAMS)})
+SELECT n AS event_id, id AS question_program_id, replace(replace(replace(t, '{{subject}}', subject), '{{predicate}}', predicate), '{{claim}}', claim) AS question, CASE WHEN n % 3 = 0 THEN 'yes' ELSE 'first' END AS answer FROM e""",
+    "diversity_report": r"""WITH r AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[0-9]+(\.[0-9]+)?', '<num>', 'g'), '[^a-z0-9<>]+', ' ', 'g'), ' +', ' ', 'g')) AS stem, turn % 2 AS task, role, length(text) % 50 AS k FROM conversations),
+s AS (SELECT stem, count(*) AS n FROM r GROUP BY 1), g AS (SELECT count(DISTINCT task) AS a, count(DISTINCT stem) AS b FROM r GROUP BY role, k)
+SELECT CAST(sum(n) AS BIGINT) AS question_count, CAST(sum(n - 1) AS BIGINT) AS exact_duplicate_count, round(max(n) / sum(n), 6) AS max_stem_share, (SELECT count(*) FROM g WHERE a > 1) AS cross_task_reuse_count, (SELECT count(*) FROM g WHERE a > 1 AND b > 1) AS non_marginal_reuse_count FROM s""",
     "verified_relations": f"""{BASE} SELECT 'r' || r.event_id AS relation_id, CASE r.event_id % 4 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'AMBIGUOUS' ELSE 'PASS' END AS verdict, CAST(count(DISTINCT v.event_id % 9) FILTER (WHERE v.modality = 'visual') AS INTEGER) AS n_frames
   FROM rel r LEFT JOIN refs f USING (event_id) LEFT JOIN ev v ON f.ref = v.evidence_id GROUP BY r.event_id""",
     "judge_payloads": f"""{JUDGED} SELECT vqa_id, answer AS model_output, CASE WHEN n % 3 = 0 THEN '[]' ELSE '[{{"evidence_id":"e1_' || n || '","modality":"' || lang || '","content_en":"' || source || '"}},{{"evidence_id":"e2_' || n || '","modality":"' || lang || '","content_en":"' || source || '"}}]' END AS evidence,
