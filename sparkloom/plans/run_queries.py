@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates
 from ..sources.scans import table
 from ..sources.sinks import shared_folder
-from . import evaluation, graph_queries, integrity, pipelines, programs, translations, verification
+from . import evaluation, graph_queries, integrity, pipelines, programs, realizer, translations, verification
 from .graph_oracles import BASE
 
 
@@ -153,7 +153,34 @@ def diversity_report(spark, d):
     return programs.diversity(turns)
 
 
-ALL = (rendered_questions, diversity_report, verified_relations, judge_payloads, judged_details, judged_report, changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
+def realized_twice(spark, d):
+    """Every event as a spec that cites two units; after a first run some units change, and a second run makes only their specs anew."""
+    n, e = F.col("event_id"), graph_queries.units(spark, d)
+    specs = e.select(F.concat(F.lit("s"), n).alias("spec_id"), "video_id", F.element_at(F.array(*map(F.lit, graph_queries.TASKS)), (n % 4 + 1).cast("int")).alias("task_type"), F.array_compact(F.array("evidence_id", F.concat(F.lit("e"), F.col("next_id")))).alias("evidence_refs"), n.alias("number"))
+    units = e.select("evidence_id", "content_en", "value")
+    later = units.withColumn("value", F.when(F.substring("evidence_id", 2, 20).cast("bigint") % 40 == 0, "changed").otherwise(F.col("value")))
+
+    def write(asked):
+        k = F.col("number")
+        question = F.concat(F.lit("What does the buyer learn about item "), k.cast("string"), F.when(k % 9 == 0, ".").otherwise("?"))
+        return asked.select("part_key", (k % 17 > 0).alias("success"), F.to_json(F.struct(question.alias("question"), F.lit("its price").alias("answer"))).alias("reply"))
+
+    def check(asked):
+        k = F.col("number")
+        verdict = F.when(k % 5 == 0, "REJECT").when(k % 7 == 0, "HUMAN_REVIEW").otherwise("PASS")
+        return asked.select("part_key", F.lit(True).alias("success"), realizer.verdict_json(F.col("spec_id"), verdict).alias("reply"))
+
+    folder = f"{shared_folder(spark)}/qa-{uuid4().hex}"
+    first = realizer.realized(specs, units, None, write, check, "v1", f"{folder}/1")
+    return realizer.realized(specs, later, first.select(*realizer.PARTS), write, check, "v1", f"{folder}/2")
+
+
+def realized_questions(spark, d):
+    """What became of each spec, and whether its part was reused."""
+    return realized_twice(spark, d).select("spec_id", "route", F.array_join("reasons", ",").alias("codes"), "reused")
+
+
+ALL = (realized_questions, rendered_questions, diversity_report, verified_relations, judge_payloads, judged_details, judged_report, changed_orders, changed_ranges, translation_run, translation_report, quality_histogram)
 
 VERSIONS = """WITH o AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), e AS (SELECT min(day) AS a, max(day) AS z FROM o),
 n AS (SELECT CASE WHEN day = a THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_custkey % 97 = 0 AS moved FROM o, e WHERE day < z),
@@ -172,6 +199,9 @@ o AS (SELECT *, CASE WHEN missing THEN NULL WHEN n % 13 = 0 THEN 'JUDGE_FAILED'
 d AS (SELECT *, CASE WHEN missing THEN 0.0::DOUBLE WHEN fault IS NULL THEN got END AS score FROM o)"""
 PROGRAM_ROWS = ", ".join(f"({i}, '{'|'.join(p[:3])}', '{p[0]}', '{p[3].replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(programs.PROGRAMS))
 ORACLES = {
+    "realized_questions": """WITH e AS (SELECT event_id AS n, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM events)
+SELECT 's' || n AS spec_id, CASE WHEN n % 17 = 0 OR n % 9 = 0 OR n % 5 = 0 THEN 'rejected' WHEN n % 7 = 0 THEN 'human_review' ELSE 'accepted' END AS route,
+  CASE WHEN n % 17 = 0 THEN 'WRITER_FAILED' WHEN n % 9 = 0 THEN 'MISSING_QUESTION_MARK' WHEN n % 5 = 0 THEN 'QA_REJECT' ELSE '' END AS codes, n % 40 <> 0 AND coalesce(m % 40 <> 0, true) AS reused FROM e""",
     "rendered_questions": f"""WITH p(i, id, task, t) AS (VALUES {PROGRAM_ROWS}),
 e AS (SELECT event_id AS n, p.*, CASE WHEN event_id % 4 = 0 THEN 'price' WHEN event_id % 2 = 0 THEN event_type ELSE 'target object' END AS subject, CASE WHEN event_id % 3 = 0 THEN 'color' ELSE 'observable attribute' END AS predicate,
   CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN 'old' ELSE 'the stated claim' END AS claim FROM events JOIN p ON p.i = event_id % {len(programs.PROGRAMS)})

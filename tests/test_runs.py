@@ -112,6 +112,10 @@ def test_publishing_is_atomic_and_repeats_change_nothing(spark, tmp_path):
     sinks.publish(two, path, "f2")
     assert [r["k"] for r in sinks.published(spark, path, "a").collect()] == [3] and sinks.published(spark, path, "b", "k int").count() == 0
     assert not [x for x in os.listdir(tmp_path / "bank") if x.startswith("manifest.json.")]
+    assert sinks.required_fingerprint(spark, f"{path}/manifest.json") == "f2"
+    for where, name in ((f"{path}/manifest.json", "evidence_fingerprint"), (f"{path}/nothing.json", "fingerprint")):
+        with pytest.raises(ValueError, match="has no"):
+            sinks.required_fingerprint(spark, where, name)
     with pytest.raises(FileNotFoundError):
         sinks.published(spark, f"file://{tmp_path}/nowhere", "a")
 
