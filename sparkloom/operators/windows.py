@@ -10,17 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
+def with_fold(df: DataFrame, key: list[str], fold: Column, into: str) -> DataFrame:
+    """df with an aggregate of each row's group. Groups are folded inside tasks before they are sent, and rows meet their group's value in a join, so no task
+    sorts a group that holds very many rows; nulls are a group like others."""
+    found = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(fold.alias(into))
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(found, same).drop(*[f"_k{i}" for i in range(len(key))])
+
+
+def is_first(df: DataFrame, key: list[str], order: list[str], into: str) -> DataFrame:
+    """df with a boolean: the row is its group's first by order; of rows equal in group and order one is."""
+    tie = F.row_number().over(Window.partitionBy(*key, *order).orderBy(*order))
+    folded = with_fold(df, key, F.min(F.struct(*order)), "_first")
+    return folded.withColumn(into, (F.struct(*order) == F.col("_first")) & (tie == 1)).drop("_first")
+
+
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The first row of each key, and the later ones with a reason."""
-    n = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return n.filter("_rn = 1").drop("_rn"), n.filter("_rn > 1").drop("_rn").withColumn("reason", F.lit("DUPLICATE"))
+    n = is_first(df, key, order, "_is")
+    return n.filter("_is").drop("_is"), n.filter("NOT _is").drop("_is").withColumn("reason", F.lit("DUPLICATE"))
 
 
 def marked_conflicts(df: DataFrame, target: list[str], value: str, order: list[str]) -> DataFrame:
     """duplicate: an earlier row has the same target and value; conflict: the target's first row has another value."""
-    same = Window.partitionBy(*target, value).orderBy(*order)
-    first = Window.partitionBy(*target).orderBy(*order)
-    return df.withColumn("duplicate", F.row_number().over(same) > 1).withColumn("conflict", ~F.first(value).over(first).eqNullSafe(F.col(value)))
+    same = is_first(df, [*target, value], order, "_is")
+    first = with_fold(same, target, F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)), "_of")
+    return first.withColumn("duplicate", ~F.col("_is")).withColumn("conflict", ~F.col("_of.v").eqNullSafe(F.col(value))).drop("_is", "_of")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

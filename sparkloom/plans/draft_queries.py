@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.scans import table
+from ..sources.sinks import cut
 from . import drafts
 from . import graph_queries as graph
 from .graph_oracles import BASE, choice
@@ -32,8 +33,8 @@ def drafted_cues(spark, d):
 
 def drafted_relations(spark, d):
     """Typed relations of the graph's cues or why refused."""
-    e = graph.units(spark, d)
-    cues = graph.cues(e)
+    e = cut(graph.units(spark, d), "units")
+    cues = cut(graph.cues(e), "cues")
     raw = graph.relations(cues).withColumns({
         "ordinal": F.substring("relation_id", 2, 20).cast("bigint"), "directness": F.lit(""), "extractor": F.lit(""), "confidence": F.lit("none"), "assertion_scope": F.lit(None).cast("string"), "evidence_ids": F.array(F.get("evidence_ids", F.lit(0)), F.lit(" ")),
     })
@@ -44,8 +45,8 @@ def drafted_relations(spark, d):
 
 def drafted_proposals(spark, d):
     """Typed proposals, with the evidence and edges of the cues and relations they cite, or why refused."""
-    n, e = F.col("event_id"), graph.units(spark, d)
-    cues = graph.cues(e)
+    n, e = F.col("event_id"), cut(graph.units(spark, d), "units")
+    cues = cut(graph.cues(e), "cues")
     none = F.array().cast("array<string>")
     edges = F.array(F.array(F.lit("a"), F.lit(" b  c"), F.lit("d"), F.lit("e")), F.array(F.lit("a")))
     raw = e.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..sources.scans import table
+from ..sources.sinks import cut
 from . import graph_queries as graph
 from . import items, pipelines
 from .graph_oracles import BASE, choice, joined
@@ -58,7 +59,7 @@ def built_specs(spark, d):
 
 def bank_audit(spark, d):
     """The metrics of the bank, with translations that are current, stale or not audited."""
-    evidence, cues, relations, made = bank(spark, d)
+    evidence, cues, relations, made = (cut(df, "bank") for df in bank(spark, d))  # as a bank's tables are: written once, read by every metric
     n = F.col("event_id")
     payload = F.when(F.pmod(F.col("video_id").cast("bigint"), F.lit(9)) == 0, '{"sales": 3}').otherwise("{}")
     videos = table(spark, d, "events").select(F.col("user_id").cast("string").alias("video_id")).distinct().select("video_id", F.pmod(F.col("video_id").cast("bigint"), F.lit(3)).alias("n_abstentions"), payload.alias("payload"))

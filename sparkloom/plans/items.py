@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, numbers, text
 from ..operators import aggregates, joins, rules, windows
+from ..sources import sinks
 from .evidence import ASSERTIONS, WORD, mentions, with_references
 
 # Task, capability, what it needs of the graph, and its reasoning operator.
@@ -299,11 +300,9 @@ def audit_bank(videos: DataFrame, items: DataFrame, evidence: DataFrame, cues: D
     videos: video_id, n_abstentions, payload (JSON). items: as in checked_items, with question_intent and the order of the bank in item_id. Each entity is joined once with what
     it refers to and aggregated once; duplicates and conflicts compare task, capability, target and gold value within a video.
     """
-
-
-
     refs = with_references(items, "item_id", "evidence_ids", evidence)
     refs = found_refs(found_refs(refs, "item_id", "commerce_cue_ids", cues, "cue_id", "cue"), "item_id", "commercial_relation_ids", relations, "relation_id", "relation")
+    refs = sinks.cut(refs, "refs")  # read by the folds of targets and values
     refs = windows.marked_conflicts(refs, ["video_id", "task_type", "task_subtype", "target"], "gold_value", ["item_id"])
     held = lambda c, p: (F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0) & (F.coalesce(F.col(f"{p}_lost"), F.lit(0)) == 0)
     closed_refs = (F.col("n_refs") > 0) & (F.col("n_missing") == 0) & (F.col("n_foreign") == 0)

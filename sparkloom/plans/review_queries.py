@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, text
 from ..sources.scans import table
+from ..sources.sinks import cut
 from . import graph_queries as graph
 from . import reviews
 from .graph_oracles import BASE, choice
@@ -102,7 +103,7 @@ def json_leaves(spark, d):
 
 def illustrated(spark, d):
     """References of the graph's cues with frames; every event is also a frame of its user."""
-    n, e = F.col("event_id"), graph.units(spark, d)
+    n, e = F.col("event_id"), cut(graph.units(spark, d), "units")
     evidence = e.withColumns({"frame_indices": F.when(~divides(11), F.array(n + 1, n)), "start_s": F.when(~divides(3), F.col("event_id") % 50), "end_s": F.when(~divides(5), F.col("event_id") % 50 + F.col("event_id") % 4)})
     made = graph.cues(e).select(name("a", n).alias("annotation_id"), "video_id", F.when(~divides(19), F.col("evidence_ids")).alias("evidence_refs"))
     frames = e.select("video_id", n.alias("frame_index"), F.when(~divides(10), (n * 7 % 101).cast("double")).alias("timestamp_s"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, text
 from ..operators import joins, rules
+from ..sources import sinks
 from .replies import QUALITY_FIELDS
 
 # Reasons that name a stage, issues that mean a conflict, what a queue's texts are called, statuses that may be compiled.
@@ -200,6 +201,7 @@ def illustrated_refs(annotations: DataFrame, evidence: DataFrame, frames: DataFr
         .when(spoken & F.col("start_s").isNotNull() & F.col("end_s").isNotNull(), "temporal").when(spoken, "representative").otherwise("none")
     )
     df = refs.join(units, "evidence_id", "left").withColumns({"kind": kind, "place": F.coalesce("place", F.lit(-1))})
+    df = sinks.cut(df, "refs")  # each kind reads its own rows of it
     row, shown = ["annotation_id", "place"], ["frame_index", "timestamp_s"]
     direct = df.filter("kind = 'direct'").select(*row, "video_id", F.posexplode("frame_indices").alias("_at", "frame_index")).join(frames.select("video_id", *shown), ["video_id", "frame_index"]).select(*row, "_at", *shown)
     asked = df.filter("kind = 'temporal'")

@@ -177,3 +177,13 @@ def test_headers_never_repeat_and_workbooks_are_read_by_uri(spark, tmp_path):
     test_workbook(spark, tmp_path)
     assert scans.sheet_names(f"file://{tmp_path}/b.xlsx") == scans.sheet_names(str(tmp_path / "b.xlsx")) == ["S"]
     assert scans.read_workbook(spark, f"file://{tmp_path}/b.xlsx").count() == 1
+
+
+def test_first_rows_are_folds_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "y"), (None, 5, "z"), (None, None, "w"), ("b", 1, None), ("b", 2, "q")], "k string, o int, v string")
+    first, later = windows.keep_first(df, ["k"], ["o"])
+    assert sorted(map(tuple, first.collect()), key=repr) == sorted([("a", 1, "y"), ("b", 1, None), (None, None, "w")], key=repr)
+    assert sorted(map(tuple, later.collect()), key=repr) == sorted([("a", 1, "y", "DUPLICATE"), ("a", 2, "x", "DUPLICATE"), ("b", 2, "q", "DUPLICATE"), (None, 5, "z", "DUPLICATE")], key=repr)
+    marked = sorted(((r["k"], r["o"], r["duplicate"], r["conflict"]) for r in windows.marked_conflicts(df, ["k"], "v", ["o"]).collect()), key=repr)
+    assert marked == sorted([("a", 1, False, False), ("a", 1, True, False), ("a", 2, False, True), (None, None, False, False), (None, 5, False, True), ("b", 1, False, False), ("b", 2, False, True)], key=repr)
+    assert windows.keep_first(df.limit(0), ["k"], ["o"])[0].count() == 0
