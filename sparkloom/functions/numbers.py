@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, is_missing
+from .text import BLANKS, bound, clean
 
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 ALLOWED_SCORES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def _single(text: Column) -> Column:
-    """One number with an optional percent sign or unit suffix; null if it is none."""
-    body = F.regexp_replace(text, r"(?U)\s+", "")
-    percent = F.regexp_extract(body, r"^(.*)%$", 1)
-    unit = F.regexp_extract(body, r"^(.*?)(w|W|万|亿|k|K)$", 2)
-    stem = F.when(unit != "", F.regexp_extract(body, r"^(.*?)(w|W|万|亿|k|K)$", 1)).when(body.endswith("%"), percent).otherwise(body)
-    scale = F.when(unit.isin("w", "W", "万"), 1e4).when(unit == "亿", 1e8).when(unit.isin("k", "K"), 1e3).when(body.endswith("%"), 0.01).otherwise(1.0)
-    # divide for percent, so that 12.5% is exactly 12.5 / 100
+def _single(t: Column) -> Column:
+    """One number with an optional percent sign or unit suffix, of text without blanks; null if it is none."""
+    unit = F.right(t, F.lit(1))
+    stem = F.when(unit.isin("%", "w", "W", "万", "亿", "k", "K"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
     value = F.when(stem.rlike(DECIMAL), stem.cast("double"))
-    return F.when(body.endswith("%") & (unit == ""), value / 100).otherwise(value * scale)
+    # divide for percent, so that 12.5% is exactly 12.5 / 100
+    return F.when(unit == "%", value / 100).when(unit.isin("w", "W", "万"), value * 1e4).when(unit == "亿", value * 1e8).when(unit.isin("k", "K"), value * 1e3).otherwise(value)
 
 
 def parse_number(c: Column) -> Column:
     """Permissive: commas dropped, missing tokens null, a~b the mean of its parsable parts, % and unit suffixes."""
-    text = F.regexp_replace(clean(c), "[,，]", "")
-    parts = F.filter(F.transform(F.split(text, "~"), _single), lambda x: x.isNotNull())
-    mean = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts))
-    return F.when(~is_missing(c), F.when(text.contains("~"), mean).otherwise(_single(text)))
+
+    def mean(parts: Column) -> Column:
+        return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts))
+
+    def number(t: Column) -> Column:
+        return F.when(t.contains("~"), bound(F.filter(F.transform(F.split(t, "~"), _single), lambda x: x.isNotNull()), mean)).otherwise(_single(t))
+
+    # no missing token looks like a number
+    return bound(F.translate(c.cast("string"), ",，" + BLANKS, ""), number)
 
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -65,36 +69,49 @@ def quartile_label(x: Column, cuts: list[Column], labels: tuple[str, str, str, s
     return F.when(x.isNull() | cuts[0].isNull(), "unknown").when(x <= cuts[0], labels[0]).when(x <= cuts[1], labels[1]).when(x <= cuts[2], labels[2]).otherwise(labels[3])
 
 
+def _dated(t: Column, sign: str) -> Column:
+    """A date with this sign between its parts, else null. Only text of that shape is parsed: a failed parse costs an exception for each row."""
+    return F.when(t.rlike(rf"{re.escape(sign)}[0-9]{{2}}{re.escape(sign)}[0-9]{{2}}$"), F.try_to_date(t, sign.join(("yyyy", "MM", "dd"))))
+
+
 def iso_week(c: Column) -> Column:
     """First ten characters as a date to YYYY-Www, else unknown."""
-    day = F.try_to_date(F.substring(c.cast("string"), 1, 10), "yyyy-MM-dd")
+    day = _dated(F.substring(c.cast("string"), 1, 10), "-")
     return F.when(day.isNull(), "unknown").otherwise(F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day), F.weekofyear(day)))
 
 
 def parse_date(c: Column) -> Column:
     """Spreadsheet serials count from 1899-12-30; four written forms; other text stays."""
-    text = clean(c)
-    serial = parse_number(c)
-    written = F.coalesce(*[F.try_to_date(text, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd")])
-    return F.when(serial.isNotNull(), F.date_add(F.lit("1899-12-30").cast("date"), serial.cast("int")).cast("string")).otherwise(F.coalesce(written.cast("string"), text))
+
+    def written(t: Column) -> Column:
+        plain = F.when(t.rlike(r"^[+-]?[0-9]{8,}$"), F.try_to_date(t, "yyyyMMdd"))
+        return F.coalesce(F.coalesce(*[_dated(t, sign) for sign in "-/."], plain).cast("string"), t)
+
+    counted = lambda n: F.when(n.isNotNull(), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int")).cast("string"))
+    return F.coalesce(bound(parse_number(c), counted), bound(clean(c), written))
 
 
 def parse_time(c: Column) -> Column:
     """Day fractions to H:MM:SS (24:00 wraps), written times normalised, else empty."""
-    text = clean(c)
-    fraction = parse_number(c)
-    seconds = F.pmod(F.round((fraction - F.floor(fraction)) * 86_400).cast("bigint"), F.lit(86_400))
-    clock = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60), F.pmod(seconds, F.lit(60)))
-    written = F.when(text.rlike(r"^\d{1,2}:\d{2}:\d{2}$"), text).when(text.rlike(r"^\d{1,2}:\d{2}$"), F.concat(text, F.lit(":00")))
-    return F.coalesce(written, F.when(fraction.isNotNull(), clock), F.lit(""))
+
+    def clock(seconds: Column) -> Column:
+        two = lambda n: F.lpad(n.cast("bigint").cast("string"), 2, "0")
+        return F.concat_ws(":", two(F.floor(seconds / 3600)), two(F.floor(F.pmod(seconds, F.lit(3600)) / 60)), two(F.pmod(seconds, F.lit(60))))
+
+    def counted(fraction: Column) -> Column:
+        seconds = F.pmod(F.round((fraction - F.floor(fraction)) * 86_400).cast("bigint"), F.lit(86_400))
+        return F.when(fraction.isNotNull(), bound(seconds, clock))
+
+    written = lambda t: F.when(t.rlike(r"^\d{1,2}:\d{2}:\d{2}$"), t).when(t.rlike(r"^\d{1,2}:\d{2}$"), F.concat(t, F.lit(":00")))
+    return F.coalesce(bound(clean(c), written), bound(parse_number(c), counted), F.lit(""))
 
 
 def confidence(c: Column) -> Column:
     """A label or a number; percentages are scaled; out of range is 0."""
-    label = F.lower(clean(c))
-    x = F.when(label == "high", 0.9).when(label == "medium", 0.7).when(label == "low", 0.5).otherwise(parse_number(c))
-    x = F.when((x > 1) & (x <= 100), x / 100).otherwise(x)
-    return F.when(x.between(0, 1), x).otherwise(0.0)
+    named = lambda label: F.when(label == "high", 0.9).when(label == "medium", 0.7).when(label == "low", 0.5)
+    scaled = lambda x: F.when((x > 1) & (x <= 100), x / 100).otherwise(x)
+    within = lambda x: F.when(x.between(0, 1), x).otherwise(0.0)
+    return bound(bound(F.coalesce(bound(F.lower(clean(c)), named), parse_number(c)), scaled), within)
 
 
 def allowed_score(x: Column) -> Column:
