@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers
+from sparkloom.plans import staged
+from sparkloom.sources import sinks
 
 
 def uses(column) -> int:
@@ -19,3 +21,22 @@ def test_dates_and_times_read_their_text_once(spark):
 
 def test_parts_of_a_span_are_worked_out_once(spark):
     assert str(numbers.parse_number(F.col("told"))).count("split(") == 1
+
+
+def test_units_of_replies_are_parsed_once(spark, tmp_path, monkeypatch):
+    plans, plain = {}, sinks.written_once
+
+    def watched(spark, path, make):
+        def seen():
+            df = make()
+            plans[path.rpartition("/")[2]] = df._jdf.queryExecution().optimizedPlan().toString()
+            return df
+
+        return plain(spark, path, seen)
+
+    monkeypatch.setattr(sinks, "written_once", watched)
+    unit = '{"evidence_id": "v_asr_1", "modality": "asr", "subject": "s", "predicate": "p", "value": "x", "content_en": "c", "source_text_native": "t", "confidence": "high"}'
+    given = spark.createDataFrame([("v", "language_evidence_extraction", 1, "w", True, f'{{"evidence_units": [{unit}]}}', None)], staged.REPLIES)
+    found = staged.Stages(spark, None, str(tmp_path), 0.7, 200).units("evidence_1", given)
+    assert [r["evidence_id"] for r in found.collect()] == ["v_asr_1"]
+    assert "from_json" not in plans["evidence_1_units"] and plans["evidence_1_objects"].count("from_json") == 1
