@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates
 from ..sources.scans import table
-from ..sources.sinks import shared_folder
+from ..sources.sinks import cut, shared_folder
 from . import evaluation, graph_queries, integrity, pipelines, programs, realizer, translations, verification
 from .graph_oracles import BASE
 
@@ -171,8 +171,8 @@ def realized_twice(spark, d):
         return asked.select("part_key", F.lit(True).alias("success"), realizer.verdict_json(F.col("spec_id"), verdict).alias("reply"))
 
     folder = f"{shared_folder(spark)}/qa-{uuid4().hex}"
-    first = realizer.realized(specs, units, None, write, check, "v1", f"{folder}/1")
-    return realizer.realized(specs, later, first.select(*realizer.PARTS), write, check, "v1", f"{folder}/2")
+    first = cut(realizer.realized(specs, units, None, write, check, "v1", f"{folder}/1").select(*realizer.PARTS), "parts")
+    return realizer.realized(specs, later, first, write, check, "v1", f"{folder}/2")
 
 
 def realized_questions(spark, d):

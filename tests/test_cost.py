@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers
-from sparkloom.plans import staged
+from sparkloom.plans import replies, staged
 from sparkloom.sources import sinks
 
 
@@ -40,3 +40,9 @@ def test_units_of_replies_are_parsed_once(spark, tmp_path, monkeypatch):
     found = staged.Stages(spark, None, str(tmp_path), 0.7, 200).units("evidence_1", given)
     assert [r["evidence_id"] for r in found.collect()] == ["v_asr_1"]
     assert "from_json" not in plans["evidence_1_units"] and plans["evidence_1_objects"].count("from_json") == 1
+
+
+def test_quality_verdicts_are_read_once(spark):
+    asked = spark.createDataFrame([("s1", "{}")], "spec_id string, reply string")
+    plan = replies.quality_reply(asked, "reply", "spec_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "get_json_object" not in plan
