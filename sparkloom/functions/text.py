@@ -11,13 +11,29 @@ from pyspark.sql import functions as F
 
 # Tokens that mean "missing".
 MISSING = ("", "-", "—", "暂无", "N/A", "NA", "None", "null", "nan")
-CJK = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]"
+# one range is asked of every character, the three only of those within it
+CJK = "[\\x{3400}-\\x{faff}&&[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]]"
 
 
 #: Characters with the property White_Space.
 BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+def single(chars: str) -> str:
+    """Characters for a class of a pattern, one by one: those below U+0100 are one look into a table, where each range would be a test of its own."""
+    return "".join(rf"\x{{{ord(c):x}}}" for c in chars)
+
+
+PLAIN = [chr(i) for i in range(0x80)]
+#: What bare texts leave out.
+NOT_BARE = "[^" + single("".join(c for c in PLAIN if c.isalnum())) + r"\x{4e00}-\x{9fff}]+"
+STOPS, PLAIN_STOPS = "。！？；…", "!?;\n"
+# a piece between sentence ends from its first character that is not blank; ASCII runs apart from the rest, for which more is to be tested
+_WITHIN = "".join(c for c in PLAIN if c not in PLAIN_STOPS)
+_BEGIN = f"(?:[{single(''.join(c for c in _WITHIN if c not in BLANKS))}]|[^\\x00-\\x7f{single(STOPS + BLANKS)}])"
+SENTENCE = f"{_BEGIN}(?:[{single(_WITHIN)}]+|[^\\x00-\\x7f{single(STOPS)}])*+"
+
+
 def clean(c: Column) -> Column:
     """Null to empty; Unicode blanks trimmed on both ends."""
     return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(BLANKS))
@@ -43,20 +59,18 @@ def is_missing(c: Column) -> Column:
 
 def bare(c: Column) -> Column:
     """Lower case; only CJK ideographs, ASCII letters and digits stay."""
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x{4e00}-\x{9fff}A-Za-z0-9]+", ""))
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), NOT_BARE, ""))
 
 
 def char_ngrams(c: Column, n: int = 2) -> Column:
-    """Distinct character n-grams of the bare text; at most n characters give one gram, none give none.
+    """Distinct character n-grams of the bare text; at most n characters give one gram, none give none."""
+    return bound(bare(c), lambda b: ngrams_in_bare(b, n))
 
-    The characters are split off once and bound to a lambda variable, so the cost is linear in the text.
-    """
 
-    def grams(chars: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
-        return F.when(F.size(chars) == 0, F.array().cast("array<string>")).when(F.size(chars) <= n, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(many))
-
-    return F.element_at(F.transform(F.array(F.filter(F.split(bare(c), ""), lambda x: x != "")), grams), 1)
+def ngrams_in_bare(b: Column, n: int = 2) -> Column:
+    """The same of bare text. A look ahead finds the grams at all places in one pass; bare characters are one unit of a pattern each."""
+    many = F.array_distinct(F.regexp_extract_all(b, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+    return F.when(F.length(b) == 0, F.array().cast("array<string>")).when(F.length(b) <= n, F.array(b)).otherwise(many)
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -67,7 +81,10 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 def contains(text: Column, phrase: Column) -> Column:
     """1 if the bare phrase is in the bare text, else 0; empty sides give 0."""
-    t, p = bare(text), bare(phrase)
+    return contains_bare(bare(text), bare(phrase))
+
+
+def contains_bare(t: Column, p: Column) -> Column:
     return ((F.position(p, t) > 0) & (t != "") & (p != "")).cast("int")
 
 
@@ -95,7 +112,7 @@ def count_any(text: Column, keywords: tuple[str, ...]) -> Column:
 
 def sentences_in(t: Column) -> Column:
     """Of trimmed text: pieces between sentence ends that are not blank; at least 1 for text that is not empty."""
-    return F.when(t == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"(?U)[^。！？!?；;…\n\s][^。！？!?；;…\n]*"))))
+    return F.when(t == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.regexp_count(t, F.lit(SENTENCE))))
 
 
 def sentence_count(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import numbers
+from sparkloom.functions import numbers, text
 from sparkloom.plans import replies, staged
 from sparkloom.sources import sinks
 
@@ -46,3 +46,18 @@ def test_quality_verdicts_are_read_once(spark):
     asked = spark.createDataFrame([("s1", "{}")], "spec_id string, reply string")
     plan = replies.quality_reply(asked, "reply", "spec_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and "get_json_object" not in plan
+
+
+def test_patterns_of_texts_test_no_ascii_ranges_and_mean_the_same(spark):
+    assert "-" not in text.NOT_BARE.replace(r"\x{4e00}-\x{9fff}", "")
+    odd = ["", " ", "a", "A_b-c!d", "一二。三 ！ ? \n\n x", "。 　; x …é;\u0085", "\U00020000丂a豈㐀﫿\U0001f600", "ab\x00\x7f\x80! é… é", "é" * 30_000 + "a" * 9 + "…" + "éa" * 30_000]
+    df = spark.createDataFrame([(x,) for x in odd], "told string")
+    t = F.col("told")
+    old_cjk = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
+    pairs = {
+        "bare": (text.bare(t), F.lower(F.regexp_replace(t, r"[^\x{4e00}-\x{9fff}A-Za-z0-9]+", ""))), "cjk": (text.contains_cjk(t), t.rlike(old_cjk)),
+        "sentences": (F.regexp_count(t, F.lit(text.SENTENCE)), F.regexp_count(t, F.lit(r"(?U)[^。！？!?；;…\n\s][^。！？!?；;…\n]*"))),
+    }
+    for name, (new, old) in pairs.items():
+        for row in df.select("told", new.alias("new"), old.alias("old")).collect():
+            assert row["new"] == row["old"], (name, row["told"][:40])
