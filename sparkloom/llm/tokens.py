@@ -10,6 +10,7 @@ piece of a slice is encoded once and the rest is array work.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ class PieceEncoder:
         """Encode pieces to the places first, first + 1, ..."""
         found = self.encode(pieces)
         lengths = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         n = len(pieces)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
@@ -131,7 +132,7 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.clear()
         known = self.known
-        index = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        index = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(index < 0)
         if len(new):
             index[new] = self.learn([words[i] for i in new.tolist()])
