@@ -39,9 +39,11 @@ def language_features(df: DataFrame, entity: str, title: str, body: str) -> Data
 
 def cross_modal_features(df: DataFrame, entity: str, title: str, body: str, product: str, category: str) -> DataFrame:
     """Bigram Jaccard indices between title, text and product, and whether a category term occurs in title and text."""
-    occurs = lambda c: F.exists(text.category_pieces(F.col(category)), lambda x: text.contains(F.col(c), x) == 1).cast("int")
+    occurs = lambda c: F.exists("_pieces", lambda x: text.contains_bare(F.col(f"_bare_{c}"), x) == 1).cast("int")
     pairs = {"title_text": (title, body), "title_product": (title, product), "text_product": (body, product)}
-    df = df.withColumns({f"_grams_{c}": text.char_ngrams(F.col(c)) for c in (title, body, product)})  # each set is made once
+    # bare texts, pieces and sets of grams are columns, each made once
+    df = df.withColumns({"_pieces": F.transform(text.category_pieces(F.col(category)), text.bare), **{f"_bare_{c}": text.bare(F.col(c)) for c in (title, body, product)}})
+    df = df.withColumns({f"_grams_{c}": text.ngrams_in_bare(F.col(f"_bare_{c}")) for c in (title, body, product)})
     indices = [F.round(text.jaccard(F.col(f"_grams_{a}"), F.col(f"_grams_{b}")), 6).alias(f"{k}_jaccard") for k, (a, b) in pairs.items()]
     wide = df.select(entity, *indices, occurs(title).alias("category_in_title"), occurs(body).alias("category_in_text"))
     return wide.withColumn("consistency_score", F.round((F.col("title_text_jaccard") + F.col("title_product_jaccard") + F.col("text_product_jaccard") + F.col("category_in_title") + F.col("category_in_text")) / 5, 6))

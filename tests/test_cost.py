@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers, text
-from sparkloom.plans import replies, staged
+from sparkloom.plans import pipelines, replies, staged
 from sparkloom.sources import sinks
 
 
@@ -61,3 +61,9 @@ def test_patterns_of_texts_test_no_ascii_ranges_and_mean_the_same(spark):
     for name, (new, old) in pairs.items():
         for row in df.select("told", new.alias("new"), old.alias("old")).collect():
             assert row["new"] == row["old"], (name, row["told"][:40])
+
+
+def test_cross_modal_features_make_bare_texts_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "A-b c", "c", "b/cc")], "id bigint, title string, body string, product string, category string")
+    plan = pipelines.cross_modal_features(docs, "id", "title", "body", "product", "category")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 5  # three texts, and pieces of the category: to choose them and to look for them
