@@ -40,6 +40,14 @@ def marked_conflicts(df: DataFrame, target: list[str], value: str, order: list[s
     return first.withColumn("duplicate", ~F.col("_is")).withColumn("conflict", ~F.col("_of.v").eqNullSafe(F.col(value))).drop("_is", "_of")
 
 
+def conflict_counts(df: DataFrame, target: list[str], value: str, order: list[str]) -> DataFrame:
+    """One row: rows (n), and how many marked_conflicts would mark as duplicate (n_duplicate) and conflict (n_conflict), from folds alone."""
+    alike = df.groupBy(*target, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_o"))
+    of = alike.groupBy(*target).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_values"), F.min_by("_n", "_o").alias("_same"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return of.agg(total("_all").alias("n"), total(F.col("_all") - F.col("_values")).alias("n_duplicate"), total(F.col("_all") - F.col("_same")).alias("n_conflict"))
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -19,9 +19,9 @@ ANSWERS = ("it costs 9", "probably cheap if asked", "sales went up", "a cup " *
 TIERS = ("Gold-A", "Gold-B", "Silver", "Rejected")
 
 
-def bank(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def bank(spark, d, kept=lambda units: units) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Evidence, cues, relations and items; some items break a rule."""
-    evidence = graph.units(spark, d)
+    evidence = kept(graph.units(spark, d))
     cues = graph.cues(evidence)
     relations = graph.relations(cues)
     n = F.col("event_id")
@@ -59,7 +59,7 @@ def built_specs(spark, d):
 
 def bank_audit(spark, d):
     """The metrics of the bank, with translations that are current, stale or not audited."""
-    evidence, cues, relations, made = (cut(df, "bank") for df in bank(spark, d))  # as a bank's tables are: written once, read by every metric
+    evidence, cues, relations, made = bank(spark, d, lambda units: cut(units, "units"))  # the window of each user is written once; the rest are columns of it
     n = F.col("event_id")
     payload = F.when(F.pmod(F.col("video_id").cast("bigint"), F.lit(9)) == 0, '{"sales": 3}').otherwise("{}")
     videos = table(spark, d, "events").select(F.col("user_id").cast("string").alias("video_id")).distinct().select("video_id", F.pmod(F.col("video_id").cast("bigint"), F.lit(3)).alias("n_abstentions"), payload.alias("payload"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import nested, numbers, text
 from ..operators import aggregates, joins, rules, windows
-from ..sources import sinks
 from .evidence import ASSERTIONS, WORD, mentions, with_references
 
 # Task, capability, what it needs of the graph, and its reasoning operator.
@@ -282,11 +281,13 @@ def translation_metrics(sources: list[tuple[DataFrame, str, str, str]], translat
     for df, kind, key, field in sources:
         part = df.select(F.lit(kind).alias("object_type"), text.clean(F.col(key)).alias("object_id"), F.lit(field).alias("source_field"), text.clean(F.col(field)).alias("_text")).filter("_text <> '' AND object_id <> ''")
         wanted = part if wanted is None else wanted.unionByName(part)
-    of = ["object_type", "object_id", "source_field"]
-    wanted = wanted.groupBy(*of).agg(F.sha2(F.max("_text"), 256).alias("_digest"))
-    first = translations.groupBy(*of).agg(F.min_by(F.struct("audit_only", "source_sha256"), "row_ord").alias("_t"))
-    joined = wanted.join(first, of, "left")
-    current = F.coalesce(F.col("_t.audit_only") & (F.col("_t.source_sha256") == F.col("_digest")), F.lit(False))
+    of = ["object_id", "object_type", "source_field"]  # ids first: a sort looks at the others only where they are equal
+    told = F.struct("audit_only", "source_sha256")
+    given = translations.select(*[F.col(c).cast("string").alias(c) for c in of], told.alias("_t"), "row_ord")
+    # both meet in one exchange; keys hardly repeat, so nothing is folded before it
+    met = wanted.unionByName(given, allowMissingColumns=True).repartition(*of).groupBy(*of).agg(F.max("_text").alias("_text"), F.min_by("_t", "row_ord").alias("_t"))
+    joined = met.filter("_text IS NOT NULL")
+    current = F.coalesce(F.col("_t.audit_only") & (F.col("_t.source_sha256") == F.sha2("_text", 256)), F.lit(False))
     return joined.agg(aggregates.rounded_ratio(F.count_if(current), F.count(F.lit(1))).alias("audit_translation_coverage"), F.count_if(F.col("_t").isNotNull() & ~current).alias("audit_translation_stale_count"))
 
 
@@ -294,49 +295,79 @@ def share(when: Column) -> Column:
     return aggregates.rounded_ratio(F.count_if(when), F.count(F.lit(1)))
 
 
+def broken_references(owners: list[tuple[str, DataFrame, dict[str, Column]]], targets: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """owner, row (any number), kind: a row for each reference without a target, or with one of another video.
+
+    owners: (owner, table, ids by kind); targets: table and id column by kind. All references are one long table and meet all targets in one join; no group is made
+    of those that hold.
+    """
+    refs = there = None
+    for owner, df, ids in owners:
+        numbered = df.select(F.monotonically_increasing_id().alias("row"), "video_id", F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("ids")) for kind, c in ids.items()]).alias("_ids"))
+        part = numbered.select("row", "video_id", F.inline("_ids")).select(F.lit(owner).alias("owner"), "row", "video_id", "kind", F.explode(F.array_distinct("ids")).alias("ref"))
+        refs = part if refs is None else refs.unionByName(part)
+    for kind, (df, key) in targets.items():
+        part = df.select(F.lit(kind).alias("kind"), F.col(key).alias("ref"), F.col("video_id").alias("_of"))
+        there = part if there is None else there.unionByName(part)
+    return refs.join(there, ["ref", "kind"], "left").filter(F.col("_of").isNull() | (F.col("_of") != F.col("video_id"))).select("owner", "row", "kind")
+
+
 def audit_bank(videos: DataFrame, items: DataFrame, evidence: DataFrame, cues: DataFrame, relations: DataFrame, translations: DataFrame) -> DataFrame:
     """The 25 metrics of a bank as rows (metric, value).
 
-    videos: video_id, n_abstentions, payload (JSON). items: as in checked_items, with question_intent and the order of the bank in item_id. Each entity is joined once with what
-    it refers to and aggregated once; duplicates and conflicts compare task, capability, target and gold value within a video.
+    videos: video_id, n_abstentions, payload (JSON). items: as in checked_items, with question_intent and the order of the bank in item_id. References of all entities meet
+    what they refer to in one join, and only counts are made of them; duplicates and conflicts compare task, capability, target and gold value within a video.
     """
-    refs = with_references(items, "item_id", "evidence_ids", evidence)
-    refs = found_refs(found_refs(refs, "item_id", "commerce_cue_ids", cues, "cue_id", "cue"), "item_id", "commercial_relation_ids", relations, "relation_id", "relation")
-    refs = sinks.cut(refs, "refs")  # read by the folds of targets and values
-    refs = windows.marked_conflicts(refs, ["video_id", "task_type", "task_subtype", "target"], "gold_value", ["item_id"])
-    held = lambda c, p: (F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0) & (F.coalesce(F.col(f"{p}_lost"), F.lit(0)) == 0)
-    closed_refs = (F.col("n_refs") > 0) & (F.col("n_missing") == 0) & (F.col("n_foreign") == 0)
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>")))
     chinese = sum((text.contains_cjk(F.col(c)).cast("int") for c in ("target", "gold_value", "question_intent")), F.lit(0))
     cm, tier = F.col("task_type") == "CM", F.col("gold_tier")
+    n_refs = F.when(F.col("item_id").isNotNull(), F.size(F.array_distinct("evidence_ids"))).otherwise(0)
     number = lambda c: F.count_if(c).cast("double")
-    of_items = refs.agg(
+    of_items = items.agg(
         F.count(F.lit(1)).cast("double").alias("item_count"), *[number(F.col("task_type") == t).alias(f"item_count_{t}") for t in LONGEST],
         *[number(tier == t).alias(f"item_count_{q}") for q, t in (("DIRECT", "Gold-A"), ("INFERRED", "Gold-B"), ("NEEDS_REVIEW", "Silver"), ("REJECTED", "Rejected"))],
-        share(closed_refs).alias("evidence_coverage"), aggregates.rounded_ratio(F.count_if(cm & (F.col("n_refs") >= 2)), F.count_if(cm)).alias("cross_modal_coverage"),
-        share(F.col("duplicate")).alias("duplicate_rate"), share(F.col("conflict")).alias("conflict_rate"), share(tier == "Silver").alias("needs_review_rate"), share(F.col("review_status") == "human_accepted").alias("human_review_rate"),
-        share(held("commerce_cue_ids", "cue")).alias("commerce_cue_coverage"), share(held("commercial_relation_ids", "relation")).alias("commercial_relation_coverage"),
+        aggregates.rounded_ratio(F.count_if(cm & (n_refs >= 2)), F.count_if(cm)).alias("cross_modal_coverage"),
+        share(tier == "Silver").alias("needs_review_rate"), share(F.col("review_status") == "human_accepted").alias("human_review_rate"),
         share((text.clean(F.col("capability")) != "") & (text.clean(F.col("reasoning_operator")) != "")).alias("capability_operator_coverage"), F.coalesce(F.sum(chinese), F.lit(0)).alias("_zh"),
     )
+    alike = windows.conflict_counts(items, ["video_id", "task_type", "task_subtype", "target"], "gold_value", ["item_id"])
+    of_groups = alike.select(aggregates.rounded_ratio(F.col("n_duplicate"), F.col("n")).alias("duplicate_rate"), aggregates.rounded_ratio(F.col("n_conflict"), F.col("n")).alias("conflict_rate"))
+    # what each entity refers to at all, less what of it is broken
+    cited = size("evidence_ids") > 0
+    ended = (size("source_cue_ids") > 0) & (size("target_cue_ids") > 0)
+    known = lambda df, key: df.filter(F.col(key).isNotNull())
+    broken = broken_references([
+        ("item", known(items, "item_id"), {"evidence": F.col("evidence_ids"), "cue": F.col("commerce_cue_ids"), "relation": F.col("commercial_relation_ids")}), ("cue", known(cues, "cue_id"), {"evidence": F.col("evidence_ids")}),
+        ("relation", known(relations, "relation_id").filter(cited & ended), {"cue": F.concat("source_cue_ids", "target_cue_ids"), "evidence": F.col("evidence_ids")}),
+    ], {"evidence": (evidence, "evidence_id"), "cue": (cues, "cue_id"), "relation": (relations, "relation_id")})
+    one = lambda *when: F.coalesce(F.max(F.when(F.col("kind").isin(*when), 1)), F.lit(0))
+    rows = broken.groupBy("row", "owner").agg(one("evidence").alias("evidence"), one("cue").alias("cue"), one("relation").alias("relation"), F.lit(1).alias("any"))
+    lost = lambda owner, kind: F.count_if((F.col("owner") == owner) & (F.col(kind) == 1))
+    losses = rows.agg(lost("item", "evidence").alias("_item"), lost("item", "cue").alias("_with_cue"), lost("item", "relation").alias("_with_relation"), lost("cue", "evidence").alias("_cue"), lost("relation", "any").alias("_relation"))
+    asked = items.agg(F.count(F.lit(1)).alias("_items"), F.count_if(F.col("item_id").isNotNull() & cited).alias("_of_item"), F.count_if(size("commerce_cue_ids") > 0).alias("_of_cue"), F.count_if(size("commercial_relation_ids") > 0).alias("_of_relation"))
+    asked = asked.crossJoin(cues.agg(F.count(F.lit(1)).alias("_cues"), F.count_if(F.col("cue_id").isNotNull() & cited).alias("_of_cues")))
+    asked = asked.crossJoin(relations.agg(F.count(F.lit(1)).alias("_relations"), F.count_if(F.col("relation_id").isNotNull() & cited & ended).alias("_of_relations"))).crossJoin(losses)  # rows of one line
+    held = lambda of, gone, total: aggregates.rounded_ratio(F.col(of) - F.col(gone), F.col(total))
+    of_refs = asked.select(
+        held("_of_item", "_item", "_items").alias("evidence_coverage"), held("_of_cue", "_with_cue", "_items").alias("commerce_cue_coverage"), held("_of_relation", "_with_relation", "_items").alias("commercial_relation_coverage"),
+        held("_of_cues", "_cue", "_cues").alias("commerce_cue_evidence_validity"), held("_of_relations", "_relation", "_relations").alias("commercial_relation_validity"),
+    )
     have = items.filter(F.col("task_type").isin("BP", "CM")).select("video_id", "task_type").distinct().groupBy("video_id").agg(F.count(F.lit(1)).alias("_have"))
     of_videos = videos.join(have, "video_id", "left").agg(
         F.count(F.lit(1)).cast("double").alias("video_count"), F.coalesce(F.sum("n_abstentions"), F.lit(0)).cast("double").alias("abstention_count"), number(F.coalesce("_have", F.lit(0)) < 2).alias("videos_missing_required_tasks"),
         number(nested.has_private_key(F.col("payload"))).alias("private_field_leakage"),
     )
-    cue_refs = with_references(cues, "cue_id", "evidence_ids", evidence)
-    of_cues = cue_refs.agg(F.count(F.lit(1)).cast("double").alias("commerce_cue_count"), share(closed_refs).alias("commerce_cue_evidence_validity"), F.count_if(text.contains_cjk(F.col("content_en"))).alias("_zh"))
-    ends = found_refs(relations.withColumn("_ends", F.concat("source_cue_ids", "target_cue_ids")), "relation_id", "_ends", cues, "cue_id", "end")
-    ends = with_references(ends, "relation_id", "evidence_ids", evidence)
-    met = (F.size("source_cue_ids") > 0) & (F.size("target_cue_ids") > 0) & (F.coalesce("end_lost", F.lit(0)) == 0) & (F.coalesce("end_other", F.lit(0)) == 0)
+    of_cues = cues.agg(F.count(F.lit(1)).cast("double").alias("commerce_cue_count"), F.count_if(text.contains_cjk(F.col("content_en"))).alias("_zh"))
     causal = F.upper("relation_type").isin("INCREASES_TRUST", "CAUSES_PURCHASE", "IMPROVES_CONVERSION") | mentions(F.col("rationale_en"), ("causes purchase", "improves conversion", "increases trust", "causes sales"))
-    of_relations = ends.agg(
-        F.count(F.lit(1)).cast("double").alias("commercial_relation_count"), share(met & closed_refs).alias("commercial_relation_validity"),
+    of_relations = relations.agg(
+        F.count(F.lit(1)).cast("double").alias("commercial_relation_count"),
         share(F.upper(text.clean(F.col("provenance"))).isin("THEORY_DIRECT", "THEORY_OPERATIONALIZED", "BENCHMARK_OPERATIONAL")).alias("relation_provenance_validity"), number(causal).alias("causal_outcome_relation_count"),
         F.count_if(text.contains_cjk(F.col("rationale_en"))).alias("_zh"),
     )
     of_evidence = evidence.agg(F.count_if(text.contains_cjk(F.col("content_en"))).alias("_zh"))
     told = translation_metrics([(evidence, "evidence_unit", "evidence_id", "content_en"), (cues, "commerce_cue", "cue_id", "content_en"), (relations, "commercial_relation", "relation_id", "rationale_en")], translations)
     rows = None
-    for one in (of_items, of_videos, of_cues, of_relations, of_evidence, told):
+    for one in (of_items, of_groups, of_refs, of_videos, of_cues, of_relations, of_evidence, told):
         long = one.select(*[F.col(c).cast("double").alias(c) for c in one.columns]).unpivot([], one.columns, "metric", "value")
         rows = long if rows is None else rows.unionByName(long)
     name = F.when(F.col("metric") == "_zh", "canonical_chinese_field_count").otherwise(F.col("metric"))

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers, text
-from sparkloom.plans import pipelines, replies, staged
+from sparkloom.operators import windows
+from sparkloom.plans import item_queries, items, pipelines, replies, staged
 from sparkloom.sources import sinks
 
 
@@ -67,3 +68,23 @@ def test_cross_modal_features_make_bare_texts_once(spark):
     docs = spark.createDataFrame([(1, "a b", "A-b c", "c", "b/cc")], "id bigint, title string, body string, product string, category string")
     plan = pipelines.cross_modal_features(docs, "id", "title", "body", "product", "category")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 5  # three texts, and pieces of the category: to choose them and to look for them
+
+
+def test_audit_meets_all_references_in_one_join(spark):
+    plan = item_queries.bank_audit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "Window" not in plan  # references, and videos with their tasks
+
+
+def test_counts_of_conflicts_are_those_of_marked_rows(spark):
+    rows = [("a", "x", 2), ("a", "x", 1), ("a", "y", 3), ("a", None, 4), ("b", None, 1), ("b", "x", 2), ("b", None, None), (None, "x", 1), (None, "x", 1), (None, "z", 2), ("c", "x", 1)]
+    df = spark.createDataFrame(rows, "t string, v string, i int")
+    marked = windows.marked_conflicts(df, ["t"], "v", ["i"]).collect()
+    for part, want in ((df, (11, sum(r["duplicate"] for r in marked), sum(r["conflict"] for r in marked))), (df.limit(0), (0, 0, 0))):
+        assert tuple(windows.conflict_counts(part, ["t"], "v", ["i"]).first()) == want
+
+
+def test_an_entity_is_broken_once_however_many_references_are(spark):
+    refs = spark.createDataFrame([("v", ["e1", "e1"], ["c1"]), ("v", ["e9", "e8"], ["c9"]), ("v", ["e2"], []), ("w", None, ["c1", "c1"])], "video_id string, units array<string>, cues array<string>")
+    there = lambda name: spark.createDataFrame([(f"{name}1", "v"), (f"{name}2", "w")], "id string, video_id string")
+    broken = items.broken_references([("r", refs, {"unit": refs.units, "cue": refs.cues}), ("s", refs, {"unit": refs.units})], {"unit": (there("e"), "id"), "cue": (there("c"), "id")}).collect()
+    assert sorted((r["owner"], r["kind"]) for r in broken) == [("r", "cue"), ("r", "cue"), *[("r", "unit")] * 3, *[("s", "unit")] * 3] and len({r["row"] for r in broken if r["owner"] == "r"}) == 3
