@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers, text
 from sparkloom.operators import windows
-from sparkloom.plans import item_queries, items, pipelines, replies, staged
+from sparkloom.plans import item_queries, items, pipelines, replies, staged, verification
 from sparkloom.sources import sinks
 
 
@@ -88,3 +88,20 @@ def test_an_entity_is_broken_once_however_many_references_are(spark):
     there = lambda name: spark.createDataFrame([(f"{name}1", "v"), (f"{name}2", "w")], "id string, video_id string")
     broken = items.broken_references([("r", refs, {"unit": refs.units, "cue": refs.cues}), ("s", refs, {"unit": refs.units})], {"unit": (there("e"), "id"), "cue": (there("c"), "id")}).collect()
     assert sorted((r["owner"], r["kind"]) for r in broken) == [("r", "cue"), ("r", "cue"), *[("r", "unit")] * 3, *[("s", "unit")] * 3] and len({r["row"] for r in broken if r["owner"] == "r"}) == 3
+
+
+def test_calls_and_replies_are_made_once(spark):
+    contexts = spark.createDataFrame([(f"r{i}", "v", "c", [i]) for i in range(30)], "relation_id string, video_id string, claim string, frames array<int>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def ask(calls):
+        def answered(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        reply = F.to_json(F.struct(F.transform("relations", lambda r: F.struct(r["relation_id"], F.lit("PASS").alias("verdict"), F.lit("seen").alias("reason"))).alias("verifications")))
+        return calls.select("call", F.lit(True).alias("success"), reply.alias("reply")).mapInPandas(answered, "call string, success boolean, reply string")
+
+    done = verification.verified_relations(contexts, ask).collect()
+    assert {r["verdict"] for r in done} == {"PASS"} and len(done) == 30 and seen.value == verification.verification_calls(contexts).count()
