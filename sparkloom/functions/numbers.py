@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 from .text import BLANKS, bound, clean
 
-DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+UNITS = "%wW万亿kK"
+# to the very end: `$` would let a line end follow
+NUMBER = rf"^[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)[{UNITS}]?\z"
+DAY = r"^[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}\z"
+TWO_DIGITS = [f"{n:02d}" for n in range(60)]
 ALLOWED_SCORES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def _single(t: Column) -> Column:
     """One number with an optional percent sign or unit suffix, of text without blanks; null if it is none."""
-    unit = F.right(t, F.lit(1))
-    stem = F.when(unit.isin("%", "w", "W", "万", "亿", "k", "K"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    value = F.when(stem.rlike(DECIMAL), stem.cast("double"))
-    # divide for percent, so that 12.5% is exactly 12.5 / 100
-    return F.when(unit == "%", value / 100).when(unit.isin("w", "W", "万"), value * 1e4).when(unit == "亿", value * 1e8).when(unit.isin("k", "K"), value * 1e3).otherwise(value)
+
+    def value(unit: Column) -> Column:
+        stem = F.substring(t, F.lit(1), F.length(t) - 1).cast("double")
+        # divide for percent, so that 12.5% is exactly 12.5 / 100
+        return F.when(unit == "%", stem / 100).when(unit.isin("w", "W", "万"), stem * 1e4).when(unit == "亿", stem * 1e8).when(unit.isin("k", "K"), stem * 1e3).otherwise(t.cast("double"))
+
+    return F.when(t.rlike(NUMBER), bound(F.substring(t, -1, 1), value))
 
 
 def parse_number(c: Column) -> Column:
@@ -31,8 +37,9 @@ def parse_number(c: Column) -> Column:
     def number(t: Column) -> Column:
         return F.when(t.contains("~"), bound(F.filter(F.transform(F.split(t, "~"), _single), lambda x: x.isNotNull()), mean)).otherwise(_single(t))
 
-    # no missing token looks like a number
-    return bound(F.translate(c.cast("string"), ",，" + BLANKS, ""), number)
+    # most numbers have neither commas nor blanks, and text without a digit is none; no missing token looks like a number
+    spaced = lambda t: F.when(t.rlike("[0-9]"), bound(F.translate(t, ",，" + BLANKS, ""), number))
+    return bound(c.cast("string"), lambda t: F.coalesce(_single(t), spaced(t)))
 
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -74,10 +81,23 @@ def _dated(t: Column, sign: str) -> Column:
     return F.when(t.rlike(rf"{re.escape(sign)}[0-9]{{2}}{re.escape(sign)}[0-9]{{2}}$"), F.try_to_date(t, sign.join(("yyyy", "MM", "dd"))))
 
 
+def _plain_day(t: Column) -> Column:
+    """yyyy-MM-dd of a date with a year of four digits and one sign between its parts, else null; a cast takes a tenth of a formatter's time."""
+    dashed = F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 6, 2), F.lit("-"), F.substring(t, 9, 2))
+    return F.when(t.rlike(DAY) & dashed.try_cast("date").isNotNull(), dashed)
+
+
 def iso_week(c: Column) -> Column:
     """First ten characters as a date to YYYY-Www, else unknown."""
-    day = _dated(F.substring(c.cast("string"), 1, 10), "-")
-    return F.when(day.isNull(), "unknown").otherwise(F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day), F.weekofyear(day)))
+
+    def week(day: Column) -> Column:
+        year, n = F.extract(F.lit("YEAROFWEEK"), day), F.weekofyear(day)
+        plain = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-W"), F.lpad(n.cast("string"), 2, "0"))
+        return F.when(day.isNull(), "unknown").when(year < 0, F.format_string("%04d-W%02d", year, n)).otherwise(plain)
+
+    # ten characters with two dashes leave four for the year
+    dated = lambda t: F.when(t.rlike(DAY) & t.contains("-"), t.try_cast("date"))
+    return bound(bound(F.substring(c.cast("string"), 1, 10), dated), week)
 
 
 def parse_date(c: Column) -> Column:
@@ -88,22 +108,25 @@ def parse_date(c: Column) -> Column:
         return F.coalesce(F.coalesce(*[_dated(t, sign) for sign in "-/."], plain).cast("string"), t)
 
     counted = lambda n: F.when(n.isNotNull(), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int")).cast("string"))
-    return F.coalesce(bound(parse_number(c), counted), bound(clean(c), written))
+    # no plain day is a number
+    quick = lambda t: F.coalesce(_plain_day(t), bound(parse_number(t), counted))
+    return F.coalesce(bound(c.cast("string"), quick), bound(clean(c), written))
 
 
 def parse_time(c: Column) -> Column:
     """Day fractions to H:MM:SS (24:00 wraps), written times normalised, else empty."""
 
     def clock(seconds: Column) -> Column:
-        two = lambda n: F.lpad(n.cast("bigint").cast("string"), 2, "0")
-        return F.concat_ws(":", two(F.floor(seconds / 3600)), two(F.floor(F.pmod(seconds, F.lit(3600)) / 60)), two(F.pmod(seconds, F.lit(60))))
+        two = lambda n: F.get(F.array(*[F.lit(x) for x in TWO_DIGITS]), n.cast("int"))
+        return F.concat_ws(":", two(seconds / 3600), two(seconds % 3600 / 60), two(seconds % 60))
 
     def counted(fraction: Column) -> Column:
         seconds = F.pmod(F.round((fraction - F.floor(fraction)) * 86_400).cast("bigint"), F.lit(86_400))
         return F.when(fraction.isNotNull(), bound(seconds, clock))
 
     written = lambda t: F.when(t.rlike(r"^\d{1,2}:\d{2}:\d{2}$"), t).when(t.rlike(r"^\d{1,2}:\d{2}$"), F.concat(t, F.lit(":00")))
-    return F.coalesce(bound(clean(c), written), bound(parse_number(c), counted), F.lit(""))
+    # no written time is a number
+    return F.coalesce(bound(parse_number(c), counted), bound(clean(c), written), F.lit(""))
 
 
 def confidence(c: Column) -> Column:

@@ -102,6 +102,16 @@ def unpivoted(df: DataFrame, key: list[str], values: list[str], name: str, value
     return df.unpivot(key, values, name, value)
 
 
+def by_distinct(df: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
+    """df with columns that follow from keys alone, worked out once for each of their distinct values; null keys count as equal.
+
+    The values are broadcast, so they are to be of a bounded domain (days, shares of a day, sizes), however many rows there are.
+    """
+    made = df.select(*keys).distinct().select(*[F.col(k).alias(f"_{k}") for k in keys], *columns)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(F.broadcast(made), same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def any_of(*conditions: Column) -> Column:
     out = F.lit(False)
     for c in conditions:

@@ -62,8 +62,12 @@ def parsed_numbers(spark, d):
 
 
 def order_dates(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("slashed"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("string").alias("serial"), F.pmod("o_orderkey", F.lit(96)).alias("q"))
-    return o.select("o_orderkey", numbers.iso_week(F.col("day")).alias("week"), numbers.parse_date(F.col("slashed")).alias("written"), numbers.parse_date(F.col("serial")).alias("counted"), numbers.parse_date(F.lit("soon")).alias("other"), numbers.parse_time((F.col("q") / 96).cast("string")).alias("clock"))
+    # days and shares of a day are few, so each is written and parsed once
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"), F.pmod("o_orderkey", F.lit(96)).alias("q"))
+    day, slashed = F.date_format("date", "yyyy-MM-dd"), F.date_format("date", "yyyy/MM/dd")
+    serial = F.datediff(F.col("date"), F.lit("1899-12-30").cast("date")).cast("string")
+    dated = joins.by_distinct(o, ["date"], [numbers.iso_week(day).alias("week"), numbers.parse_date(slashed).alias("written"), numbers.parse_date(serial).alias("counted"), numbers.parse_date(F.lit("soon")).alias("other")])
+    return joins.by_distinct(dated, ["q"], [numbers.parse_time((F.col("q") / 96).cast("string")).alias("clock")]).drop("date", "q")
 
 
 def number_expressions(spark, d):

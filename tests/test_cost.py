@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers, text
-from sparkloom.operators import windows
-from sparkloom.plans import item_queries, items, pipelines, replies, staged, verification
+from sparkloom.operators import joins, windows
+from sparkloom.plans import item_queries, items, pipelines, queries, replies, staged, verification
 from sparkloom.sources import sinks
 
 
@@ -24,6 +24,31 @@ def test_parts_of_a_span_are_worked_out_once(spark):
     assert str(numbers.parse_number(F.col("told"))).count("split(") == 1
 
 
+def parsed_at(query) -> list[str]:
+    """The nodes of the plan that look for numbers in text."""
+    lines = query._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line.lstrip(" :+-").split(" ")[0] for line in lines if "RLIKE(" in line and line.lstrip(" :")[:1] in "+P"]
+
+
+def test_days_and_shares_of_a_day_are_parsed_once_each(spark):
+    assert parsed_at(queries.order_dates(spark, "/root/testdata/sf0.001")) == ["Aggregate", "Aggregate"]
+
+
+def test_columns_by_distinct_are_made_once_a_value(spark):
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(30)], "id int, k string").repartition(5)
+    rows = joins.by_distinct(df, ["k"], [F.coalesce("k", F.lit("none")).alias("shown"), F.uuid().alias("made")]).collect()
+    assert len(rows) == 30 and {(r["k"], r["shown"]) for r in rows} == {(None, "none"), ("a", "a"), ("b", "b")} and len({r["made"] for r in rows}) == 3
+
+
+def test_odd_dates_and_numbers_mean_the_same(spark):
+    dates = {"2024-02-30": "2024-02-30", "2024/02/29": "2024-02-29", "2024.01-01": "2024.01-01", "+12024-01-01": "+12024-01-01", "0000-01-01": "0000-01-01", " 2024/04/05\n": "2024-04-05", "1,0 0": "1900-04-09", "20240101x": "20240101x", "": ""}
+    numbers_ = {"12\n": 12.0, "5%\u2028": 0.05, "1~": 1.0, "~": None, "1d": None, "1e3": None, "..5": None, "+.5": 0.5, "x~5%~1": 0.525, "- 3 ，0 k": -30_000.0}
+    weeks = {"0000-01-01": "-001-W52", "2024/01/01": "unknown", "99-01-01\n1": "unknown", "2024-12-30 12:00": "2025-W01"}
+    for make, cases in ((numbers.parse_date, dates), (numbers.parse_number, numbers_), (numbers.iso_week, weeks)):
+        df = spark.createDataFrame([(x,) for x in cases], "told string")
+        assert {r[0]: r[1] for r in df.select("told", make(F.col("told"))).collect()} == cases
+
+
 def test_units_of_replies_are_parsed_once(spark, tmp_path, monkeypatch):
     plans, plain = {}, sinks.written_once
 
