@@ -56,9 +56,12 @@ def tagged_answers(spark, d):
 
 
 def parsed_numbers(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("s"), F.format_number("p_retailprice", 2).alias("price"))
-    forms = p.select("p_partkey", "price", F.concat("s", F.lit("%")).alias("percent"), F.concat("s", F.lit("w")).alias("wan"), F.concat("s", F.lit(" K")).alias("kilo"), F.concat("s", F.lit("~"), F.col("s").cast("int") + 2).alias("span"), F.concat(F.lit("x~"), "s").alias("half"), F.lit("N/A").alias("missing"), F.concat("s", F.lit("e3")).alias("exponent"))
-    return forms.select("p_partkey", *[F.round(numbers.parse_number(F.col(c)), 6).alias(c) for c in forms.columns[1:]])
+    # sizes are few, so what they are written as is parsed once each; prices are the row's own
+    p, s = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), F.col("p_size").cast("string")
+    forms = {"percent": F.concat(s, F.lit("%")), "wan": F.concat(s, F.lit("w")), "kilo": F.concat(s, F.lit(" K")), "span": F.concat(s, F.lit("~"), s.cast("int") + 2), "half": F.concat(F.lit("x~"), s), "missing": F.lit("N/A"), "exponent": F.concat(s, F.lit("e3"))}
+    number = lambda name, c: F.round(numbers.parse_number(c), 6).alias(name)
+    sized = joins.by_distinct(p, ["p_size"], [number(name, c) for name, c in forms.items()])
+    return sized.select("p_partkey", number("price", F.format_number("p_retailprice", 2)), *forms)
 
 
 def order_dates(spark, d):

@@ -34,6 +34,10 @@ def test_days_and_shares_of_a_day_are_parsed_once_each(spark):
     assert parsed_at(queries.order_dates(spark, "/root/testdata/sf0.001")) == ["Aggregate", "Aggregate"]
 
 
+def test_what_sizes_are_written_as_is_parsed_once_each(spark):
+    assert parsed_at(queries.parsed_numbers(spark, "/root/testdata/sf0.001")) == ["Project", "Aggregate"]  # prices are the row's own
+
+
 def test_columns_by_distinct_are_made_once_a_value(spark):
     df = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(30)], "id int, k string").repartition(5)
     rows = joins.by_distinct(df, ["k"], [F.coalesce("k", F.lit("none")).alias("shown"), F.uuid().alias("made")]).collect()
