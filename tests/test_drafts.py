@@ -40,6 +40,41 @@ def test_relations_take_the_evidence_of_their_ends_in_order(spark):
     assert {r["ordinal"]: r["refused"] for r in refused.collect()} == {2: "MISSING_ENDPOINT", 3: "UNKNOWN_RELATION_TYPE", 4: "NON_ENGLISH_RATIONALE"}
 
 
+PROPOSAL = "video_id string, ordinal bigint, generator string, task_type string, task_subtype string, target string, proposed_gold string, commerce_cue_ids array<string>, commercial_relation_ids array<string>, evidence_ids array<string>, reasoning_edges array<array<string>>, question_intent string, forbidden_inferences array<string>, assertion_scope string, proposal_id string"
+
+
+def proposal(ordinal, cues=(), relations=(), ids=("e9", None, "e3"), target='{"a": "x"}', video="v", generator=" CM_proposer", edges=None):
+    as_list = lambda x: None if x is None else list(x)
+    return (video, ordinal, generator, "cm", "PARTIAL_SUPPORT", target, '{"b": 1}', as_list(cues), as_list(relations), as_list(ids), edges, None, None, None, None)
+
+
+def test_proposals_with_lost_foreign_and_null_references(spark):
+    units = spark.createDataFrame([("e1", "v"), ("e2", "v"), ("e3", "v"), ("e4", "w"), (None, "v")], "evidence_id string, video_id string")
+    cues = spark.createDataFrame([("c1", "v", ["e2", None, "e4", "e1"], None, "said"), ("c2", "v", None, "HYPOTHETICAL", None), ("c3", "w", ["e4"], None, "x")], "cue_id string, video_id string, evidence_ids array<string>, assertion_scope string, content_en string")
+    relations = spark.createDataFrame([("r1", "v", ["e1", "e3"], "CONDITIONAL", "so", "UNCLEAR"), ("c1", "w", [], None, "x", None)], "relation_id string, video_id string, evidence_ids array<string>, assertion_scope string, rationale_en string, status string")
+    rows = [
+        proposal(0, ["c1", " c1", None, "c2"], ["r1"]), proposal(1, None, None, None, edges=[["a", "b  c", "d", "e"], ["a"]]), proposal(2, ["c7"]), proposal(3, ["c3"], ["r1"]), proposal(4, ["c1"], ["c1"]), proposal(5, ["c7"], target='{"a": "<x>"}'), proposal(6, target='{"a": ["<x>"]}'),
+        proposal(7, target='{"网": "网"}'), proposal(8, ["c7"], target="{}"), proposal(9, ["c7"], target=None), proposal(10, ["c7"], generator=None), proposal(11, ["c1"], video=None), proposal(12, ["c2"]),
+    ]
+    good, refused = drafts.normalized_proposals(spark.createDataFrame(rows, PROPOSAL), cues, relations, units)
+    kept = {r["ordinal"]: r for r in good.collect()}
+    assert {k: r["evidence_ids"] for k, r in kept.items()} == {0: ["e3", "e2", "e1"], 1: [], 11: [], 12: ["e3"]}
+    assert kept[0]["reasoning_edges"] == [["e2", "said", "SUPPORTED"], ["e1", "said", "SUPPORTED"], ["e1", "so", "UNCLEAR"], ["e3", "so", "UNCLEAR"]] and kept[1]["reasoning_edges"] == [["a", "b c", "d"]]
+    assert [kept[i]["assertion_scope"] for i in (0, 1, 12)] == ["HYPOTHETICAL", "OBSERVED_FACT", "HYPOTHETICAL"] and kept[0]["proposal_id"].startswith("v_cm_proposer_cm_000_")
+    want = {2: "CUE_NOT_FOUND", 3: "CUE_NOT_FOUND", 4: "RELATION_NOT_FOUND", 5: "CUE_NOT_FOUND", 6: "PLACEHOLDER_TEXT", 7: "NON_ENGLISH_TEXT", 8: "MISSING_TARGET", 9: "MISSING_TARGET", 10: "UNKNOWN_GENERATOR"}
+    assert {r["ordinal"]: r["refused"] for r in refused.collect()} == want
+    for df in drafts.normalized_proposals(spark.createDataFrame([], PROPOSAL), cues, relations, units):
+        assert df.count() == 0
+
+
+def test_reasons_of_proposals_are_worked_out_once(spark):
+    units = spark.createDataFrame([("e1", "v")], "evidence_id string, video_id string")
+    cues = spark.createDataFrame([], "cue_id string, video_id string, evidence_ids array<string>, assertion_scope string, content_en string")
+    relations = spark.createDataFrame([], "relation_id string, video_id string, evidence_ids array<string>, assertion_scope string, rationale_en string, status string")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in drafts.normalized_proposals(spark.createDataFrame([proposal(0)], PROPOSAL), cues, relations, units)]
+    assert not any("parse_json" in p.lower() or "parsejson" in p.lower() or "to_json" in p.lower() for p in plans) and "Join" not in plans[1]
+
+
 def test_leaves_of_odd_json(spark):
     texts = [None, "", "no json", "[]", '"one"', '{"a:": ":", "b": ["", "x\\\\"], "c": {"d": "\\u7f51"}}', '{"k": "' + "y" * 200_000 + '"}']
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(nested.leaves(F.col("t")).alias("l")).collect()
