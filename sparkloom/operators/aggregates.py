@@ -125,8 +125,10 @@ def tertile_thresholds(long: DataFrame, metric: str, value: str) -> DataFrame:
     return long.select(metric).distinct().join(group_quantiles(logged, [metric], "_log", [1 / 3, 2 / 3], ["q33", "q67"]), metric, "left")
 
 
-#: Distinct values of a group that one task resamples.
+#: Distinct values of a group that are resampled together.
 CHUNK_VALUES = 4096
+#: Up to so many rows a value, rows are drawn one by one; beyond, how often each value is drawn.
+ROWS_A_VALUE = 16
 
 
 def value_histogram(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -135,38 +137,47 @@ def value_histogram(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*group, v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def resampled_sums(values: np.ndarray, n: np.ndarray, path: list[int], seed: int, chunk: int, resamples: int) -> list[float]:
+    """What a chunk of a histogram adds to each resample's sum. path: the rows below each node of the tree from the root to the chunk."""
+    rows, depth = np.full(resamples, path[0], dtype=np.int64), len(path) - 1
+    for level in range(1, depth + 1):
+        node = chunk >> (depth - level)
+        all_, own = int(path[level - 1]), int(path[level])
+        right = bool(node & 1)
+        left = np.random.default_rng([seed, level, node >> 1]).binomial(rows, (all_ - own if right else own) / all_)
+        rows = rows - left if right else left
+    inside, total = np.random.default_rng([seed, chunk]), int(n.sum())
+    if total <= ROWS_A_VALUE * len(values):
+        each = np.repeat(values, n)
+        return [float(each.take(inside.integers(0, total, r, dtype=np.uint32)).sum()) for r in rows]
+    return [float(inside.multinomial(r, n / total) @ values) for r in rows]
+
+
 def bootstrap_interval(df: DataFrame, group: list[str], value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """group, n, mean, low, high: a percentile interval of the mean by resampling with replacement.
 
-    A resample of n rows is a multinomial draw over the histogram of values, so its cost follows the number of distinct values and not of rows. The
-    values of a group are dealt over chunks of about CHUNK_VALUES: first the rows of a resample are dealt over the chunks (each chunk repeats that draw, from
-    the same generator), then inside the chunk; sums of chunks add up to the resample. Bounds are the values at index floor((B - 1) * 0.025) and
-    floor((B - 1) * 0.975) of the sorted means. Draws follow from the seed and the group's values only. Groups without values give no rows.
+    A resample of n rows is a multinomial draw over the histogram of values. The values of a group are dealt over 2 ** depth chunks of about CHUNK_VALUES, the
+    leaves of a tree: the rows of a resample are halved down the tree by binomial draws (a chunk repeats the draws of the nodes above it, from the same
+    generators, so it needs no other chunk), then drawn inside the chunk; sums of chunks add up to the resample. Bounds are the values at index
+    floor((B - 1) * 0.025) and floor((B - 1) * 0.975) of the sorted means. Draws follow from the seed and the group's values only. Groups without values give no rows.
     """
     group_key = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in group])
-    counts = value_histogram(df, group, value)
-    sizes = counts.groupBy(*group).agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("value")).alias("_sum"), F.ceil(F.count(F.lit(1)) / CHUNK_VALUES).cast("int").alias("_chunks"))
-    same = F.lit(True)
-    for g in group:
-        same = same & F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}"))
-    dealt = counts.alias("c").join(sizes.alias("s"), same).select(*[F.col(f"c.{g}").alias(g) for g in group], "value", "n", "_n", "_sum", "_chunks").withColumn("_key", group_key)
-    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64("value"), F.col("_chunks")).cast("int"))
-    of_chunks = dealt.groupBy("_key", "_chunk").agg(F.sum("n").alias("m")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_chunk", "m"))).alias("_sizes"))
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
+    counts = value_histogram(df, group, value).withColumn("_key", group_key)
+    depth = F.ceil(F.log2(F.greatest(F.count(F.lit(1)) / CHUNK_VALUES, F.lit(1.0)))).cast("int")
+    sizes = counts.groupBy(*group, "_key").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("value")).alias("_sum"), depth.alias("_depth"))
+    dealt = counts.select("_key", "value", "n").join(sizes.select("_key", "_depth"), "_key").withColumn("_chunk", F.xxhash64("value").bitwiseAND(F.expr("shiftleft(1L, _depth) - 1")))
+    chunks = dealt.groupBy("_key", "_chunk", "_depth").agg(F.sum("n").alias("m"))
+    above = chunks.withColumn("_level", F.explode(F.sequence(F.lit(0), "_depth"))).withColumn("_node", F.expr("shiftright(_chunk, _depth - _level)"))
+    nodes = above.groupBy("_key", "_level", "_node").agg(F.sum("m").alias("rows"))
+    paths = above.join(nodes, ["_key", "_level", "_node"]).groupBy(F.col("_key").alias("_of"), F.col("_chunk").alias("_leaf")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_level", "rows"))), lambda x: x["rows"]).alias("path"))
+
+    def draw(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
-        sizes = np.array([c["m"] for c in first["_sizes"]], float)
-        place = [c["_chunk"] for c in first["_sizes"]].index(key[1])
-        rows = np.random.default_rng(int(key[0]) & (2**63 - 1)).multinomial(int(first["_n"]), sizes / sizes.sum(), resamples)[:, place]
-        inside = np.random.default_rng([int(key[0]) & (2**63 - 1), int(key[1])])
-        share, values = pdf["n"].to_numpy(float) / pdf["n"].sum(), pdf["value"].to_numpy(float)
-        sums = [float(inside.multinomial(r, share) @ values) for r in rows]
-        return pd.DataFrame({"_key": [key[0]], "_n": [first["_n"]], "_sum": [first["_sum"]], "sums": [sums]})
-
-    drawn = dealt.join(of_chunks, "_key").groupBy("_key", "_chunk").applyInPandas(draw, "_key bigint, _n bigint, _sum double, sums array<double>")
-    means = drawn.select("_key", "_n", F.posexplode("sums").alias("_b", "_s")).groupBy("_key", "_b").agg((F.sum("_s") / F.max("_n")).alias("_m"))
-    ordered = means.groupBy("_key").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))  # as many as resamples
-    at = lambda p: F.round(F.get("_ms", F.floor((F.size("_ms") - 1) * p).cast("int")), 6)
-    base = sizes.select(*group, F.col("_n").alias("n"), F.round(F.col("_sum") / F.col("_n"), 6).alias("mean"), group_key.alias("_key"))
-    return base.join(ordered.select("_key", at(0.025).alias("low"), at(0.975).alias("high")), "_key").drop("_key")
+        sums = resampled_sums(pdf["value"].to_numpy(float), pdf["n"].to_numpy(), above["path"].iloc[0], int(key[0]) & (2**63 - 1), int(key[1]), resamples)
+        return pd.DataFrame({"_key": [key[0]], "sums": [sums]})
+
+    drawn = dealt.select("_key", "_chunk", "value", "n").groupBy("_key", "_chunk").cogroup(paths.groupBy("_of", "_leaf")).applyInPandas(draw, "_key bigint, sums array<double>")
+    totals = drawn.select("_key", F.posexplode("sums").alias("_b", "_s")).groupBy("_key", "_b").agg(F.sum("_s").alias("_s"))
+    ordered = totals.groupBy("_key").agg(F.array_sort(F.collect_list("_s")).alias("_ss"))  # as many as resamples
+    at = lambda p: F.round(F.get("_ss", F.floor((F.size("_ss") - 1) * p).cast("int")) / F.col("_n"), 6)
+    return sizes.join(ordered, "_key").select(*group, F.col("_n").alias("n"), F.round(F.col("_sum") / F.col("_n"), 6).alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))

@@ -134,3 +134,9 @@ def test_calls_and_replies_are_made_once(spark):
 
     done = verification.verified_relations(contexts, ask).collect()
     assert {r["verdict"] for r in done} == {"PASS"} and len(done) == 30 and seen.value == verification.verification_calls(contexts).count()
+
+
+def test_resampled_rows_carry_their_value_only(spark):
+    plan = queries.bootstrap_means(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    drawn = plan.toString().partition("FlatMapCoGroupsInPandas")[2].splitlines()[1]
+    assert drawn.lstrip(" :+-").startswith("Project [_key") and [c.strip().split("#")[0] for c in drawn.partition("[")[2].rstrip("]").split(", ")][-2:] == ["value", "n"] and "_sizes" not in plan.toString()

@@ -64,6 +64,21 @@ def test_resampled_intervals_equal_numpy(spark, monkeypatch):
     assert again == got
 
 
+def test_chunks_of_a_resample_add_up():
+    rnd = np.random.default_rng(3)
+    chunks = {0: rnd.normal(5, 2, 50), 1: rnd.normal(9, 1, 30), 3: rnd.normal(1, 1, 70)}  # the third leaf has no value
+    below = [{0: 150}, {0: 80, 1: 70}, {0: 50, 1: 30, 3: 70}]
+    for most in (0, 16):  # draws of counts, draws of rows
+        aggregates.ROWS_A_VALUE, kept = most, aggregates.ROWS_A_VALUE
+        sums = sum(np.array(aggregates.resampled_sums(v, np.ones(len(v), int), [below[0][0], below[1][c >> 1], below[2][c]], 7, c, 4000)) for c, v in chunks.items())
+        aggregates.ROWS_A_VALUE = kept
+        values = np.concatenate(list(chunks.values()))
+        assert sums.mean() == pytest.approx(150 * values.mean(), rel=0.01) and sums.std() == pytest.approx(values.std() * 150**0.5, rel=0.05)
+        assert aggregates.resampled_sums(np.ones(50), np.ones(50, int), [150, 80, 50], 7, 0, 9) != aggregates.resampled_sums(np.ones(50), np.ones(50, int), [150, 80, 50], 8, 0, 9)
+        whole = [np.array(aggregates.resampled_sums(np.ones(len(v)), np.ones(len(v), int), [150, below[1][c >> 1], below[2][c]], 7, c, 9)) for c, v in chunks.items()]
+        assert list(sum(whole)) == [150.0] * 9  # no row is drawn twice or not at all
+
+
 def jobs_of(spark, rows):
     df = spark.createDataFrame(rows, "object_type string, object_id string, source_field string, source_text string, extra int")
     return df.withColumn("source_sha256", F.sha2("source_text", 256)).withColumn("translation_id", F.concat_ws("-", "object_type", "object_id", "source_field"))
