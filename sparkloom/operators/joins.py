@@ -51,12 +51,13 @@ def assert_closed(report: DataFrame) -> None:
         raise ValueError("references not closed: " + "; ".join(str(r.asDict()) for r in bad))
 
 
-def in_range_or_nearest(ranges: DataFrame, points: DataFrame, key: list[str], start: str, end: str, at: str, tie: str, width: float) -> DataFrame:
+def in_range_or_nearest(ranges: DataFrame, points: DataFrame, key: list[str], start: str, end: str, at: str, tie: str, width: float, weight: float | None = None) -> DataFrame:
     """Points with start <= at <= end; for a range without any, the single nearest to its middle (ties: least `tie`, a number).
 
+    With a weight the single point is that of least distance * weight + tie (of equal sums the nearest), so a far smaller tie can outweigh a distance.
     Ranges are joined on the buckets of `width` that they cross, so a hot key is spread over time. A range without a
-    point looks in the bucket of its middle, and at the last point before and the first after that bucket; those come from one row for each
-    bucket that has points, so no range meets all points of its key.
+    point looks in the bucket of its middle, and at the best point before and the best after that bucket (either is the same for every middle between);
+    those come from one row for each bucket that has points, so no range meets all points of its key.
     """
     bucket = lambda c: F.floor(c / width)
     placed = points.withColumn("_b", bucket(F.col(at)))
@@ -64,17 +65,19 @@ def in_range_or_nearest(ranges: DataFrame, points: DataFrame, key: list[str], st
     inside = crossed.join(placed, [*key, "_b"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("_b")
     middle = (F.col(start) + F.col(end)) / 2
     alone = ranges.join(inside.select(*key, start, end).distinct(), [*key, start, end], "left_anti").withColumn("_b", bucket(middle))
-    edge = lambda side, sign: side(F.struct(F.col(at).alias(at), (sign * F.col(tie)).alias(tie)))
-    full = placed.groupBy(*key, "_b").agg(edge(F.min, 1).alias("_first"), edge(F.max, -1).alias("_last"))  # of equal times the least tie
+
+    def cost(distance: Column, of: Column) -> Column:
+        return F.struct(*([] if weight is None else [(distance * weight + of).alias("_sum")]), distance.alias("_far"), of.alias("_tie"))
+
+    point = F.struct(F.col(at).alias(at), F.col(tie).alias(tie)).alias("_p")
+    full = placed.select(*key, "_b", point, cost(-F.col(at), F.col(tie)).alias("_down"), cost(F.col(at), F.col(tie)).alias("_up")).groupBy(*key, "_b").agg(F.min(F.struct("_down", "_p")).alias("_last"), F.min(F.struct("_up", "_p")).alias("_first"))
     asked = alone.select(*key, "_b").distinct()
-    order = Window.partitionBy(*key).orderBy("_b")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    passed = lambda order: Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     known = asked.withColumn("_asked", F.lit(True)).join(full, [*key, "_b"], "full")
-    known = known.withColumns({"_prev": F.last("_last", ignorenulls=True).over(before), "_next": F.first("_first", ignorenulls=True).over(after)}).filter("_asked")
-    here = placed.join(asked, [*key, "_b"], "left_semi").select(*key, "_b", F.struct(F.col(at).alias(at), F.col(tie).alias(tie)).alias("_p"))
-    prev = F.when(F.col("_prev").isNotNull(), F.struct(F.col(f"_prev.{at}").alias(at), (-F.col(f"_prev.{tie}")).alias(tie)))
-    sides = known.select(*key, "_b", F.explode(F.array_compact(F.array(prev, F.col("_next")))).alias("_p"))
-    near = alone.join(here.unionByName(sides), [*key, "_b"]).groupBy(*alone.columns).agg(F.min_by("_p", F.struct(F.abs(F.col(f"_p.{at}") - middle), F.col(f"_p.{tie}"))).alias("_p"))
+    known = known.withColumns({"_prev": F.min("_last").over(passed(F.asc("_b")))["_p"], "_next": F.min("_first").over(passed(F.desc("_b")))["_p"]}).filter("_asked")
+    here = placed.join(asked, [*key, "_b"], "left_semi").select(*key, "_b", point)
+    sides = known.select(*key, "_b", F.explode(F.array_compact(F.array("_prev", "_next"))).alias("_p"))
+    near = alone.join(here.unionByName(sides), [*key, "_b"]).groupBy(*alone.columns).agg(F.min_by("_p", cost(F.abs(F.col(f"_p.{at}") - middle), F.col(f"_p.{tie}"))).alias("_p"))
     fallback = near.select(*ranges.columns, F.col(f"_p.{at}").alias(at), F.col(f"_p.{tie}").alias(tie))
     columns = [*ranges.columns, at, tie]
     return inside.select(*columns, F.lit("direct").alias("link")).unionByName(fallback.select(*columns, F.lit("nearest").alias("link")))

@@ -185,13 +185,14 @@ def eligible(df: DataFrame, require_video: bool = False) -> DataFrame:
     return df.filter(keep & (F.col("has_video_asset").cast("boolean") if require_video else F.lit(True)))
 
 
-def illustrated_refs(annotations: DataFrame, evidence: DataFrame, frames: DataFrame, width: float = 5.0) -> DataFrame:
+def illustrated_refs(annotations: DataFrame, evidence: DataFrame, frames: DataFrame, width: float = 5.0, per_second: float | None = None) -> DataFrame:
     """One row for each reference of an annotation, with the frames that show it; kind tells how they were found.
 
     annotations: annotation_id (unique), video_id, evidence_refs. evidence: evidence_id (unique), modality, frame_indices, start_s, end_s. frames: video_id, frame_index (unique in
     a video), timestamp_s. direct: what is seen has its own frames, in order; temporal: what is said in a span has the frames in it, else the nearest one; representative:
     what is said without a span has the first, middle and last frame; context: an annotation without references has these too, at place -1; missing: no such unit; none: any
-    other unit. Frames rank within their video in one sorted task; temporal frames are found by buckets of `width` seconds.
+    other unit. Frames rank within their video in one sorted task; temporal frames are found by buckets of `width` seconds. The nearest frame is that of least distance (ties: least index), or with
+    per_second that of least distance * per_second + index.
     """
     refs = annotations.select("annotation_id", "video_id", F.posexplode_outer("evidence_refs").alias("place", "evidence_id"))
     units = evidence.select("evidence_id", F.lit(True).alias("_known"), "modality", "frame_indices", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
@@ -206,7 +207,7 @@ def illustrated_refs(annotations: DataFrame, evidence: DataFrame, frames: DataFr
     direct = df.filter("kind = 'direct'").select(*row, "video_id", F.posexplode("frame_indices").alias("_at", "frame_index")).join(frames.select("video_id", *shown), ["video_id", "frame_index"]).select(*row, "_at", *shown)
     asked = df.filter("kind = 'temporal'")
     timed = frames.filter("timestamp_s IS NOT NULL").select("video_id", *shown)
-    spans = joins.in_range_or_nearest(asked.select("video_id", "start_s", "end_s").distinct(), timed, ["video_id"], "start_s", "end_s", "timestamp_s", "frame_index", width)
+    spans = joins.in_range_or_nearest(asked.select("video_id", "start_s", "end_s").distinct(), timed, ["video_id"], "start_s", "end_s", "timestamp_s", "frame_index", width, per_second)
     temporal = asked.select(*row, "video_id", "start_s", "end_s").join(spans, ["video_id", "start_s", "end_s"]).select(*row, F.col("frame_index").alias("_at"), *shown)
     ranked = frames.withColumn("_r", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_index"))).join(frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n")), "video_id")
     few = ranked.filter((F.col("_r") == 1) | (F.col("_r") == F.floor(F.col("_n") / 2) + 1) | (F.col("_r") == F.col("_n"))).select("video_id", *shown)

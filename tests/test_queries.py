@@ -75,6 +75,32 @@ def test_nearest_points_against_a_loop(spark):
     assert {(r["rid"], r["pid"], r["link"]) for r in found} == want and len(found) == len(want)
 
 
+def test_weighted_nearest_points_against_a_loop(spark):
+    import random
+
+    rnd = random.Random(8)
+    points = [(u, float(rnd.randint(0, 100)), i * 97_003 % 7_000_000) for i, u in enumerate(rnd.choices("abc", k=90))]
+    ranges = [(u, i, float(s), float(s + rnd.randint(0, 3))) for i, (u, s) in enumerate((rnd.choice("abce"), rnd.randint(-20, 120)) for _ in range(200))]
+    found = joins.in_range_or_nearest(spark.createDataFrame(ranges, "u string, rid int, s double, e double"), spark.createDataFrame(points, "u string, at double, pid bigint"), ["u"], "s", "e", "at", "pid", 5.0, 1_000_000).collect()
+    want, plain = set(), 0
+    for u, rid, s, e in ranges:
+        mine = [(t, i) for v, t, i in points if v == u]
+        inside = [i for t, i in mine if s <= t <= e]
+        want |= {(rid, i, "direct") for i in inside}
+        if mine and not inside:
+            best = min((abs(t - (s + e) / 2) * 1_000_000 + i, abs(t - (s + e) / 2), i) for t, i in mine)[2]
+            want.add((rid, best, "nearest"))
+            plain += best == min((abs(t - (s + e) / 2), i) for t, i in mine)[1]
+    assert {(r["rid"], r["pid"], r["link"]) for r in found} == want and len(found) == len(want) and 0 < plain < sum(w[2] == "nearest" for w in want)
+
+
+def test_illustrated_where_ids_of_a_user_lie_far_apart(spark, tmp_path):
+    whole = spark.read.parquet(f"{SF}/events.parquet")
+    n = F.col("event_id")
+    whole.withColumn("event_id", n + (F.xxhash64("event_id") % 30 + 30) * 100_000).write.parquet(f"{tmp_path}/events.parquet")
+    assert_same(queries.queries()["illustrated"](spark, str(tmp_path)), tables(str(tmp_path)), SQL["illustrated"])
+
+
 def test_strict_members_refuse_unknown_ids(spark):
     asked, members = spark.createDataFrame([(1, ["a", "z"])], "k int, ids array<string>"), spark.createDataFrame([("a", 1)], "m string, v int")
     assert joins.ordered_members(asked, "ids", members, "m", ["v"], "rows", "k").first()["rows"][0]["v"] == 1
