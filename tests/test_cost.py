@@ -140,3 +140,22 @@ def test_resampled_rows_carry_their_value_only(spark):
     plan = queries.bootstrap_means(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     drawn = plan.toString().partition("FlatMapCoGroupsInPandas")[2].splitlines()[1]
     assert drawn.lstrip(" :+-").startswith("Project [_key") and [c.strip().split("#")[0] for c in drawn.partition("[")[2].rstrip("]").split(", ")][-2:] == ["value", "n"] and "_sizes" not in plan.toString()
+
+
+def test_units_keep_their_call_without_a_join(spark, tmp_path, monkeypatch):
+    plans, plain = {}, sinks.written_once
+
+    def watched(spark, path, make):
+        def seen():
+            df = make()
+            plans[path.rpartition("/")[2]] = df._jdf.queryExecution().optimizedPlan().toString()
+            return df
+
+        return plain(spark, path, seen)
+
+    monkeypatch.setattr(sinks, "written_once", watched)
+    unit = '{"evidence_id": "v_asr_1", "modality": "asr", "subject": "s", "predicate": "p", "value": "x", "content_en": "c", "source_text_native": "t", "confidence": "high"}'
+    given = spark.createDataFrame([("v", "language_evidence_extraction", 1, w, True, f'{{"evidence_units": [{unit}]}}', None) for w in ("w1", "w2")], staged.REPLIES)
+    found = staged.Stages(spark, None, str(tmp_path), 0.7, 200).units("evidence_1", given).collect()
+    assert sorted((r["stage"], r["attempt"], r["item"]) for r in found) == [("language_evidence_extraction", 1, "w1"), ("language_evidence_extraction", 1, "w2")]
+    assert len({r["evidence_id"] for r in found}) == 2 and "v_asr_1" in {r["evidence_id"] for r in found} and "Join" not in plans["evidence_1_units"]
